@@ -203,6 +203,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The row that stays, from the digests of the routed rows only.
     keepers = digests.join(routed, "fp", "left_semi").groupBy("fp", "sha").agg(F.min(F.struct(-F.col("n_chars"), F.col("doc_id"), F.col("uid"))).alias("first"))
     groups = verified.join(keepers, ["fp", "sha"]).select("fp", "sha", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.uid").alias("keep_uid"))
+    # A table of its own, so that a key with very many rows is split in the last join instead of sharing a task with the aggregate.
+    groups = written(groups, "groups")
     found_group = F.col("keep_uid").isNotNull()
     return digests.join(groups, ["fp", "sha"], "left").select(
         "doc_id",
