@@ -60,8 +60,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.toxicity import held_out, score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op4_line_dedup, op5_token_counts, op6_chat_formatting, op7_warc, op8_decontamination)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op4_line_dedup, op5_token_counts, op6_chat_formatting, op7_warc, op8_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
