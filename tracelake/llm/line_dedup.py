@@ -80,7 +80,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("id"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
     lines = written(arrow_map(read, _hash_lines(min_chars), "id bigint, hash binary"), "lines")
     counted = lines.groupBy("hash").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper"))
-    return lines, counted.filter(F.col("n") >= min_docs).select("hash", "keeper")
+    # A table, so that the join with the lines can split a line that very many documents share.
+    return lines, written(counted.filter(F.col("n") >= min_docs).select("hash", "keeper"), "frequent")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
