@@ -16,6 +16,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -69,7 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op4_line_dedup, op5_token_counts, op6_chat_formatting, op7_warc, op8_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_best_fit_packing, op4_line_dedup, op5_token_counts, op6_chat_formatting, op7_warc, op8_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
