@@ -66,6 +66,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.secrets import find_secrets, listed
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.toxicity import held_out, score_toxicity, train
 
@@ -75,7 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_best_fit_packing, op4_line_dedup, op5_token_counts, op6_chat_formatting, op7_warc, op8_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_best_fit_packing, op4_line_dedup, op5_token_counts, op6_chat_formatting, op7_warc, op8_decontamination, op9_secrets, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

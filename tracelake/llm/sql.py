@@ -36,3 +36,42 @@ SQL = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)""",
 }
+
+
+def _secrets_sql() -> str:
+    from tracelake.llm.secrets import KINDS, SCOPE
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    parts = []
+    for o, (kind, pattern, group, least) in enumerate(KINDS):
+        p = quoted(pattern)
+        size = f"length(regexp_extract(m, {p}, {group}))" if group else "length(m)"
+        keep = f"{size} >= {least}"
+        if kind == "mixed":
+            keep += " AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')"
+        parts.append(f"""
+            SELECT doc_id, {o} AS ord, '{kind}' AS kind, stop - length(m) AS start, stop FROM (
+                SELECT doc_id, m, sum(length(piece) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+                    SELECT doc_id, unnest(x) AS m, unnest(y[1:len(x)]) AS piece, unnest(range(1, len(x) + 1)) AS i FROM (
+                        SELECT doc_id, regexp_extract_all(t, {p}) AS x, string_split_regex(t, {p}) AS y FROM d)))
+            WHERE {keep}""")
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        s AS ({" UNION ALL ".join(parts)}),
+        w AS (
+            SELECT a.doc_id, a.ord, a.kind, a.start, a.stop FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.start <= a.stop + {SCOPE} AND b.stop >= a.start - {SCOPE}
+            WHERE a.ord >= 3 GROUP BY ALL
+            HAVING CASE a.kind WHEN 'account' THEN bool_or(b.kind IN ('assign', 'hex', 'mixed')) WHEN 'mixed' THEN bool_or(b.kind IN ('access', 'account'))
+                   ELSE bool_or(b.kind IN ('assign', 'hex', 'mixed')) AND bool_or(b.kind IN ('access', 'account')) END),
+        u AS (SELECT * FROM s WHERE ord < 3 UNION ALL SELECT * FROM w),
+        g AS (SELECT doc_id, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access, count(*) FILTER (WHERE ord = 2) AS n_hex,
+                     string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, ord) FILTER (WHERE ord < 3) AS base,
+                     string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, ord) AS spans
+              FROM u GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (doc_id)"""
+
+
+SQL["op9_secrets"] = _secrets_sql()
