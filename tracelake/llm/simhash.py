@@ -398,7 +398,7 @@ def _verify(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 1, copies: int = 8, tau: int = 3, sketch_tau: int = 36, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 1, copies: int = 16, tau: int = 3, sketch_tau: int = 36, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id, the smallest id that a document reaches over links.
 
     A link is a Jaccard similarity of the sets of ``shingle``-word shingles of at least ``similarity``, computed exactly. Candidates are documents with one of
