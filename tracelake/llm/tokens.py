@@ -42,7 +42,7 @@ def text_array(texts: list[bytes]) -> pa.Array:
 
 
 class WordBpe:
-    MEMO = 1_000_000
+    MEMO = 400_000
 
     def __init__(self, path: str):
         import tiktoken
@@ -95,8 +95,8 @@ class WordBpe:
         if len(miss):
             plain = pc.and_not(pc.match_substring_regex(distinct.take(pa.array(miss)), f"^{_PLAIN}$"), pc.match_substring(distinct.take(pa.array(miss)), "<|")).to_numpy(zero_copy_only=False)
             for some, learn in ((miss[plain], self._learn_plain), (miss[~plain], self._learn_exact)):
-                for at in range(0, len(some), 100_000):
-                    learn([names[k] for k in some[at : at + 100_000].tolist()])
+                for at in range(0, len(some), 50_000):
+                    learn([names[k] for k in some[at : at + 50_000].tolist()])
             known[miss] = np.fromiter((self.memo[names[k]] for k in miss.tolist()), np.int64, len(miss))
         return known
 
