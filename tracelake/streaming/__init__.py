@@ -1,0 +1 @@
+"""Nothing here: the engine has no streaming operators. Bucket decimation and slices are plain aggregations and filters, which also run on micro-batches."""
