@@ -1,0 +1,47 @@
+"""The registered corpus queries at the smallest scale, against their SQL where there is one, and the pipeline against its operators."""
+
+import duckdb
+import pytest
+
+from tracelake.llm import queries as Q
+
+TABLES = "documents pages benchmark labels conversations".split()
+
+
+def normal(rows):
+    return sorted(tuple(str(x) for x in r) for r in rows)
+
+
+@pytest.mark.parametrize("name", list(Q.queries()))
+def test_query(spark, sf_dir, name):
+    df = Q.queries()[name](spark, sf_dir)
+    rows = df.collect()
+    sql = Q.oracle_sql().get(name)
+    if sql:
+        db = duckdb.connect()
+        for t in TABLES:
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        found = db.execute(sql)
+        columns = [c[0] for c in found.description]
+        assert sorted(columns) == sorted(df.columns)
+        assert normal([tuple(r[c] for c in columns) for r in rows]) == normal(found.fetchall())
+    else:
+        assert rows
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = docs
+    for k, (_, stage) in enumerate(P.STAGES):
+        after = stage(spark, before, sf_dir)
+        if k + 1 < len(P.STAGES):
+            assert after.columns == docs.columns
+            assert after.schema == docs.schema
+            assert 0 < after.count() <= before.count()
+        before = after
+    assert normal(before.select("doc_id", "piece", "start", "length", "ids_crc32").collect()) == normal(P.run(spark, sf_dir).select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    none = docs.limit(0)
+    for k, (_, stage) in enumerate(P.STAGES):
+        assert stage(spark, none, sf_dir).count() == 0
