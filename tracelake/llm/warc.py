@@ -33,6 +33,9 @@ _ID = "urn:page:"
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    """Hadoop writes local paths as file:/x, which is no URI to Arrow."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.removeprefix("file:")
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
