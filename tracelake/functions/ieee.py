@@ -6,6 +6,8 @@ has integers come out of floor and ceil. These functions give infinities, NaN an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +78,16 @@ def greatest(*xs: Column) -> Column:
     return out
 
 
+def _minus_zero(x: Column) -> Column:
+    return (x == 0) & (F.pow(x, F.lit(-1.0)) < 0)
+
+
+def atan2(y: Column, x: Column) -> Column:
+    """With the signs of zeros, which Spark's function drops."""
+    back = (x < 0) | _minus_zero(x)
+    return F.when((y == 0) & ~F.isnan(x), F.when(back, F.when(_minus_zero(y), F.lit(-math.pi)).otherwise(F.lit(math.pi))).otherwise(F.lit(0.0))).otherwise(F.atan2(y, x))
+
+
 def ramp(x: Column) -> Column:
     return F.when(F.isnan(x), F.lit(NAN)).otherwise(F.greatest(x, F.lit(0.0)))
 

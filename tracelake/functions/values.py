@@ -97,7 +97,7 @@ def modulus(a: Pair) -> Column:
 
 
 def argument(a: Pair) -> Column:
-    return F.atan2(a[1], a[0])
+    return ieee.atan2(a[1], a[0])
 
 
 def exp(a: Pair) -> Pair:
@@ -304,7 +304,7 @@ FUNCTIONS: dict[str, tuple[int, int | None, Callable[..., Value]]] = {
     "arccos": (1, 1, _acos_f),
     "atan": (1, 1, _atan_f),
     "arctan": (1, 1, _atan_f),
-    "atan2": (2, 2, _real_only(np.arctan2, F.atan2)),
+    "atan2": (2, 2, _real_only(np.arctan2, ieee.atan2)),
     "sinh": (1, 1, _unary(np.sinh, F.sinh, _sinh)),
     "cosh": (1, 1, _unary(np.cosh, F.cosh, _cosh)),
     "tanh": (1, 1, _unary(np.tanh, F.tanh, _tanh)),
