@@ -275,3 +275,21 @@ def test_complex_file(spark, tmp_path):
     with pytest.raises(ValueError):
         _ = S.Header({"Abscissa": "0 1 log"}, []).scale
     assert Points.of(f.points.df, []).search() == []
+
+
+def test_spectrum_of_a_file_and_command_line(spark, tmp_path):
+    from tracelake.__main__ import main
+    from tracelake.plans.charts import fft_points
+
+    t = np.tile(np.arange(64) / 64, 2)
+    rows = np.stack([t, np.sin(2 * np.pi * 8 * t), t * 0], axis=1)
+    path = make(tmp_path, rows, [("Time", "time"), ("V(out)", "voltage"), ("V(in)", "voltage")], "real stepped")
+    f = S.load(spark, path)
+    made = fft_points(f.points, ["V(out)"], name="rectangular", chosen={1})
+    out = made.evaluate("Frequency", "fft(v(OUT))", keep=("step",)).toDF("step", "f", "a").collect()
+    assert {r["step"] for r in out} == {1} and max((r["a"], r["f"]) for r in out)[1] == pytest.approx(8)
+    two = f.points.evaluate("V(out)@1", "V(out)@2", keep=("point_idx",)).toDF("i", "a", "b").orderBy("i").collect()
+    assert [r["a"] for r in two] == [r["b"] for r in two]
+    assert main([path]) == 0 and main([str(tmp_path / "none")]) == 1 and main([]) == 1
+    (tmp_path / "text").write_text("hello\n")
+    assert main([str(tmp_path / "text")]) == 1

@@ -6,6 +6,7 @@ expanded where they are called. A step selector is a join on the place within th
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from tracelake.functions.values import Value
 from tracelake.plans import units
 from tracelake.plans.syntax import PROBES, AtStep, Binary, Call, Choice, Function, Name, Number, Unary, canonical, is_network_name, parse, parse_function, probe_key
 
+_ALIASES = itertools.count()
 _BINARY = {"+": V.add, "-": V.subtract, "*": V.multiply, "/": V.divide, "^": V.raise_to, "==": V.equal, "!=": V.unequal} | {op: V.ordered(op) for op in ("<", "<=", ">", ">=")}
 
 
@@ -74,8 +76,11 @@ class Points:
         return [v.name for v in self.variables.values() if part.casefold() in v.name.casefold()]
 
     def compile(self, text: str) -> Compiled:
-        tree = parse(text)
+        """Text that is a variable's whole name, such as one made by an operator, is that variable."""
         work = _Work(self)
+        if (known := self.variables.get(text.casefold())) is not None:
+            return Compiled(known.name, work.variable(text.casefold()), known.unit)
+        tree = parse(text)
         value = work.value(tree, {}, ())
         unit = units.infer(tree, {k: v.unit for k, v in self.variables.items()}, self.functions)
         return Compiled(canonical(tree), value, unit, tuple(work.selectors))
@@ -222,7 +227,7 @@ class _Work:
             raise ValueError(f"step {step} of {n}")
         if base.const is not None:
             raise ValueError("@ needs a variable, not a constant")
-        alias = f"__at{len(self.selectors)}"
+        alias = f"__at{next(_ALIASES)}"
         self.selectors.append((alias, base.column(), step))
         col = F.col(alias)
         return V.vector(col["re"], col["im"], "step") if base.is_complex else V.vector(col, None, "step")

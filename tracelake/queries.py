@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracelake.operators import decimate as D
 from tracelake.operators import smith, spectral, steps
 from tracelake.operators import windowing as W
-from tracelake.plans.charts import chart_type, suggestions
+from tracelake.plans.charts import chart_type, fft_points, suggestions
 from tracelake.plans.compiler import Points, Variable, as_column, expand_ac
 from tracelake.plans.syntax import canonical, parse
 
@@ -327,6 +327,11 @@ def _fft_waveform(spark, sf_dir):
     return out.select("step", "bin", F.round("freq", 9).alias("freq"), _round("y", 5).alias("v"))
 
 
+def _fft_points(spark, sf_dir):
+    points = fft_points(Points.of(_even(spark, sf_dir), [Variable("V(out)", "y", "V")]), ["V(out)"], chosen={0, 1, 2, 3}, name="hanning")
+    return points.evaluate("Frequency", "FFT(V(out))", keep=("step", "step_idx")).toDF("step", "bin", "freq", "v").select("step", "bin", _round("freq").alias("freq"), _round("v", 5).alias("v"))
+
+
 def _resample(spark, sf_dir):
     return _rounded(spectral.resample(waveform(spark, sf_dir), ["step"]).select("step", "step_idx", "x", "y"), "x", "y")
 
@@ -442,6 +447,7 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
     "fft_db": (_fft("db"), _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(20 * log10(greatest(amount, 1e-300)) + {_NUDGE}, 5) AS v FROM a WHERE bin BETWEEN 1 AND 19"),
     "fft_phase": (_fft("phase"), _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(degrees(atan2(im, re)) + {_NUDGE}, 5) AS v FROM a WHERE bin BETWEEN 1 AND 19"),
     "fft_waveform": (_fft_waveform, None),
+    "fft_points": (_fft_points, _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a WHERE step < 4"),
     "resample_uniform": (_resample, _W + f""", e AS (SELECT step, min(x) AS a, max(x) AS b, max(n) AS n FROM w GROUP BY step),
         q AS (SELECT step, k AS step_idx, CASE WHEN k = n - 1 THEN b ELSE a + k * ((b - a) / (n - 1)) END AS x FROM e, LATERAL (SELECT unnest(range(0, n)) AS k)),
         s AS (SELECT step, x, y, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM w WINDOW o AS (PARTITION BY step ORDER BY step_idx)),
