@@ -20,6 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch that goes to Python, and of a row group of a written table; either is held by each running task.
+BATCH_BYTES = 8 << 20
+ROW_GROUP_BYTES = 16 << 20
+
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -51,7 +56,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and still there when an executor is lost."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,9 +82,19 @@ def id_value(column: str) -> Column:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes: texts may be long, and both sides hold a batch."""
+    conf = df.sparkSession.conf
+    if _bytes(conf.get(_BATCH, "64m")) > BATCH_BYTES:
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
     return df.mapInArrow(fn, schema)
 
 
+def _bytes(size: str) -> int:
+    number = int(size.rstrip("bkmgBKMG"))
+    unit = size[len(str(number)) :].lower()[:1]
+    return number << {"k": 10, "m": 20, "g": 30}.get(unit, 0) if number > 0 else 1 << 62
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces whose ``column`` holds about ``max_bytes``; one longer value is a piece of its own."""
     import numpy as np
