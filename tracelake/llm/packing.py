@@ -155,7 +155,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     shares = written(shares.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))), "shares")
     histogram = {r["length"]: r["n"] for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     rows = spark.sparkContext.broadcast(plan(histogram, capacity))
-    ranked = pieces.join(shares.drop("n"), ["part", "length"]).withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
+    # The shares grow with the number of tasks: never broadcast, whatever their file's size.
+    ranked = pieces.join(shares.drop("n").hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name in names)
     return arrow_map(ranked.select(*names, "rank"), _place(rows), f"{schema}, sequence_id bigint, offset bigint")
