@@ -114,12 +114,16 @@ def test_simhash_components(docs, empty):
     assert simhash_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("tau", [2, 3])
-def test_links_give_all_components(spark, tau):
-    """Dense and sparse groups of fingerprints, buckets of every size."""
+@pytest.mark.parametrize(("tau", "hot"), [(2, None), (3, None), (2, 4), (3, 4)])
+def test_links_give_all_components(spark, tau, hot, monkeypatch):
+    """Dense and sparse groups of fingerprints, buckets of every size; with a small ``hot`` most keys are keyed anew, some many times."""
+    from tracelake.llm import simhash
     from tracelake.llm.components import components
     from tracelake.llm.simhash import candidate_links
 
+    if hot:
+        monkeypatch.setattr(simhash, "HOT", hot)
+
     rng = np.random.default_rng(tau)
     base = rng.integers(0, 1 << 62, 40, dtype=np.int64)
     fps = set(base.tolist())
@@ -133,6 +137,33 @@ def test_links_give_all_components(spark, tau):
     assert [found.get(k, k) for k in range(len(fps))] == expected
 
 
+def test_hot_keys_become_finer(spark, monkeypatch):
+    """A key that holds all rows is split to keys of few; equal fingerprints, which no bit tells apart, are left together once."""
+    from tracelake.llm import simhash
+
+    monkeypatch.setattr(simhash, "HOT", 10)
+    kept = ("l", "mask", "key", "node", "fp")
+    fps = np.random.default_rng(5).integers(0, 1 << 30, 200) << 1
+    spread = spark.createDataFrame([(0, 1, 0, k, f) for k, f in enumerate(fps.tolist())], "l int, mask bigint, key bigint, node bigint, fp bigint")
+    finer = simhash.without_hot_keys(spread, 2)
+    assert tuple(finer.columns) == kept and finer.select("node").distinct().count() == 200
+    assert finer.groupBy("l", "mask", "key").count().agg(F.max("count")).first()[0] <= 10
+    assert finer.filter("(fp & mask) != key").isEmpty()
+    equal = spark.createDataFrame([(0, 1, 0, k, 2) for k in range(50)], spread.schema)
+    assert sorted(simhash.without_hot_keys(equal, 2).collect()) == sorted(equal.collect())
+
+
+def test_forest_of_equal_fingerprints(monkeypatch):
+    """Many rows that no bit tells apart are compared once, not again for every part of the bits."""
+    from tracelake.llm import simhash
+
+    monkeypatch.setattr(simhash, "LARGE", 20)
+    n = 300
+    rows = simhash.Rows(np.arange(n), np.zeros(n, np.uint64), np.full(n, 10), np.zeros((n, 2), np.uint64), 3, 0.8, 36)
+    left, _ = simhash.forest(rows, np.arange(n), 0)
+    assert len(left) == n - 1
+
+
 def test_forest_splits_large_groups(monkeypatch):
     from tracelake.llm import simhash
 

@@ -4,7 +4,9 @@ If ``m`` groups of bits have thresholds that add up to ``tau - m + 1``, two fing
 one group; a threshold of -1 leaves a group out. Bits that agree more often than independent ones do are put into one group, so that skew gathers
 where it can be left out. Collisions of each group's value are estimated from sketches of all fingerprints, and dynamic programming picks the thresholds, and the
 number of groups, with the least estimated work. A group with threshold t gives a key for each choice of t bits left out; rows that share a key are
-compared, in blocks where they are many, and only a spanning forest of their links is kept, never all pairs of a group.
+compared, in blocks where they are many, and only a spanning forest of their links is kept, never all pairs of a group. Keys of very many rows
+are found by a count with partial sums and keyed anew by the bits that they leave open, before any row is dealt, so no task gets an unbounded group of
+different fingerprints.
 
 Nulls: a null text has no words and the fingerprint zero; a null id sorts below all others. Equal fingerprints are one point, so repeated rows cost
 nothing. Texts are read in pieces and may be of any length. An empty table gives no rows. Other columns are ignored or pass through.
@@ -28,14 +30,16 @@ SEED = 42
 BITS = 64
 #: Buckets up to this size emit their links themselves: at most half of it for each row.
 SMALL = 16
-#: Buckets above this size are split again by the bits they don't share.
+#: Buckets above this size are split again by the bits they don't share: in the task, and above the second size before rows are dealt to tasks.
 LARGE = 4096
+HOT = 1 << 16
 #: Estimated cost of an emitted row, in compared pairs.
 ROW_COST = 100
 #: Buckets of the sketches that estimate collisions: an error of about one hundredth of the number of points.
 SKETCH_BITS = 14
 _NULL_ID = -(1 << 63)
 _PIECE = 1 << 22
+_KEY = ("l", "mask", "key")
 
 
 # Fingerprints
@@ -162,6 +166,12 @@ def _mask(bits) -> int:
     return sum(1 << b for b in bits)
 
 
+def sub_masks(used: int, tau: int) -> list[int]:
+    """The bits that ``used`` leaves open in ``tau + 1`` parts: two fingerprints within ``tau`` bits agree in one of them. Empty where too few are left."""
+    rest = [b for b in range(BITS) if not used >> b & 1]
+    return [_mask(rest[k :: tau + 1]) for k in range(tau + 1)] if len(rest) > tau else []
+
+
 def keys_of(group: list[int], threshold: int) -> list[int]:
     """The masks of a group's keys: all its bits but ``threshold`` of them, for every choice."""
     if threshold < 0:
@@ -268,14 +278,16 @@ def forest(rows: Rows, members: np.ndarray, used: int) -> tuple[list[int], list[
     Very many members are split by the pigeonhole principle in the bits that are left, and the forests of the parts are given together.
     """
     left, right = [], []
-    rest = [b for b in range(BITS) if not used >> b & 1]
-    if len(members) > LARGE and len(rest) > rows.tau:
-        for k in range(rows.tau + 1):
-            mask = _mask(rest[k :: rows.tau + 1])
-            order = members[np.argsort(rows.fp[members] & np.uint64(mask), kind="stable")]
-            value = rows.fp[order] & np.uint64(mask)
-            cuts = np.flatnonzero(value[1:] != value[:-1]) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True):
+    parts, pairs = [], 0
+    for mask in sub_masks(used, rows.tau) if len(members) > LARGE else ():
+        order = members[np.argsort(rows.fp[members] & np.uint64(mask), kind="stable")]
+        value = rows.fp[order] & np.uint64(mask)
+        cuts = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(order)]])
+        parts.append((mask, order, cuts))
+        pairs += int(np.sum(np.diff(cuts) ** 2))
+    if parts and pairs < len(members) ** 2:  # only where it saves comparisons: rows that agree in nearly all bits can't be split
+        for mask, order, cuts in parts:
+            for lo, hi in itertools.pairwise(cuts.tolist()):
                 if hi - lo > 1:
                     a, b = forest(rows, order[lo:hi], used | mask)
                     left += a
@@ -298,7 +310,7 @@ def forest(rows: Rows, members: np.ndarray, used: int) -> tuple[list[int], list[
     return left, right
 
 
-def _links(tau: int, masks: list[int], verified: dict | None):
+def _links(tau: int, verified: dict | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -310,16 +322,16 @@ def _links(tau: int, masks: list[int], verified: dict | None):
             if verified:
                 extra = verified | {"size": get("size"), "sketch": np.stack([get("s0").view(np.uint64), get("s1").view(np.uint64)], axis=1)}
             rows = Rows(node, fp, tau=tau, **extra)
-            key, l, k = get("key"), get("l", np.int32), get("k", np.int32)
+            key, l, mask = get("key"), get("l", np.int32), get("mask").view(np.uint64)
             new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (k[1:] != k[:-1]) | (l[1:] != l[:-1])
+            new[1:] = (key[1:] != key[:-1]) | (mask[1:] != mask[:-1]) | (l[1:] != l[:-1])
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(key)))
             few = (size > 1) & (size <= SMALL)
             a, b = small_links(rows, first[few], size[few])
             left, right = [a], [b]
             for f, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                x, y = forest(rows, np.arange(f, f + n), masks[k[f]])
+                x, y = forest(rows, np.arange(f, f + n), int(mask[f]))
                 left.append(np.array(x, np.int64))
                 right.append(np.array(y, np.int64))
             i, j = np.concatenate(left), np.concatenate(right)
@@ -329,11 +341,11 @@ def _links(tau: int, masks: list[int], verified: dict | None):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ends = [batch.column(n)[-1].as_py() for n in ("l", "k", "key")]
-            same = np.logical_and.reduce([batch.column(n).to_numpy(zero_copy_only=False) == e for n, e in zip(("l", "k", "key"), ends, strict=True)])
+            ends = [batch.column(n)[-1].as_py() for n in _KEY]
+            same = np.logical_and.reduce([batch.column(n).to_numpy(zero_copy_only=False) == e for n, e in zip(_KEY, ends, strict=True)])
             other = np.flatnonzero(~same)
             cut = int(other[-1]) + 1 if len(other) else 0
-            if cut or held and [held[0].column(n)[-1].as_py() for n in ("l", "k", "key")] != ends:
+            if cut or held and [held[0].column(n)[-1].as_py() for n in _KEY] != ends:
                 yield from done([*held, batch.slice(0, cut)] if cut else held)
                 held = []
             held.append(batch.slice(cut))
@@ -343,19 +355,47 @@ def _links(tau: int, masks: list[int], verified: dict | None):
     return run
 
 
+def without_hot_keys(rows: DataFrame, tau: int) -> DataFrame:
+    """``rows`` (l, mask, key, fp, ...) with keys of more than ``HOT`` rows replaced by finer ones, where that saves comparisons.
+
+    A finer key adds a part of the open bits to the mask; each row of a hot key gets one for every part, and links are neither lost nor added.
+    Keys that stay hot hold rows that agree in nearly all bits: at most a few if all fingerprints differ.
+    """
+    settled: list[DataFrame] = []
+    while True:
+        hot = written(rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT), "hot")
+        masks = [r["mask"] for r in hot.select("mask").distinct().collect()]  # masks, not keys
+        finer = [F.struct(F.lit(m).cast("long").alias("mask"), F.lit(_signed(x)).cast("long").alias("open")) for m in masks for x in sub_masks(m % (1 << 64), tau)]
+        if not finer:
+            break
+        by_mask = F.filter(F.array(*finer), lambda x: x["mask"] == F.col("mask"))
+        again = rows.join(hot, list(_KEY)).withColumn("open", F.explode(F.transform(by_mask, lambda x: x["open"])))
+        sizes = again.groupBy(*_KEY, "n", "open", F.col("fp").bitwiseAND(F.col("open")).alias("value")).agg(F.count(F.lit(1)).cast("double").alias("part"))
+        pairs = sizes.groupBy(*_KEY, "n").agg(F.sum(F.col("part") * F.col("part")).alias("pairs"))
+        saved = written(pairs.filter(F.col("pairs") < F.col("n").cast("double") * F.col("n")).select(*_KEY), "split")
+        if saved.isEmpty():
+            break
+        settled.append(rows.join(saved, list(_KEY), "left_anti"))
+        names = rows.columns
+        again = again.join(saved, list(_KEY), "left_semi").withColumn("mask", F.col("mask").bitwiseOR(F.col("open")))
+        rows = written(again.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).select(names), "finer")
+    for part in settled:
+        rows = rows.unionByName(part)
+    return rows
+
+
 def candidate_links(points: DataFrame, tau: int, verified: dict | None = None) -> DataFrame:
     """Links (a, b) of ``points`` (l, node, fp, ...): for every key a spanning forest of the links of its rows.
 
     ``l`` tells independent fingerprints of a node apart. Rows of one key are points that differ; of their links those of a shortest forest are enough
     for the components, and small keys give all.
     """
-    masks = choose_keys(points, tau)
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(v)).cast("long")).alias("key")) for k, v in enumerate(masks)]))
+    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in choose_keys(points, tau)])
     extra = ["size", "s0", "s1"] if verified else []
-    rows = points.select("l", "node", "fp", *extra, keys.alias("x")).select("l", "x.k", "x.key", "node", "fp", *extra)
+    rows = points.select("l", "node", "fp", *extra, F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "l", "k", "key").sortWithinPartitions("l", "k", "key")
-    return arrow_map(dealt, _links(tau, masks, verified), "a bigint, b bigint").distinct()
+    dealt = without_hot_keys(rows, tau).repartition(n, *_KEY).sortWithinPartitions(*_KEY)
+    return arrow_map(dealt, _links(tau, verified), "a bigint, b bigint").distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, tau: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
