@@ -82,6 +82,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     # Ids only: the count of equal payloads shrinks before the shuffle.
     firsts = rows.filter(F.col("payload_bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    # A table, so that the join can split a payload that very many pages share.
+    firsts = written(firsts, "firsts")
     again = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
     marked = rows.join(firsts, "digest", "left").select("page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "digest", "payload_bytes", F.when(again, F.col("first")).alias("refers_to"))
     return written(arrow_map(marked, _write(folder, date), "path string, bytes bigint, records bigint"), "manifest")
