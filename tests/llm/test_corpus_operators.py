@@ -221,6 +221,44 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def five_grams(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def alike(a, b):
+    x, y = five_grams(a), five_grams(b)
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def edited_copies():
+    """Texts with copies that are cut, extended or changed in one block, each barely still alike."""
+    rng, out = np.random.default_rng(5), []
+    for _ in range(40):
+        n = int(rng.integers(100, 300))
+        new = lambda k: [f"w{x}" for x in rng.integers(0, 3000, k)]
+        w = new(n)
+        out.append(" ".join(w))
+        for shape in ("cut", "extended", "block"):
+            for k in range(n // 3, 0, -1):
+                at = int(rng.integers(0, n - k))
+                t = " ".join({"cut": w[: n - k], "extended": w + new(k), "block": w[:at] + new(k) + w[at + k :]}[shape])
+                if alike(out[-1 - ("cut", "extended", "block").index(shape)], t):
+                    out.append(t)
+                    break
+    return out
+
+
+def test_near_duplicates_of_any_shape(spark):
+    """Every pair is linked to its original: none of the 120 copies may be missed."""
+    from tracelake.llm.simhash import near_duplicates
+
+    texts = edited_copies()
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(texts) == 160
+    assert [found[k] for k in range(160)] == [k // 4 * 4 for k in range(160)]
+
+
 # 3
 
 

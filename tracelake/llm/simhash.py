@@ -15,12 +15,13 @@ nothing. Texts are read in pieces and may be of any length. An empty table gives
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import ASCII_SPACE, arrow_map, slices, text_bytes, written
@@ -37,6 +38,8 @@ HOT = 1 << 16
 ROW_COST = 100
 #: Buckets of the sketches that estimate collisions: an error of about one hundredth of the number of points.
 SKETCH_BITS = 14
+#: Places apart up to which the rows of a band are verified against each other at first.
+REACH = 2
 _NULL_ID = -(1 << 63)
 _PIECE = 1 << 22
 _KEY = ("l", "mask", "key")
@@ -310,7 +313,7 @@ def forest(rows: Rows, members: np.ndarray, used: int) -> tuple[list[int], list[
     return left, right
 
 
-def _links(tau: int, verified: dict | None):
+def _links(tau: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -318,10 +321,7 @@ def _links(tau: int, verified: dict | None):
             t = pa.Table.from_batches(parts).combine_chunks()
             get = lambda n, kind=np.int64: t.column(n).to_numpy().astype(kind, copy=False)
             node, fp = get("node"), get("fp").view(np.uint64)
-            extra = {}
-            if verified:
-                extra = verified | {"size": get("size"), "sketch": np.stack([get("s0").view(np.uint64), get("s1").view(np.uint64)], axis=1)}
-            rows = Rows(node, fp, tau=tau, **extra)
+            rows = Rows(node, fp, tau=tau)
             key, l, mask = get("key"), get("l", np.int32), get("mask").view(np.uint64)
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (mask[1:] != mask[:-1]) | (l[1:] != l[:-1])
@@ -384,18 +384,17 @@ def without_hot_keys(rows: DataFrame, tau: int) -> DataFrame:
     return rows
 
 
-def candidate_links(points: DataFrame, tau: int, verified: dict | None = None) -> DataFrame:
+def candidate_links(points: DataFrame, tau: int) -> DataFrame:
     """Links (a, b) of ``points`` (l, node, fp, ...): for every key a spanning forest of the links of its rows.
 
     ``l`` tells independent fingerprints of a node apart. Rows of one key are points that differ; of their links those of a shortest forest are enough
     for the components, and small keys give all.
     """
     masks = F.array(*[F.lit(_signed(m)).cast("long") for m in choose_keys(points, tau)])
-    extra = ["size", "s0", "s1"] if verified else []
-    rows = points.select("l", "node", "fp", *extra, F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    rows = points.select("l", "node", "fp", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = without_hot_keys(rows, tau).repartition(n, *_KEY).sortWithinPartitions(*_KEY)
-    return arrow_map(dealt, _links(tau, verified), "a bigint, b bigint").distinct()
+    return arrow_map(dealt, _links(tau), "a bigint, b bigint").distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, tau: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,21 +409,44 @@ def simhash_components(docs: DataFrame, shingle: int = 3, tau: int = 2, id_col:
 # Near-duplicates verified by the shingles themselves
 
 
-def _signatures(shingle: int, words: int, copies: int):
+def bands_for(missed: float, similarity: float, rows: int) -> int:
+    """So many bands that two sets of at least ``similarity`` share none with a chance of at most ``missed``, whatever way they differ."""
+    return max(1, math.ceil(math.log(missed) / math.log1p(-(similarity**rows)))) if similarity < 1 else 1
+
+
+def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band: ``rows`` minima of the hashes under independent multiplications. Two sets share a band with the chance similarity ** rows."""
+    random = np.random.default_rng(SEED)
+    factor = random.integers(0, 1 << 64, bands * rows, np.uint64) | np.uint64(1)
+    shift = random.integers(0, 1 << 64, bands * rows, np.uint64)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(shingles), 512):
+            np.minimum(least, (shingles[lo : lo + 512, None] * factor + shift).min(axis=0), out=least)
+    key = np.arange(bands, dtype=np.uint64)
+    for k, part in enumerate(least.reshape(bands, rows).T):
+        key = _mixed(key ^ part, k + 1)
+    return key
+
+
+def _shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    own = [np.unique(h) for h in shingle_hashes(text, shingle)]
+    return np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+
+
+def _signatures(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                out: list[tuple] = []
+                names, sizes, keys = [], [], []
                 for t in part.column("text").to_pylist():
-                    own = [np.unique(h) for h in shingle_hashes(t, shingle)]
-                    own = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
-                    small = [np.unique(h) for h in shingle_hashes(t, words)]
-                    small = np.unique(np.concatenate(small)) if small else np.zeros(0, np.uint64)
-                    out.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), [majority([small], k) for k in range(copies)], majority([own], copies), majority([own], copies + 1)))
-                names, sizes, fps, s0, s1 = zip(*out, strict=True)
-                flat = np.array(fps, dtype=np.uint64).view(np.int64)
-                lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, copies, dtype=np.int32), pa.array(flat.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists, *(pa.array(np.array(s, dtype=np.uint64).view(np.int64)) for s in (s0, s1))], ["doc_id", "same", "size", "fps", "s0", "s1"])
+                    own = _shingle_set(t, shingle)
+                    names.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    sizes.append(len(own))
+                    keys.append(band_keys(own, bands, rows))
+                flat = np.concatenate(keys).view(np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, bands, dtype=np.int32), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "same", "size", "keys"])
 
     return run
 
@@ -433,11 +455,9 @@ def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = []
-                for t in part.column("text").to_pylist():
-                    own = [np.unique(h) for h in shingle_hashes(t, shingle)]
-                    sets.append(np.unique(np.concatenate(own)).tobytes() if own else b"")
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+                sets = [_shingle_set(t, shingle).tobytes() for t in part.column("text").to_pylist()]
+                names = [xxhash.xxh3_128_digest(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["same", "shingles"])
 
     return run
 
@@ -456,24 +476,53 @@ def _verify(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 1, copies: int = 16, tau: int = 3, sketch_tau: int = 36, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def neighbours(rows: DataFrame, similarity: float, reach: int, salt: int) -> DataFrame:
+    """Pairs (a, b) of each key's rows (key, node, size, root) up to ``reach`` places apart in a random order, of other roots and of sizes that allow the similarity."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(salt)), "node")
+    before = F.array(*[F.lag(F.struct("node", "size", "root"), d).over(order) for d in range(1, reach + 1)])
+    both = rows.withColumn("before", before).select("node", "size", "root", F.explode("before").alias("o"))
+    return _pairs(both, F.col("o.node"), F.col("o.size"), F.col("o.root"), similarity)
+
+
+def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """As ``neighbours``, at any distance."""
+    other = rows.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "size", "root")])
+    return _pairs(rows.join(other, "key").filter("node < node_2"), F.col("node_2"), F.col("size_2"), F.col("root_2"), similarity)
+
+
+def _pairs(both: DataFrame, node, size, root, similarity: float) -> DataFrame:
+    near = (F.col("root") != root) & (F.least("size", size) >= F.lit(similarity) * F.greatest("size", size))
+    return both.filter(near).select(F.least("node", node).alias("a"), F.greatest("node", node).alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, missed: float = 1e-6, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id, the smallest id that a document reaches over links.
 
-    A link is a Jaccard similarity of the sets of ``shingle``-word shingles of at least ``similarity``, computed exactly. Candidates are documents with one of
-    ``copies`` independent fingerprints of their distinct ``words``-word shingles within ``tau`` bits, of sizes that allow the similarity, and whose
-    128-bit SimHash of the large shingles differs in at most ``sketch_tau`` bits (about 19 are expected at 0.8). Documents without words are not duplicates.
+    A link is a Jaccard similarity of the sets of ``shingle``-word shingles of at least ``similarity``, computed exactly. Candidates are documents that share a
+    band of ``rows`` MinHashes of these sets; there are so many bands that a link is overlooked with a chance of at most ``missed`` however the
+    texts differ, and far less above the threshold. Documents without words are not duplicates.
     """
+    bands = bands_for(missed, similarity, rows)
     read = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
-    signed = written(arrow_map(read, _signatures(shingle, words, copies), "doc_id bigint, same binary, size bigint, fps array<bigint>, s0 bigint, s1 bigint"), "signatures")
-    # Documents with the same shingles are one node.
-    nodes = written(signed.filter("size > 0").groupBy("same").agg(F.min("doc_id").alias("node")), "nodes")
-    distinct = signed.withColumnRenamed("doc_id", "node").join(nodes, ["same", "node"]).dropDuplicates(["node"])
-    points = written(distinct.select("node", "size", "s0", "s1", F.posexplode("fps").alias("l", "fp")), "points")
-    links = written(candidate_links(points, tau, {"similarity": similarity, "sketch_tau": sketch_tau}), "candidates")
-    wanted = written(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    sets = arrow_map(read.withColumnRenamed("doc_id", "node").join(wanted, "node").dropDuplicates(["node"]), _shingle_sets(shingle), "node bigint, shingles binary")
-    sets = written(sets, "sets")
-    both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    roots = components(arrow_map(both, _verify(similarity), "a bigint, b bigint"))
-    named = written(nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id")), "named")
+    signed = written(arrow_map(read, _signatures(shingle, bands, rows), "doc_id bigint, same binary, size bigint, keys array<bigint>"), "signatures")
+    # Documents with the same shingles are one node; texts that share an id are not.
+    nodes = signed.filter("size > 0").groupBy("same").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    keyed = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    keyed = written(keyed.select("key", "node", "size"), "keys")
+    wanted = written(nodes.join(keyed.select("node").distinct(), "node").select("same", "node", "least"), "wanted")
+    texts = read.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    sets = arrow_map(texts, _shingle_sets(shingle), "same binary, shingles binary").join(wanted.select("same", "node"), "same")
+    sets = written(sets.dropDuplicates(["node"]).select("node", "shingles"), "sets")
+
+    def verified(links: DataFrame) -> DataFrame:
+        both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        return written(arrow_map(both, _verify(similarity), "a bigint, b bigint"), "verified")
+
+    links = verified(neighbours(keyed.withColumn("root", F.col("node")), similarity, REACH, 0))
+    roots = components(links)
+    named = nodes.select("node", "same", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(named.join(least, "root").select("same", "component_id"), "named")
     return signed.join(named, "same", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
