@@ -259,6 +259,29 @@ def test_near_duplicates_of_any_shape(spark):
     assert [found[k] for k in range(160)] == [k // 4 * 4 for k in range(160)]
 
 
+def template_copies(n, seed=2):
+    rng = np.random.default_rng(seed)
+    template = [f"w{x}" for x in rng.integers(0, 3000, 120)]
+    out = []
+    for k in range(n):
+        w = list(template)
+        for at in rng.choice(120, 2 + k % 2, replace=False):
+            w[at] = f"x{rng.integers(1 << 30)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Copies of a template of which most pairs are just not alike: no link may be given up for a nearer one that proves false."""
+    from tracelake.llm.simhash import near_duplicates
+
+    texts = template_copies(150)
+    roots = brute_components(list(range(150)), lambda i, j: alike(texts[i], texts[j]))
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(roots)) > 5
+    assert [found[k] for k in range(150)] == roots
+
+
 # 3
 
 

@@ -38,8 +38,8 @@ HOT = 1 << 16
 ROW_COST = 100
 #: Buckets of the sketches that estimate collisions: an error of about one hundredth of the number of points.
 SKETCH_BITS = 14
-#: Places apart up to which the rows of a band are verified against each other at first.
-REACH = 2
+#: Places apart up to which the rows of a band are verified against each other, round by round; the last round takes all that are left.
+REACH = (2, 8)
 _NULL_ID = -(1 << 63)
 _PIECE = 1 << 22
 _KEY = ("l", "mask", "key")
@@ -490,6 +490,13 @@ def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return _pairs(rows.join(other, "key").filter("node < node_2"), F.col("node_2"), F.col("size_2"), F.col("root_2"), similarity)
 
 
+def open_keys(keyed: DataFrame, roots: DataFrame, done: int) -> DataFrame:
+    """The rows of keys with more than ``done`` rows and more than one root, and their roots."""
+    rows = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter((F.col("n") > done) & (F.col("lo") < F.col("hi")))
+    return rows.join(several.select("key"), "key", "left_semi").select("key", "node", "size", "root")
+
+
 def _pairs(both: DataFrame, node, size, root, similarity: float) -> DataFrame:
     near = (F.col("root") != root) & (F.least("size", size) >= F.lit(similarity) * F.greatest("size", size))
     return both.filter(near).select(F.least("node", node).alias("a"), F.greatest("node", node).alias("b")).distinct()
@@ -520,8 +527,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         return written(arrow_map(both, _verify(similarity), "a bigint, b bigint"), "verified")
 
-    links = verified(neighbours(keyed.withColumn("root", F.col("node")), similarity, REACH, 0))
-    roots = components(links)
+    # Verified links join components; only pairs of components that are still separate go on, until none is left unverified.
+    roots = components(verified(neighbours(keyed.withColumn("root", F.col("node")), similarity, REACH[0], 0)))
+    for k, reach in enumerate(REACH):
+        left = written(open_keys(keyed, roots, reach + 1), "left")
+        if left.isEmpty():
+            break
+        more = neighbours(left, similarity, REACH[k + 1], k + 1) if k + 1 < len(REACH) else all_pairs(left, similarity)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more)))
     named = nodes.select("node", "same", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(named.join(least, "root").select("same", "component_id"), "named")
