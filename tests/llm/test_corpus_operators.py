@@ -282,6 +282,17 @@ def test_near_duplicates_at_the_threshold(spark):
     assert [found[k] for k in range(150)] == roots
 
 
+def test_near_duplicates_are_dropped_by_row(spark):
+    """Ids that are null or repeated: of each group one row stays, and no other row that shares its id is lost or spared."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    data = [(None, a), (None, a + " end"), (None, b), (5, b + " end"), (7, c), (7, c + " end"), (7, a + " more"), (8, ""), (8, "")]
+    found = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    rows = sorted(((r["doc_id"], r["text"][:1]) for r in found.collect()), key=str)
+    assert rows == sorted([(None, "a"), (None, "b"), (7, "c"), (8, ""), (8, "")], key=str)
+
+
 # 3
 
 
