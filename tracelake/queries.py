@@ -311,10 +311,10 @@ def _even(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waveform(spark, sf_dir).withColumn("x", F.col("step_idx") * 0.001)
 
 
-def _fft(output: str, window: str = "hanning") -> Query:
+def _fft(output: str, window: str = "hanning", whole: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = spectral.fft(_even(spark, sf_dir), ["y"], name=window, output=output)
-        if output != "magnitude":  # where there is something to see
+        if output != "magnitude" and not whole:  # where there is something to see
             out = out.filter((F.col("bin") > 0) & (F.col("bin") < 20))
         return out.select("step", "bin", _round("freq").alias("freq"), _round("y", 5).alias("v"))
 
@@ -446,6 +446,8 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
     "fft_rectangular": (_fft("magnitude", "rectangular"), _W + _DFT.format(sample="y - mean", weight="1.0") + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a"),
     "fft_db": (_fft("db"), _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(20 * log10(greatest(amount, 1e-300)) + {_NUDGE}, 5) AS v FROM a WHERE bin BETWEEN 1 AND 19"),
     "fft_phase": (_fft("phase"), _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(degrees(atan2(im, re)) + {_NUDGE}, 5) AS v FROM a WHERE bin BETWEEN 1 AND 19"),
+    "fft_db_whole": (_fft("db", whole=True), _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(20 * log10(greatest(amount, 1e-300)) + {_NUDGE}, 5) AS v FROM a"),
+    "fft_phase_whole": (_fft("phase", whole=True), None),  # the sign of rounding noise decides between 180 and -180
     "fft_waveform": (_fft_waveform, None),
     "fft_points": (_fft_points, _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a WHERE step < 4"),
     "resample_uniform": (_resample, _W + f""", e AS (SELECT step, min(x) AS a, max(x) AS b, max(n) AS n FROM w GROUP BY step),
