@@ -34,3 +34,11 @@ def test_all_bins(spark, sf_dir, name, of):
     for k, v in expected.items():
         off = abs(found[k] - v)
         assert min(off, abs(turn - off)) < 2e-5, k
+
+
+def test_points_of_all_steps(spark, sf_dir):
+    found = {(r["step"], r["bin"]): r["v"] for r in Q.queries()["fft_points_whole"](spark, sf_dir).collect()}
+    expected = {(s, k): v for s, y in samples(spark, sf_dir).items() for k, v in enumerate(amounts(y))}
+    assert len({s for s, _ in expected}) > 4
+    assert found.keys() == expected.keys()
+    assert all(abs(found[k] - v) < 2e-5 for k, v in expected.items())

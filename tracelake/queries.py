@@ -328,7 +328,15 @@ def _fft_waveform(spark, sf_dir):
 
 
 def _fft_points(spark, sf_dir):
-    points = fft_points(Points.of(_even(spark, sf_dir), [Variable("V(out)", "y", "V")]), ["V(out)"], chosen={0, 1, 2, 3}, name="hanning")
+    return _spectra(spark, sf_dir, {0, 1, 2, 3})
+
+
+def _fft_points_whole(spark, sf_dir):
+    return _spectra(spark, sf_dir, None)
+
+
+def _spectra(spark, sf_dir, chosen):
+    points = fft_points(Points.of(_even(spark, sf_dir), [Variable("V(out)", "y", "V")]), ["V(out)"], chosen=chosen, name="hanning")
     return points.evaluate("Frequency", "FFT(V(out))", keep=("step", "step_idx")).toDF("step", "bin", "freq", "v").select("step", "bin", _round("freq").alias("freq"), _round("v", 5).alias("v"))
 
 
@@ -450,6 +458,7 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
     "fft_phase_whole": (_fft("phase", whole=True), None),  # the sign of rounding noise decides between 180 and -180
     "fft_waveform": (_fft_waveform, None),
     "fft_points": (_fft_points, _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a WHERE step < 4"),
+    "fft_points_whole": (_fft_points_whole, _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a"),
     "resample_uniform": (_resample, _W + f""", e AS (SELECT step, min(x) AS a, max(x) AS b, max(n) AS n FROM w GROUP BY step),
         q AS (SELECT step, k AS step_idx, CASE WHEN k = n - 1 THEN b ELSE a + k * ((b - a) / (n - 1)) END AS x FROM e, LATERAL (SELECT unnest(range(0, n)) AS k)),
         s AS (SELECT step, x, y, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM w WINDOW o AS (PARTITION BY step ORDER BY step_idx)),
