@@ -534,7 +534,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         if left.isEmpty():
             break
         more = neighbours(left, similarity, REACH[k + 1], k + 1) if k + 1 < len(REACH) else all_pairs(left, similarity)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more)))
+        more = verified(more)
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = nodes.select("node", "same", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(named.join(least, "root").select("same", "component_id"), "named")
