@@ -8,7 +8,8 @@ Template: ``<|role|>`` newline, text, ``<|end|>`` newline. A control string can'
 ``\\`` is written ``\\\\`` and ``<|`` is written ``<\\|``, which ``unescape`` undoes exactly.
 
 Nulls: a null text or role is empty; rows of a null conversation id form one conversation; a null turn
-comes first. Rows that tie in turn are ordered by role, then text. A conversation is one output value, so it must fit in a task.
+comes first. Rows that tie in turn are ordered by role, then text; repeated rows are turns of their own. Bytes that aren't UTF-8 become U+FFFD. An
+empty text is a turn without text, an empty table gives no rows, other columns are ignored. A conversation is one output value, so it must fit in a task.
 """
 
 from __future__ import annotations
@@ -31,6 +32,15 @@ _ESCAPED = re.compile(rb"\\(.)", re.S)
 _TURN = re.compile(rb"<\|((?:[^<\\]|\\.|<(?!\|))*?)\|>\n((?:[^<\\]|\\.|<(?!\|))*)<\|end\|>\n", re.S)
 
 
+def utf8(column: pa.Array) -> pa.Array:
+    """The bytes of a binary column with what isn't UTF-8 replaced by U+FFFD."""
+    try:
+        column.cast(pa.string())
+        return column
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace").encode() for x in column.to_pylist()], pa.binary())
+
+
 def escape(column: pa.Array) -> pa.Array:
     """Escaped bytes. ``|>`` is escaped as well, so a role can't end its own header."""
     for a, b in ((b"\\", b"\\\\"), (b"<|", b"<\\|"), (b"|>", b"|\\>")):
@@ -80,6 +90,7 @@ def _scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndar
 
 def assemble(conv: pa.Array, role: pa.Array, text: pa.Array, loss_roles: tuple[str, ...]) -> pa.RecordBatch:
     """Rows of whole conversations, adjacent and in order, to a row for each conversation."""
+    role, text = utf8(role), utf8(text)
     wanted = pc.is_in(role, pa.array([r.encode() for r in loss_roles], pa.binary())).to_numpy(zero_copy_only=False)
     (roles, r_off), (texts, t_off) = _buffers(escape(role)), _buffers(escape(text))
     r_len, t_len = np.diff(r_off), np.diff(t_off)

@@ -12,9 +12,11 @@ Rules that hold for every operator unless its docstring says otherwise:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,29 +35,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors see: spark.checkpoint.dir, on the default file system if it names none.
+
+    Where it is unset, a local master gets a folder of its own; any other master is refused, as its machines share no local folder.
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        known = spark.sparkContext.getCheckpointDir()
-        if not known:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracelake-"))
-            known = spark.sparkContext.getCheckpointDir()
-        path = known
-    if "://" not in path and not path.startswith("file:"):
-        path = f"file://{path}"
-    if path.startswith("file:/") and not path.startswith("file:///"):
-        path = "file://" + path[len("file:") :]
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tracelake-"))
+        path = context.getCheckpointDir()
+    folder = _hadoop_path(spark, path)
+    path = folder.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
     return path.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = _hadoop_path(spark, path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_open_folders: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that operators write inside the block go to one folder, which is deleted at its end.
+
+    Results are lazy and read those tables: write a result elsewhere (``written`` with a path) before the block ends.
+    """
+    path = f"{shared_dir(spark)}/tracelake/run-{uuid.uuid4().hex}"
+    _open_folders.append(path)
+    try:
+        yield path
+    finally:
+        _open_folders.remove(path)
+        _delete(spark, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracelake/{name}-{uuid.uuid4().hex}"
+    root = _open_folders[-1] if _open_folders else f"{shared_dir(spark)}/tracelake"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and still there when an executor is lost."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -63,12 +96,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def remove(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/tracelake/"
-    jvm = spark.sparkContext._jvm
+    root = _hadoop_path(spark, f"{shared_dir(spark)}/tracelake/").toUri().getPath()
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        if folder.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        if _hadoop_path(spark, path).toUri().getPath().startswith(root):
+            _delete(spark, path)
 
 
 def text_bytes(text: str | Column = "text") -> Column:

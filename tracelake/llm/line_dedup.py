@@ -6,7 +6,10 @@ any shuffle, so a line that a third of all documents share arrives as one row a
 except the one with the largest id; each text is put together again from its remaining lines in their order.
 
 Nulls: a null text is one empty line; a null id sorts below all others and counts as one document. Repeated rows of one id are one
-document for the counts and all get the same treatment. Lines of any length are hashed whole. Extra columns pass through.
+document for the counts and all get the same treatment. Lines of any length are hashed whole; bytes that aren't UTF-8 stay as they are. Extra
+columns pass through, but for two named like the results. An empty table gives no rows.
+
+Lines are exploded as (document, hash). Positions aren't shuffled: a text is split again when it is put together, and the order of its lines is their position.
 """
 
 from __future__ import annotations
@@ -67,7 +70,7 @@ def _rebuild(min_chars: int, text_col: str):
                     texts.append(t)
                     before.append(n)
                 columns = {n: part.column(n) for n in part.schema.names if n not in ("__text", "__drop", "__key")}
-                columns[text_col] = pa.array(texts, pa.binary()).cast(pa.string())
+                columns[text_col] = pa.array(texts, pa.binary())
                 columns["n_lines"] = pa.array(before, pa.int64())
                 columns["n_dropped"] = pa.array(gone, pa.int64())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -92,5 +95,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = docs.select(*[F.col(f"`{c}`") for c in keep], text_bytes(F.col(f"`{text_col}`")).alias("__text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("__key"))
     joined = work.join(drops, "__key", "left")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields if f.name in keep]
-    out = arrow_map(joined.select(*[F.col(f"`{c}`") for c in keep], "__text", "__drop"), _rebuild(min_chars, text_col), ", ".join([*fields, f"`{text_col}` string", "n_lines bigint", "n_dropped bigint"]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    out = arrow_map(joined.select(*[F.col(f"`{c}`") for c in keep], "__text", "__drop"), _rebuild(min_chars, text_col), ", ".join([*fields, f"`{text_col}` binary", "n_lines bigint", "n_dropped bigint"]))
+    own = {text_col.lower(): F.col(f"`{text_col}`").cast("string").alias(text_col)}  # Spark's own cast keeps bytes that aren't UTF-8
+    return out.select(*[own.get(c.lower(), F.col(f"`{c}`")) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

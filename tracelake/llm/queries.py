@@ -63,7 +63,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.decontaminate import decontaminate
 
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2)
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    items = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated", F.array_join("near_item_ids", ",").alias("near_items"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

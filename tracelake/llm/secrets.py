@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking, in DataFrame functions only.
 
 Three base kinds are strong and always reported. Three weak kinds (an account name, a mixed-case token, an endpoint) mean
-little alone: they are reported when complementary parts stand within ``scope`` characters, found by an interval join of a
+little alone: they are reported when complementary parts stand within ``scope`` characters and share no character with them, found by an interval join of a
 document's parts on cells of that width, so the work grows with the number of parts and not with its square.
 
 Positions: the text is split by a pattern and the matches extracted; running sums of the lengths of pieces and
@@ -117,9 +117,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     theirs = part.filter(F.col("ord") != kinds.index("endpoint")).select("doc", "same", F.col("start").alias("a"), F.col("ord").alias("o"), F.col("stop").alias("b")).withColumn("cell", F.explode(F.sequence(cell(F.col("a")), cell(F.col("b")))))
     ids, secrets = ([kinds.index(k) for k in names] for names in (IDENTIFIERS, SECRETS))
     near = mine.join(theirs, ["doc", "same", "cell"]).filter((F.col("a") <= F.col("stop") + scope) & (F.col("b") >= F.col("start") - scope))
-    seen = near.groupBy("doc", "same", "start", "ord", "stop").agg(F.max(F.col("o").isin(ids)).alias("id"), F.max(F.col("o").isin(secrets)).alias("secret"))
-    # An identifier needs a secret, a secret needs an identifier, an endpoint needs both.
-    linked = seen.filter(F.when(F.col("ord") == kinds.index("account"), F.col("secret")).when(F.col("ord") == kinds.index("mixed"), F.col("id")).otherwise(F.col("id") & F.col("secret")))
+    # No character is part of both halves.
+    near = near.filter((F.col("a") >= F.col("stop")) | (F.col("b") <= F.col("start")))
+    of = lambda own, column: F.when(F.col("o").isin(own), F.col(column))
+    seen = near.groupBy("doc", "same", "start", "ord", "stop").agg(F.max(of(ids, "a")).alias("id"), F.min(of(ids, "b")).alias("id_stop"), F.max(of(secrets, "a")).alias("secret"), F.min(of(secrets, "b")).alias("secret_stop"))
+    # An identifier needs a secret, a secret needs an identifier, an endpoint needs both, apart from each other.
+    both = (F.col("id_stop") <= F.col("secret")) | (F.col("secret_stop") <= F.col("id"))
+    linked = seen.filter(F.when(F.col("ord") == kinds.index("account"), F.col("secret").isNotNull()).when(F.col("ord") == kinds.index("mixed"), F.col("id").isNotNull()).otherwise(both))
     added = written(linked.groupBy("doc", "same").agg(F.collect_list(F.struct("start", "ord", "stop")).alias("added")), "linked")
     rows = rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     joined = rows.join(added, ["doc", "same"], "left")

@@ -49,8 +49,8 @@ _KEY = ("l", "mask", "key")
 
 
 def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
-    """XXH64 of every shingle, repeats included, a piece of the text at a time; fewer words than a shingle are one."""
-    at, tail = 0, []
+    """XXH64 of every shingle, repeats included, a piece of the text at a time; a text of fewer words than a shingle is one."""
+    at, tail, given = 0, [], False
     while True:
         stop = len(text)
         if stop - at > _PIECE:
@@ -60,7 +60,7 @@ def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
         words = tail + text[at:stop].lower().split()
         at = stop
         last = at >= len(text)
-        if len(words) >= size or last and words:
+        if len(words) >= size or last and words and not given:
             joined = b" ".join(words)
             sizes = np.fromiter(map(len, words), np.int64, len(words))
             ends = np.cumsum(sizes + 1) - 1
@@ -68,7 +68,7 @@ def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
             begins = (ends - sizes)[:n].tolist()
             digest = xxhash.xxh64_intdigest
             yield np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[min(size, len(words)) - 1 :].tolist(), strict=True)], dtype=np.uint64)
-            tail = words[n:]
+            tail, given = words[n:], True
         else:
             tail = words
         if last:
@@ -508,6 +508,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     A link is a Jaccard similarity of the sets of ``shingle``-word shingles of at least ``similarity``, computed exactly. Candidates are documents that share a
     band of ``rows`` MinHashes of these sets; there are so many bands that a link is overlooked with a chance of at most ``missed`` however the
     texts differ, and far less above the threshold. Documents without words are not duplicates.
+
+    A null id sorts below all others and comes back as null. Rows are told apart by their texts, so rows that share an id get the component of their own text; rows
+    with equal shingles are one node, and repeated rows cost nothing more. Texts of any length are read whole. An empty table gives no rows; other columns are ignored.
     """
     bands = bands_for(missed, similarity, rows)
     read = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
@@ -540,4 +543,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     named = nodes.select("node", "same", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(named.join(least, "root").select("same", "component_id"), "named")
-    return signed.join(named, "same", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    null = lambda c: F.nullif(c, F.lit(_NULL_ID))
+    return signed.join(named, "same", "left").select(null(F.col("doc_id")).alias("doc_id"), null(F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -32,9 +32,17 @@ SQL = {
         x AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM d, s WHERE len(w) >= n),
         h AS (SELECT x.doc_id, x.pos, x.n, g.item_id FROM x JOIN g ON x.n = g.n AND x.gram = g.gram),
         p AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS at FROM h) GROUP BY doc_id),
-        i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
-        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)""",
+        i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id),
+        t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
+        q AS (SELECT gram, any_value(n) AS n, string_split(gram, ' ') AS x FROM g GROUP BY gram),
+        v AS (SELECT gram, unnest(x) AS word, unnest(range(1, n + 1)) AS j FROM q),
+        c AS (SELECT word, count(*) AS f FROM t WHERE word IN (SELECT word FROM v) GROUP BY word),
+        r AS (SELECT gram, arg_min(v.word, (f, j)) AS word, arg_min(j, (f, j)) AS j FROM v JOIN c USING (word) GROUP BY gram),
+        a AS (SELECT DISTINCT gram, doc_id, p - j + k AS spot FROM r JOIN t USING (word), unnest(range(-2, 3)) AS u(k)),
+        y AS (SELECT a.gram, a.doc_id, a.spot FROM a JOIN v ON v.gram = a.gram JOIN q ON q.gram = a.gram JOIN t ON t.doc_id = a.doc_id AND t.word = v.word WHERE t.p - a.spot - v.j BETWEEN -2 AND 2 GROUP BY a.gram, a.doc_id, a.spot, q.n HAVING count(DISTINCT v.j) = q.n),
+        o AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS near_items FROM (SELECT DISTINCT y.doc_id, CAST(g.item_id AS VARCHAR) AS item FROM y JOIN g USING (gram)) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(near_items, '') AS near_items
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN o USING (doc_id)""",
 }
 
 
@@ -61,10 +69,11 @@ def _secrets_sql() -> str:
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         s AS ({" UNION ALL ".join(parts)}),
         w AS (
-            SELECT a.doc_id, a.ord, a.kind, a.start, a.stop FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.start <= a.stop + {SCOPE} AND b.stop >= a.start - {SCOPE}
+            SELECT a.doc_id, a.ord, a.kind, a.start, a.stop FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.start <= a.stop + {SCOPE} AND b.stop >= a.start - {SCOPE} AND (b.start >= a.stop OR b.stop <= a.start)
             WHERE a.ord >= 3 GROUP BY ALL
             HAVING CASE a.kind WHEN 'account' THEN bool_or(b.kind IN ('assign', 'hex', 'mixed')) WHEN 'mixed' THEN bool_or(b.kind IN ('access', 'account'))
-                   ELSE bool_or(b.kind IN ('assign', 'hex', 'mixed')) AND bool_or(b.kind IN ('access', 'account')) END),
+                   ELSE min(b.stop) FILTER (WHERE b.kind IN ('access', 'account')) <= max(b.start) FILTER (WHERE b.kind IN ('assign', 'hex', 'mixed'))
+                     OR min(b.stop) FILTER (WHERE b.kind IN ('assign', 'hex', 'mixed')) <= max(b.start) FILTER (WHERE b.kind IN ('access', 'account')) END),
         u AS (SELECT * FROM s WHERE ord < 3 UNION ALL SELECT * FROM w),
         g AS (SELECT doc_id, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access, count(*) FILTER (WHERE ord = 2) AS n_hex,
                      string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, ord) FILTER (WHERE ord < 3) AS base,

@@ -8,7 +8,8 @@ most of its bytes, the earlier on a tie).
 A section ends after a ``section_break`` and includes it; what follows the last break is a section if it isn't empty, and an empty
 document is one empty section.
 
-Nulls: a null text is an empty document, a null id is kept. Repeated rows are counted each. An empty table gives no rows.
+Nulls: a null text is an empty document, a null id is kept. Repeated rows are counted each. An empty table gives no rows. Texts of any length are
+encoded whole, a text at a time; bytes that aren't UTF-8 count as U+FFFD. Other columns are ignored.
 """
 
 from __future__ import annotations

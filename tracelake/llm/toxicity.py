@@ -1,14 +1,16 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are byte n-grams of the lower-cased text, hashed into ``1 << bits`` buckets, present or absent. Over the labelled texts each
+Features are n-grams of the code points of the lower-cased text, hashed into ``1 << bits`` buckets, present or absent. Over the labelled texts each
 bucket gets the log of the ratio of its smoothed document frequencies among toxic and other texts. Buckets with a clear
 ratio are features, with the ratio as their value; a logistic regression with an L2 penalty on ratio-scaled features gives the score.
 
-Training reads at most ``max_labels`` labelled rows, chosen by a hash of their id, so what is fitted on and sent around has a
-bound that doesn't grow with the corpus. Scoring reads whole texts and no other column.
+What is fitted on and sent around has a bound that doesn't grow with the corpus, by parameters: training reads at most ``max_labels`` labelled rows, chosen by a hash
+of their id; a bucket needs ``min_docs`` of their texts and a ratio of ``min_ratio`` either way, and the ``max_features`` with the clearest ratios are used. Scoring
+reads whole texts, of any length, and no other column.
 
 Nulls: a null text is empty; a label row with a null id or label is ignored; a null id is scored and counts as held out. Several
-labels of one id: the mean decides, a tie is toxic. Without both labels every score is the share of toxic rows, or 0.
+labels of one id: the mean decides, a tie is toxic. Repeated rows get equal scores; rows that share a labelled id are all learned from. Bytes that aren't UTF-8 count as U+FFFD.
+An empty table gives no rows. Other columns pass, but for one named score. Without both labels every score is nearly the label there is, or nearly 0.
 """
 
 from __future__ import annotations
@@ -26,18 +28,22 @@ from tracelake.llm.common import arrow_map, slices, text_bytes, written
 MAX_LABELS = 20_000
 BITS = 20
 SIZES = (4, 5)
-FEATURES = 1 << 16
+MAX_FEATURES = 1 << 16
 MIN_DOCS = 5
 MIN_RATIO = 1.0
 PENALTY = 3.0
 _SEED = np.uint32(2654435761)
 
 
+def code_points(text: bytes) -> np.ndarray:
+    return np.frombuffer(f" {text.decode('utf-8', 'replace').lower()} ".encode("utf-32-le"), np.uint32)
+
+
 def buckets(texts: list[bytes], bits: int, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(document, bucket) of every n-gram, for each n; a text has a space at either end."""
-    data = np.frombuffer(b"".join(b" %b " % t.lower() for t in texts), np.uint8).astype(np.uint32)
-    lengths = np.array([len(t) + 2 for t in texts])
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    chars = [code_points(t) for t in texts]
+    data = np.concatenate(chars) if chars else np.zeros(0, np.uint32)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in chars])
     for n in sizes:
         if len(data) < n:
             continue
@@ -137,7 +143,7 @@ def _chosen(shared):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = MAX_LABELS, bits: int = BITS, sizes: tuple[int, ...] = SIZES, penalty: float = PENALTY) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = MAX_LABELS, bits: int = BITS, sizes: tuple[int, ...] = SIZES, penalty: float = PENALTY, min_docs: int = MIN_DOCS, min_ratio: float = MIN_RATIO, max_features: int = MAX_FEATURES) -> Model:
     """Fits on the labelled rows that aren't held out, at most ``max_labels`` of them."""
     spark = docs.sparkSession
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("label")).dropna().filter(~held_out(F.col("id")))
@@ -151,10 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n_toxic or not n_other:
         return Model(none, np.zeros(0), 30.0 if n_toxic else -30.0, bits, sizes)
     # At most 1 << bits rows, whatever the corpus.
-    counts = arrow_map(texts, _frequencies(bits, sizes), "bucket bigint, toxic bigint, other bigint").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter(F.col("toxic") + F.col("other") >= MIN_DOCS).toPandas().sort_values("bucket")
+    counts = arrow_map(texts, _frequencies(bits, sizes), "bucket bigint, toxic bigint, other bigint").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter(F.col("toxic") + F.col("other") >= min_docs).toPandas().sort_values("bucket")
     value = ratios(counts["toxic"].to_numpy(), counts["other"].to_numpy(), n_toxic, n_other)
-    strong = np.flatnonzero(np.abs(value) >= MIN_RATIO)
-    strong = np.sort(strong[np.argsort(-np.abs(value[strong]), kind="stable")][:FEATURES])
+    strong = np.flatnonzero(np.abs(value) >= min_ratio)
+    strong = np.sort(strong[np.argsort(-np.abs(value[strong]), kind="stable")][:max_features])
     feature = none.copy()
     feature[counts["bucket"].to_numpy()[strong]] = np.arange(len(strong))
     rows = arrow_map(texts, _chosen(spark.sparkContext.broadcast((feature, bits, sizes))), "label int, features array<int>").toArrow()

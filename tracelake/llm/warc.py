@@ -6,10 +6,11 @@ is in the manifest, so files of lost or repeated attempts are never read.
 Reader: a task owns the records that start inside its byte range. It scans for the gzip magic, and takes a
 candidate for a member only if that inflates to a WARC header, its check sum holds and the end of the file or another
 magic follows. After a record it goes on at the record's end, so bytes inside members are never
-looked at, except before the first record of a range.
+looked at, except before the first record of a range. A range is read forwards in steps of a megabyte, each byte once, and a member is inflated once.
 
 Nulls: a null payload is empty, a null URI becomes one made from the id, a null id is written as ``null`` and read back as null.
-Repeated rows of the smallest id are all responses. Extra columns are ignored.
+Repeated rows of the smallest id are all responses. A payload of any length is one record, held whole by its task. An empty table gives no
+archives and no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from tracelake.llm.common import arrow_map, new_path, text_bytes, written
 
 MIN_REVISIT = 100
 RANGE_BYTES = 16 << 20
-MAGIC = b"\x1f\x8b\x08"
+MAGIC, RECORD = b"\x1f\x8b\x08", b"WARC/"
+#: Bytes read at once, and bytes inflated at once.
+STEP, CHUNK = 1 << 20, 1 << 16
 _ID = "urn:page:"
 
 
@@ -89,20 +92,60 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     return written(arrow_map(marked, _write(folder, date), "path string, bytes bigint, records bigint"), "manifest")
 
 
-def _inflate(read, start: int, size: int, limit: int | None = None) -> tuple[bytes, int] | None:
-    """The member at ``start`` and where it ends, or None. ``limit``: stop once so many bytes have come out, with end -1."""
-    box, out, at, got = zlib.decompressobj(31), [], start, 0
+class Forward:
+    """Bytes of a file by place, read forwards in large steps: no byte is read twice while places go up."""
+
+    def __init__(self, handle, size: int, stop: int, step: int = STEP):
+        self.handle, self.size, self.stop, self.step = handle, size, stop, step
+        self.at, self.data = 0, bytearray()
+
+    def forget(self, before: int) -> None:
+        """Nothing below ``before`` is asked for again."""
+        if before >= self.at + len(self.data):
+            self.at, self.data = before, bytearray()
+        elif before - self.at >= self.step:
+            del self.data[: before - self.at]
+            self.at = before
+
+    def read(self, at: int, n: int) -> memoryview:
+        n = min(n, self.size - at)
+        while (end := self.at + len(self.data)) < at + n:
+            self.handle.seek(end)
+            # Behind the range only the rest of its last record is wanted.
+            ahead = self.step if end < self.stop else max(CHUNK, at + n - end)
+            new = self.handle.read(min(ahead, max(self.stop - end, CHUNK), self.size - end))
+            if not new:
+                raise OSError("the file is shorter than listed")
+            self.data += new
+        return memoryview(bytes(self.data[at - self.at : at - self.at + n]))
+
+    def find(self, word: bytes, at: int, stop: int) -> int:
+        """The first place of ``word`` that is at least ``at`` and below ``stop``, or -1."""
+        while at < stop:
+            self.read(at, CHUNK + len(word) - 1)
+            k = self.data.find(word, at - self.at, min(self.at + len(self.data), stop + len(word) - 1) - self.at)
+            if k >= 0:
+                return self.at + k
+            at = min(self.at + len(self.data) - len(word) + 1, stop) if self.at + len(self.data) < self.size else stop
+            self.forget(at)
+        return -1
+
+
+def _member(source: Forward, start: int) -> tuple[bytes, int] | None:
+    """The gzip member at ``start`` and where it ends, or None if it isn't a whole member that begins like a record. It is inflated once."""
+    box, out, at, head = zlib.decompressobj(31), [], start, b""
     try:
-        while at < size and not box.eof:
-            data = read(at, 1 << 16)
+        while at < source.size and not box.eof:
+            data = source.read(at, CHUNK)
             out.append(box.decompress(data))
-            got += len(out[-1])
             at += len(data)
-            if limit is not None and got >= limit:
-                return b"".join(out), -1
+            if len(head) < len(RECORD):
+                head += out[-1][: len(RECORD)]
+                if not RECORD.startswith(head[: len(RECORD)]):
+                    return None
     except zlib.error:
         return None
-    return (b"".join(out), at - len(box.unused_data)) if box.eof else None
+    return (b"".join(out), at - len(box.unused_data)) if box.eof and head.startswith(RECORD) else None
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -118,31 +161,17 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def records_from(handle, size: int, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
     """(offset, content) of every record that starts in [start, stop)."""
-
-    def read(at: int, n: int) -> bytes:
-        handle.seek(at)
-        return handle.read(min(n, size - at))
-
-    at = start
-    while at < stop:
-        data = read(at, (1 << 16) + len(MAGIC) - 1)
-        k = data.find(MAGIC)
-        if k < 0:
-            at += 1 << 16
-            continue
-        at += k
-        if at >= stop:
-            return
-        peek = _inflate(read, at, size, 5)
-        if peek is None or not peek[0].startswith(b"WARC/"):
-            at += 1
-            continue
-        whole = _inflate(read, at, size)
-        if whole is None or not (whole[1] >= size or read(whole[1], 2) == MAGIC[:2]):
+    source, at = Forward(handle, size, stop), start
+    source.forget(start)
+    while (at := source.find(MAGIC, at, stop)) >= 0:
+        source.forget(at)
+        found = _member(source, at)
+        # The end of the file or the next member's magic has to follow.
+        if found is None or not (found[1] >= size or source.read(found[1], 2) == MAGIC[:2]):
             at += 1
             continue
-        yield at, whole[0]
-        at = whole[1]
+        yield at, found[0]
+        at = found[1]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
