@@ -164,3 +164,48 @@ def test_step_selectors(spark):
         with pytest.raises(ValueError):
             p.compile(text)
     assert p.df.select(F.lit(1)).count() == 5
+
+
+def test_recursion_is_refused_where_it_is_defined():
+    from tracelake.plans.compiler import without_recursion
+    from tracelake.plans.syntax import parse_function
+
+    texts = [".func loop(x) {1 ? x : loop(x)}", ".func a(x) {b(x)+1}", ".func b(x) {c(x)}", ".func c(x) {max(1, A(x))}", ".func uses(x) {a(x)}", ".func fine(x) {twice(twice(x))}", ".func twice(x) {2*x}"]
+    known = {f.name.casefold(): f for f in map(parse_function, texts)}
+    assert set(without_recursion(known)) == {"uses", "fine", "twice"}
+
+
+def test_recursive_functions_are_no_functions(spark):
+    points = Points.of(spark.range(1).withColumn("q", F.lit(1.0)), [Variable("q", "q", "V")], [".func f(x) {1 ? x : f(x)}", ".func g(x) {x+q}"])
+    with pytest.raises(ValueError):
+        points.compile("f(q)")
+    assert points.compile("g(q)").unit == "V"
+
+
+def test_compiled_text_is_kept(spark):
+    points = Points.of(spark.range(1).withColumn("q", F.lit(1.0)), [Variable("q", "q", "V")])
+    assert points.compile("q+1") is points.compile("q+1")
+    more = points.with_expression("q+1", "sum").with_expression("2*q", "q2")
+    assert more.compile("sum+1").text == "(sum+1)" and points.with_expression("  ") is points
+    with pytest.raises(ValueError):
+        points.compile("sum+1")
+
+
+def test_complex_formulas_at_the_edges(spark):
+    """Large and small parts neither overflow nor lose their digits."""
+    cases = [400 + 1j, -400 - 2j, 1e-9 + 3j, 0.3 + 800j, -0.2 - 900j, 1e200 + 1e200j, 1e-200 + 2e-200j, -5 + 1e-9j, 7 - 1e-9j, 3j, -4 + 0j]
+    df = spark.createDataFrame([(k, (z.real, z.imag)) for k, z in enumerate(cases)], "i int, z struct<re:double,im:double>")
+    points = Points.of(df, [Variable("z", "z", "", "voltage", True)])
+    of = {"tan(z)": np.tan, "tanh(z)": np.tanh, "sqrt(z)": np.sqrt, "z/(2*z)": lambda z: z * 0 + 0.5, "acos(1/(z+3))": lambda z: np.arccos(1 / (z + 3)), "min(z, 0*z)": lambda z: np.where(z.real < 0, z, 0), "limit(z, 0*z, 0*z+2)": lambda z: np.where(z.real < 0, 0, np.where(z.real > 2, 2, z))}
+    rows = points.evaluate(*of, keep=("i",)).toDF("i", *[f"v{k}" for k in range(len(of))]).orderBy("i").collect()
+    z = np.array(cases)
+    with np.errstate(all="ignore"):
+        for k, (text, make) in enumerate(of.items()):
+            expected = make(z)
+            for r in rows:
+                e, v = expected[r["i"]], r[f"v{k}"]
+                if not np.isfinite(e) or (text.startswith(("acos", "limit")) and abs(z[r["i"]]) > 1e150):
+                    continue
+                if text == "limit(z, 0*z, 0*z+2)" and z[r["i"]].real in (0.0, 2.0):
+                    continue  # ties in the real part go by the imaginary one
+                assert abs(complex(v["re"], v["im"]) - e) <= 1e-12 * max(abs(e), 1e-300) * (1e4 if "acos" in text else 1), (text, z[r["i"]], v, e)

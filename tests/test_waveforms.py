@@ -293,3 +293,54 @@ def test_spectrum_of_a_file_and_command_line(spark, tmp_path):
     assert main([path]) == 0 and main([str(tmp_path / "none")]) == 1 and main([]) == 1
     (tmp_path / "text").write_text("hello\n")
     assert main([str(tmp_path / "text")]) == 1
+
+
+def test_linked_views():
+    a, b = W.View((0.2, 0.4), (0.1, 0.3)), W.View((0.2, 0.4), (0.5, 0.6))
+    assert W.fit([a, b]) == [W.View(), W.View()]
+    assert W.fit([a, b], 1) == [W.View((0, 1), (0.1, 0.3)), W.View()]
+    assert W.auto_ranged([a, b], 0) == [W.View((0.2, 0.4), (0, 1)), b]
+    assert W.to_extent([a, b], 10, 20, 17, 15)[0] == W.View((0.5, 0.7), (0.1, 0.3))
+    assert W.to_extent([a], 20, 10, 0, 15)[0].x == (0.5, 1.0)
+
+
+def test_kept_ranks(spark):
+    for m in range(1, 30):
+        df = spark.createDataFrame([(0, k) for k in range(m)], "step int, step_idx long") if m % 7 == 0 else None
+        for target in (1, 2, 3, 4, 7, 12):
+            kept = D.even_ranks(m, target)
+            assert len(kept) == min(m, target) and (np.diff(kept) > 0).all() and kept[0] == 0
+            if m > target > 2:
+                inner = np.rint(np.linspace(0, m - 3, target - 2)).astype(int) + 1
+                assert kept.tolist() == [0, *inner, m - 1]
+            if df is not None and target > 2:
+                assert [r["step_idx"] for r in D.trim(df, target, ["step"], "step_idx").orderBy("step_idx").collect()] == kept.tolist()
+
+
+def test_charts_expand_by_their_type(spark):
+    from tracelake.plans.charts import chart_series
+    from tracelake.plans.compiler import expand
+
+    df = spark.createDataFrame([(0, k, float(k), (float(k), 1.0), float("inf") if k == 3 else 2.0) for k in range(6)], "step int, step_idx long, x double, z struct<re:double,im:double>, r double")
+    points = Points.of(df, [Variable("z", "z", "V", "voltage", True), Variable("r", "r", "A", "current")])
+    assert expand(points, "z", "AC") == ["db(z)", "phase(z)"] and expand(points, "z", "TRANSIENT") == [] and expand(points, "r", "AC") == ["r"]
+    drawn = chart_series(points, ["z", "r", "r"], "AC", 1.0, 4.0).collect()
+    assert {(r["series"], r["unit"], r["axis"]) for r in drawn} == {("db(z)", "dB", 0), ("phase(z)", "°", 1), ("r", "A", 2)}
+    assert sorted((r["x"], r["step_idx"]) for r in drawn if r["series"] == "r") == [(1.0, 0), (2.0, 1), (4.0, 3)]
+    with pytest.raises(ValueError):
+        chart_series(points, ["z"], "DC")
+
+
+def test_smith_views():
+    v = [Variable("S11", "a", "", "parameter", True), Variable("S22", "b", "", "parameter", True), Variable("x", "c")]
+    assert smith.suggested(["s11", "S22"], v) == ["s11"] and smith.suggested(["x", "S11"], v) == []
+    assert [w.name for w in smith.selectable(v)] == ["S11", "S22"]
+    assert smith.changed({("S11", 0), ("S11", 1)}, {("S11", 1), ("S22", 0)}) == ({("S11", 0)}, {("S22", 0)})
+
+
+def test_thd_reads_its_spectra_once(spark):
+    n = 64
+    s = spectral.fft(series(spark, np.arange(n) / n, np.sin(2 * np.pi * 4 * np.arange(n) / n)), ["y"], name="rectangular")
+    out = spectral.thd(s.withColumnRenamed("y", "value"), ["step"])
+    out.collect()
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FlatMapGroupsInArrow") == 1

@@ -88,8 +88,12 @@ def mul(a: Pair, b: Pair) -> Pair:
 
 
 def div(a: Pair, b: Pair) -> Pair:
-    q = b[0] * b[0] + b[1] * b[1]
-    return ieee.divide(a[0] * b[0] + a[1] * b[1], q), ieee.divide(a[1] * b[0] - a[0] * b[1], q)
+    """The divisor is scaled by its larger part, so that its square neither overflows nor vanishes."""
+    large = F.greatest(F.abs(b[0]), F.abs(b[1]))
+    size = F.when((large == 0) | (large == float("inf")), F.lit(1.0)).otherwise(large)
+    u, v = b[0] / size, b[1] / size
+    q = u * u + v * v
+    return ieee.divide(ieee.divide(a[0] * u + a[1] * v, q), size), ieee.divide(ieee.divide(a[1] * u - a[0] * v, q), size)
 
 
 def modulus(a: Pair) -> Column:
@@ -109,8 +113,12 @@ def log(a: Pair) -> Pair:
 
 
 def sqrt(a: Pair) -> Pair:
+    """The larger part by a sum, the smaller one by division, so that no digits cancel."""
     m, side = modulus(a), F.when(a[1] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    return F.sqrt((m + a[0]) / 2), side * F.sqrt((m - a[0]) / 2)
+    large = F.sqrt((m + F.abs(a[0])) / 2)
+    small = F.when(m == 0, F.lit(0.0)).when(m == float("inf"), F.sqrt((m - F.abs(a[0])) / 2)).otherwise(ieee.divide(F.abs(a[1]), 2 * large))
+    right = a[0] >= 0
+    return F.when(right, large).otherwise(small), side * F.when(right, small).otherwise(large)
 
 
 def power(a: Pair, b: Pair) -> Pair:
@@ -130,8 +138,8 @@ def _cos(a):
 
 
 def _tan(a):
-    d = F.cos(2 * a[0]) + F.cosh(2 * a[1])
-    return ieee.divide(F.sin(2 * a[0]), d), ieee.divide(F.sinh(2 * a[1]), d)
+    along, across = _ratio(a[1], a[0])
+    return across, along
 
 
 def _sinh(a):
@@ -142,9 +150,15 @@ def _cosh(a):
     return F.cosh(a[0]) * F.cos(a[1]), F.sinh(a[0]) * F.sin(a[1])
 
 
+def _ratio(x: Column, y: Column) -> Pair:
+    """tanh(x + iy) by powers of exp(-2|x|), which can't overflow."""
+    t = F.exp(-2 * F.abs(x))
+    d = 1 + t * t + 2 * t * F.cos(2 * y)
+    return ieee.divide(F.signum(x) * -F.expm1(-4 * F.abs(x)), d), ieee.divide(2 * t * F.sin(2 * y), d)
+
+
 def _tanh(a):
-    d = F.cosh(2 * a[0]) + F.cos(2 * a[1])
-    return ieee.divide(F.sinh(2 * a[0]), d), ieee.divide(F.sin(2 * a[1]), d)
+    return _ratio(a[0], a[1])
 
 
 def _foci(a):

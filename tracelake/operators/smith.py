@@ -20,6 +20,22 @@ def eligible(v: Variable) -> bool:
     return v.name.upper().startswith(("S11", "S22")) and v.kind == "parameter"
 
 
+def suggested(suggestion: list[str], variables: list[Variable]) -> list[str]:
+    """What a new chart shows: the first suggested expression, if it is complex."""
+    known = {v.name.casefold(): v.is_complex for v in variables}
+    return [e for e in suggestion[:1] if known.get(e.casefold())]
+
+
+def selectable(variables: list[Variable]) -> list[Variable]:
+    """Only complex variables can be chosen."""
+    return [v for v in variables if v.is_complex]
+
+
+def changed(shown: set, wanted: set) -> tuple[set, set]:
+    """Traces (expression, step) to take away and to draw; the others stay as they are."""
+    return shown - wanted, wanted - shown
+
+
 def _finite(c: Column) -> Column:
     return ~F.isnan(c) & (F.abs(c) != ieee.INF)
 

@@ -80,7 +80,7 @@ def spectrum(x: np.ndarray, signals: np.ndarray, name: str = "hanning", output:
     if not is_uniform(x):
         grid = np.linspace(x[0], x[-1], n)
         signals, x = np.stack([np.interp(grid, x, s) for s in signals]), grid
-    dt = (x[-1] - x[0]) / (n - 1)
+    dt = x[1] - x[0]  # the first step; the others agree within the tolerance of is_uniform
     if not dt > 0:
         raise ValueError("x must rise")
     weights = window(name, n)
@@ -151,22 +151,26 @@ def thd(spectra: DataFrame, by: list[str], value: str = "value", fundamental: fl
     The fundamental is the largest value besides bin 0, the first of equal ones, or the bin nearest to a given frequency. A harmonic
     is the largest value within the tolerance of its frequency, else the nearest bin within twice that, else left out. Raises where the fundamental isn't positive.
     """
-    s = spectra.select(*by, "bin", "freq", F.col(value).alias("v"))
-    facts = s.groupBy(*by).agg(
-        F.max("freq").alias("top"),
-        (F.max(F.when(F.col("bin") == 1, F.col("freq"))) - F.max(F.when(F.col("bin") == 0, F.col("freq")))).alias("df"),
-        (F.min(F.struct(F.abs(F.col("freq") - F.lit(fundamental)), "bin", "freq", "v")) if fundamental is not None else F.max(F.when(F.col("bin") > 0, F.struct("v", -F.col("bin"), "freq")))).alias("f"),
-    )
-    tol = F.lit(tolerance) if tolerance is not None else F.greatest(F.coalesce(F.col("df"), F.lit(0.0)) / 2, F.lit(1e-12))
-    facts = facts.select(*by, "top", tol.alias("tol"), F.col("f.freq").alias("f1"), F.col("f.v").alias("a1"))
-    wanted = facts.withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(max(2, harmonics))))).filter(F.col("k") <= harmonics).withColumn("at", F.col("k") * F.col("f1")).filter("at <= top")
-    # Bins within twice the tolerance of a harmonic: each bin looks at the one harmonic it is nearest to.
-    near = s.join(facts, by).withColumn("k", F.rint(F.col("freq") / F.when(F.col("f1") != 0, F.col("f1"))).cast("int"))
-    seen = near.join(wanted.select(*by, "k", "at"), [*by, "k"]).withColumn("off", F.abs(F.col("freq") - F.col("at"))).filter("off <= 2 * tol")
-    each = seen.groupBy(*by, "k").agg(F.max(F.when(F.col("off") <= F.col("tol"), F.col("v"))).alias("inside"), F.min_by("v", F.struct("off", "bin")).alias("closest"))
-    sums = each.groupBy(*by).agg(F.sum(F.pow(F.coalesce("inside", "closest"), F.lit(2.0))).alias("sum"))
-    out = facts.join(sums, by, "left")
-    return out.select(*by, F.when(F.col("a1") > 0, F.sqrt(F.coalesce("sum", F.lit(0.0))) / F.col("a1")).otherwise(F.raise_error(F.lit("the fundamental's amplitude isn't positive")).cast("double")).alias("thd"))
+    # A series' bins as one value: the spectrum, which one task made whole, is read once.
+    rows = spectra.select(*by, F.struct("bin", "freq", F.col(value).alias("v")).alias("s")).groupBy(*by).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    over = lambda make, keep=None: F.transform(F.filter("s", keep) if keep else F.col("s"), make)
+    at = lambda k: F.get(over(lambda b: b["freq"], lambda b: b["bin"] == k), F.lit(0))
+    if fundamental is None:
+        first = F.array_max(over(lambda b: F.struct(b["v"].alias("v"), (-b["bin"]).alias("at"), b["freq"].alias("freq")), lambda b: b["bin"] > 0))
+    else:
+        first = F.array_min(over(lambda b: F.struct(F.abs(b["freq"] - F.lit(fundamental)).alias("off"), b["bin"].alias("at"), b["freq"].alias("freq"), b["v"].alias("v"))))
+    tol = F.lit(tolerance).cast("double") if tolerance is not None else F.greatest(F.coalesce((at(1) - at(0)) / 2, F.lit(0.0)), F.lit(1e-12))
+    rows = rows.select(*by, "s", F.array_max(over(lambda b: b["freq"])).alias("top"), tol.alias("tol"), first.alias("f"))
+    off = lambda b, k: F.abs(b["freq"] - k * F.col("f.freq"))
+
+    def harmonic(k):
+        inside = F.array_max(over(lambda b: b["v"], lambda b: off(b, k) <= F.col("tol")))
+        nearest = F.array_min(over(lambda b: F.struct(off(b, k).alias("off"), b["bin"].alias("bin"), b["v"].alias("v")), lambda b: off(b, k) <= 2 * F.col("tol")))["v"]
+        return F.when(k * F.col("f.freq") <= F.col("top"), F.coalesce(inside, nearest, F.lit(0.0))).otherwise(F.lit(0.0))
+
+    squares = [F.pow(harmonic(k), F.lit(2.0)) for k in range(2, harmonics + 1)]
+    a1 = F.col("f.v")
+    return rows.select(*by, F.when(a1 > 0, F.sqrt(sum(squares, F.lit(0.0))) / a1).otherwise(F.raise_error(F.lit("the fundamental's amplitude isn't positive")).cast("double")).alias("thd"))
 
 
 def even_grid(df: DataFrame, by: list[str], order: str = "step_idx", x: str = "x") -> DataFrame:

@@ -68,19 +68,14 @@ def segment(df: DataFrame, params: dict[str, str] | None = None, stepped: bool =
         up = ieee.compare("<=", F.col("__first"), F.col("__last"))
         starts = F.col("__x").isNotNull() & F.when(up, ieee.compare("<", moved, F.lit(0.0))).otherwise(ieee.compare(">", moved, F.lit(0.0)))
     cut = running_count(past.withColumn("__starts", starts), F.col("__starts"), "__step", keys, order, chunk)
-    if params:
-        inside = cut.filter(~F.col("__starts") & F.col("__x").isNotNull())
-        facts = _by(inside, keys).agg(F.max(ieee.compare(">", F.col(x) - F.col("__x"), F.lit(0.0))).alias("__up"), F.max(ieee.compare("<", F.col(x) - F.col("__x"), F.lit(0.0))).alias("__down"))
-        bad = facts.withColumn("__bad", F.coalesce(F.col("__up") & F.col("__down"), F.lit(False))).drop("__up", "__down")
-    else:
-        sizes = cut.groupBy(*keys, "__step").agg(F.count(F.lit(1)).alias("__n"))
-        bad = _by(sizes, keys).agg((F.min("__n") != F.max("__n")).alias("__bad"))
-    begins = cut.groupBy(*keys, "__step").agg(F.min(order).alias("__start"))
-    if keys:
-        joined = cut.join(bad, keys, "left")
-    else:
-        joined = cut.crossJoin(bad.drop("__all").agg(F.coalesce(F.max("__bad"), F.lit(False)).alias("__bad")))  # one row
-    joined = joined.join(begins, [*keys, "__step"])
+    # One pass over the points for what the steps are; the rest is worked out on a row for each step.
+    inside = ~F.col("__starts") & F.col("__x").isNotNull()
+    moves = lambda op: F.max(F.when(inside, ieee.compare(op, moved, F.lit(0.0))))
+    facts = cut.groupBy(*keys, "__step").agg(F.min(order).alias("__start"), F.count(F.lit(1)).alias("__n"), moves(">").alias("__up"), moves("<").alias("__down"))
+    mixed = F.coalesce(F.max("__up") & F.max("__down"), F.lit(False)) if params else F.min("__n") != F.max("__n")
+    bad = _by(facts, keys).agg(mixed.alias("__bad"))
+    begins = _attach(facts.select(*keys, "__step", "__start"), bad, keys)
+    joined = cut.join(begins, [*keys, "__step"])
     whole = F.coalesce(F.col("__bad"), F.lit(False))
     points = joined.select(*[f"`{c}`" for c in df.columns], F.when(whole, 0).otherwise(F.col("__step")).cast("int").alias("step"), F.when(whole, F.col(order)).otherwise(F.col(order) - F.col("__start")).alias("step_idx"), whole.alias("__whole"))
     table = describe(points, params, keys, order, x)

@@ -85,6 +85,23 @@ def link(views: list[View], origin: int, x: tuple[float, float] | None = None, y
     return [v.zoomed(x, y if k == origin else None) for k, v in enumerate(views)]
 
 
+def fit(views: list[View], origin: int | None = None) -> list[View]:
+    """Back to the whole: every chart in x, and in y the one chart that asks, or all."""
+    return [v.reset(y=origin in (None, k)) for k, v in enumerate(views)]
+
+
+def auto_ranged(views: list[View], origin: int) -> list[View]:
+    """The chart that asks shows its whole range of y again; nothing moves in x."""
+    return [v.reset(x=False, y=k == origin) for k, v in enumerate(views)]
+
+
+def to_extent(views: list[View], left: float, right: float, low: float, high: float) -> list[View]:
+    """All charts show x from ``low`` to ``high`` of a whole from ``left`` to ``right``, in either order; y stays."""
+    size = right - left
+    edges = sorted(min(max((edge - left) / size, 0.0), 1.0) for edge in (low, high)) if size else [0.0, 1.0]
+    return [replace(v, x=(edges[0], edges[1])) for v in views]
+
+
 def ratio_to_x(ratio: float, left: float, right: float) -> float:
     return left + min(max(ratio, 0.0), 1.0) * (right - left)
 

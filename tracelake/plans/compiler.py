@@ -7,7 +7,7 @@ expanded where they are called. A step selector is a join on the place within th
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,10 +59,12 @@ class Points:
     step: str = "step"
     step_idx: str = "step_idx"
     n_steps: int | None = None
+    #: Expressions compiled so far; a copy with other variables starts anew.
+    _compiled: dict[str, Compiled] = field(default_factory=dict, init=False, repr=False, compare=False)
 
     @classmethod
     def of(cls, df: DataFrame, variables: list[Variable], functions: list[str] = (), **more) -> Points:
-        """Bad function definitions are left out; of two equal names the later one counts."""
+        """Bad function definitions are left out, as are functions that call themselves, by others or not; of two equal names the later one counts."""
         known: dict[str, Function] = {}
         for text in functions:
             try:
@@ -70,20 +72,35 @@ class Points:
             except ValueError:
                 continue
             known[f.name.casefold()] = f
-        return cls(df, {v.name.casefold(): v for v in variables}, known, **more)
+        return cls(df, {v.name.casefold(): v for v in variables}, without_recursion(known), **more)
 
     def search(self, part: str = "") -> list[str]:
         return [v.name for v in self.variables.values() if part.casefold() in v.name.casefold()]
 
     def compile(self, text: str) -> Compiled:
         """Text that is a variable's whole name, such as one made by an operator, is that variable."""
+        if text in self._compiled:
+            return self._compiled[text]
         work = _Work(self)
         if (known := self.variables.get(text.casefold())) is not None:
             return Compiled(known.name, work.variable(text.casefold()), known.unit)
         tree = parse(text)
         value = work.value(tree, {}, ())
         unit = units.infer(tree, {k: v.unit for k, v in self.variables.items()}, self.functions)
-        return Compiled(canonical(tree), value, unit, tuple(work.selectors))
+        found = Compiled(canonical(tree), value, unit, tuple(work.selectors))
+        if not found.selectors:  # their joins have names of their own each time
+            self._compiled[text] = found
+        return found
+
+    def resolved(self, texts: list[str]) -> list[Compiled]:
+        """Those of the texts that compile."""
+        out = []
+        for text in texts:
+            try:
+                out.append(self.compile(text))
+            except ValueError:
+                continue
+        return out
 
     def joined(self, compiled: Compiled) -> DataFrame:
         """The points with what the expression's selectors need."""
@@ -105,9 +122,9 @@ class Points:
     def with_expression(self, text: str, name: str | None = None) -> Points:
         """The points with a column for the expression and a variable for it; the text evaluates again under its canonical form.
 
-        An expression that is a variable's name already changes nothing.
+        An expression that is a variable's name already changes nothing, and neither does a blank one.
         """
-        if (name or text).casefold() in self.variables:
+        if not text.strip() or (name or text).casefold() in self.variables:
             return self
         c = self.compile(text)
         column = f"d{len(self.df.columns)}"
@@ -116,6 +133,24 @@ class Points:
         return replace(self, df=df, variables=self.variables | {v.name.casefold(): v})
 
 
+def _called(node: object) -> set[str]:
+    """Names of all functions that a tree calls."""
+    if isinstance(node, tuple):
+        return set().union(*map(_called, node))
+    if not is_dataclass(node):
+        return set()
+    own = {node.name.casefold()} if isinstance(node, Call) else set()
+    return own.union(*(_called(getattr(node, f.name)) for f in fields(node)))
+
+
+def without_recursion(functions: dict[str, Function]) -> dict[str, Function]:
+    """The functions that can't reach themselves over calls."""
+    reached = {name: _called(f.body) & functions.keys() for name, f in functions.items()}
+    for _ in functions:
+        reached = {name: found.union(*(reached[x] for x in found)) for name, found in reached.items()}
+    return {name: f for name, f in functions.items() if name not in reached[name]}
+
+
 class _Work:
     def __init__(self, points: Points):
         self.points, self.selectors = points, []
@@ -235,8 +270,15 @@ class _Work:
 
 def expand_ac(points: Points, name: str) -> list[str]:
     """The expressions that a chart over frequency draws for a variable: its size in dB and its phase if it is complex."""
-    v = points.variables[name.casefold()]
-    return [f"db({v.name})", f"phase({v.name})"] if v.is_complex else [v.name]
+    return expand(points, name, "AC")
+
+
+def expand(points: Points, text: str, chart: str) -> list[str]:
+    """The expressions that a chart draws for one: size in dB and phase of a complex one over frequency; other charts leave complex ones out."""
+    c = points.compile(text)
+    if not c.is_complex:
+        return [text]
+    return [f"db({c.text})", f"phase({c.text})"] if chart == "AC" else []
 
 
 def unit_of(df: DataFrame, column: str) -> str:

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from tracelake.operators import decimate as D
 from tracelake.operators import smith, spectral, steps
 from tracelake.operators import windowing as W
-from tracelake.plans.charts import chart_type, fft_points, suggestions
+from tracelake.plans.charts import chart_ranges, chart_series, chart_type, fft_points, suggestions
 from tracelake.plans.compiler import Points, Variable, as_column, expand_ac
 from tracelake.plans.syntax import canonical, parse
+from tracelake.sources import waveform as source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,6 +172,12 @@ COMPLEX: dict[str, tuple[str, str, str]] = {
     "complex_cosh": ("cosh(z)", f"{_CHX} * cos(y)", f"{_SHX} * sin(y)"),
     "complex_power": ("w ^ 2.5", "exp(2.5 * ln(sqrt(u*u + v*v))) * cos(2.5 * atan2(v, u))", "exp(2.5 * ln(sqrt(u*u + v*v))) * sin(2.5 * atan2(v, u))"),
     "complex_asin": ("asin(w)", f"asin(greatest(-1, least(1, {_NEAR_W})))", _HEIGHT_W),
+    "complex_acos": ("acos(w)", f"acos(greatest(-1, least(1, {_NEAR_W})))", f"-{_HEIGHT_W}"),
+    "complex_atan": ("atan(w)", "atan2(2 * u, 1 - u*u - v*v) / 2", "ln((u*u + (v+1)*(v+1)) / (u*u + (v-1)*(v-1))) / 4"),
+    "complex_tan": ("tan(z)", "sin(2*x) / (cos(2*x) + (exp(2*y) + exp(-2*y)) / 2)", "(exp(2*y) - exp(-2*y)) / 2 / (cos(2*x) + (exp(2*y) + exp(-2*y)) / 2)"),
+    "complex_tanh": ("tanh(z)", "(exp(2*x) - exp(-2*x)) / 2 / (cos(2*y) + (exp(2*x) + exp(-2*x)) / 2)", "sin(2*y) / (cos(2*y) + (exp(2*x) + exp(-2*x)) / 2)"),
+    "complex_min": ("min(z, w)", "CASE WHEN x < u OR x = u AND y <= v THEN x ELSE u END", "CASE WHEN x < u OR x = u AND y <= v THEN y ELSE v END"),
+    "complex_round": ("round(z*3)", "round_even(3 * x, 0) + 0.0", "round_even(3 * y, 0) + 0.0"),
     "complex_ternary": ("real(z) > 0 ? z : w", "CASE WHEN x > 0 THEN x ELSE u END", "CASE WHEN x > 0 THEN y ELSE v END"),
     "complex_max": ("max(z, w)", "CASE WHEN x > u OR x = u AND y >= v THEN x ELSE u END", "CASE WHEN x > u OR x = u AND y >= v THEN y ELSE v END"),
 }
@@ -287,6 +294,82 @@ def _plot(spark, sf_dir):
     return _rounded(W.finite(D.decimate(seen, 16)), "x", "y")
 
 
+def _charted(spark, sf_dir):
+    points = Points.of(waveform(spark, sf_dir), [Variable("Time", "x", "s", "time"), Variable("V(out)", "y", "V", "voltage"), Variable("I(R1)", "p", "A", "current")])
+    return chart_series(points, ["20*log10(abs(V(out)))", "V(out)", "I(R1)*V(out)"], "TRANSIENT", 86400.0, 2e6, 16)
+
+
+def _chart(spark, sf_dir):
+    return _rounded(_charted(spark, sf_dir).withColumn("dash", F.array_join(F.col("dash").cast("array<string>"), " ")), "x", "y")
+
+
+def _chart_ranges(spark, sf_dir):
+    """M4 keeps the extremes of each bucket; the ranges are those of all visible points where it drops no bucket."""
+    points = Points.of(waveform(spark, sf_dir), [Variable("V(out)", "y", "V", "voltage"), Variable("I(R1)", "p", "A", "current")])
+    return _rounded(chart_ranges(chart_series(points, ["20*log10(abs(V(out)))", "V(out)", "I(R1)*V(out)"], "TRANSIENT", 86400.0, 2e6)), "low", "high")
+
+
+_HEADER = """Title: events
+Plotname: {plot}
+Flags: {flags}
+No. Variables: {n}
+No. Points: {{points}}
+Abscissa: 0 1 {scale}
+.alias sum V(out)+V(in)
+.func half(x) {{{{x/2}}}}
+Variables:
+{variables}
+"""
+
+
+def _header(variables: list[tuple[str, str]], flags: str, scale: str = "lin", plot: str = "Transient Analysis") -> str:
+    return _HEADER.format(plot=plot, flags=flags, n=len(variables), scale=scale, variables="\n".join(f"{k}\t{n}\t{t}" for k, (n, t) in enumerate(variables)))
+
+
+def _stepped_file(spark: SparkSession, sf_dir: str) -> source.WaveformFile:
+    """All events as one binary file of a step for each user, with a variable of a type that is skipped; then the file as it is loaded."""
+    e = waveform(spark, sf_dir).select("step", "step_idx", "x", F.col("y").alias("out"), F.lit(1.0).alias("odd"), (F.col("y") / 2).alias("in"))
+    path = source.shared_path(spark, "stepped.bin")
+    variables = [("Time", "time"), ("V(out)", "voltage"), ("odd", "strange"), ("V(in)", "voltage"), ("R1", "parameter")]
+    source.write_points(e, path, _header(variables, "real stepped"), ["step", "step_idx"], ["x", "out", "odd", "in", "step"])
+    return source.load(spark, path)
+
+
+def _file_stepped(spark, sf_dir):
+    f = _stepped_file(spark, sf_dir)
+    return _rounded(f.points.evaluate("Time", "half(sum)", keep=("point_idx", "step", "step_idx")).toDF("point_idx", "step", "step_idx", "x", "v"), "x", "v")
+
+
+def _file_steps(spark, sf_dir):
+    table = _stepped_file(spark, sf_dir).steps
+    texts = steps.step_table(table).select("step", F.element_at("values", "R1").alias("r1"))
+    return _rounded(table.join(texts, "step").select("step", "start", "stop", "x_first", "x_last", "r1"), "x_first", "x_last")
+
+
+def _file_complex(spark, sf_dir):
+    """Complex rows over decades, with the alias that noise runs give to a spectrum."""
+    pair = lambda re, im: F.struct(re.cast("double").alias("re"), im.cast("double").alias("im"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") + 1).alias("f"), pair(F.col("value"), F.col("event_id") % 7).alias("noise"), pair(1 + F.col("event_id") % 3, F.lit(1)).alias("in"))
+    path = source.shared_path(spark, "noise.bin")
+    variables = [("Frequency", "frequency"), ("V(onoise_spectrum)", "voltage"), ("V(in)", "voltage")]
+    source.write_points(e, path, _header(variables, "complex", "dec", "Noise Spectral Density"), ["event_id"], ["f", "noise", "in"], True)
+    out = source.load(spark, path).points.evaluate("V(onoise)/V(in)", keep=("point_idx", "x")).toDF("point_idx", "x", "v")
+    return _rounded(out.select("point_idx", "x", "v.re", "v.im"), "x", "re", "im")
+
+
+def _steps_mixed(spark, sf_dir):
+    """Files of which every other one goes back and forth inside its steps, and so is one step."""
+    w = waveform(spark, sf_dir).withColumnRenamed("step", "file").withColumnRenamed("step_idx", "point_idx")
+    w = w.withColumn("x", F.when(F.col("file") % 2 == 0, F.col("point_idx") % 3).otherwise(F.col("point_idx")).cast("double"))
+    points, _ = steps.segment(w, {"p": "p"}, True, ["file"])
+    return points.select("file", "point_idx", "step", "step_idx")
+
+
+def _extent_falling(spark, sf_dir):
+    table = steps.describe(waveform(spark, sf_dir).withColumn("x", -F.col("x")), {}, [], "step_idx")
+    return _rounded(steps.extent(table), "left", "right")
+
+
 def _uniform(spark, sf_dir):
     w = waveform(spark, sf_dir).withColumn("x", F.when(F.col("step") % 2 == 0, F.col("step_idx") * 0.25).otherwise(F.col("x")))
     return spectral.uniform(w, ["step"])
@@ -311,11 +394,9 @@ def _even(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waveform(spark, sf_dir).withColumn("x", F.col("step_idx") * 0.001)
 
 
-def _fft(output: str, window: str = "hanning", whole: bool = False) -> Query:
+def _fft(output: str, window: str = "hanning") -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = spectral.fft(_even(spark, sf_dir), ["y"], name=window, output=output)
-        if output != "magnitude" and not whole:  # where there is something to see
-            out = out.filter((F.col("bin") > 0) & (F.col("bin") < 20))
         return out.select("step", "bin", _round("freq").alias("freq"), _round("y", 5).alias("v"))
 
     return run
@@ -328,15 +409,7 @@ def _fft_waveform(spark, sf_dir):
 
 
 def _fft_points(spark, sf_dir):
-    return _spectra(spark, sf_dir, {0, 1, 2, 3})
-
-
-def _fft_points_whole(spark, sf_dir):
-    return _spectra(spark, sf_dir, None)
-
-
-def _spectra(spark, sf_dir, chosen):
-    points = fft_points(Points.of(_even(spark, sf_dir), [Variable("V(out)", "y", "V")]), ["V(out)"], chosen=chosen, name="hanning")
+    points = fft_points(Points.of(_even(spark, sf_dir), [Variable("V(out)", "y", "V")]), ["V(out)"], name="hanning")
     return points.evaluate("Frequency", "FFT(V(out))", keep=("step", "step_idx")).toDF("step", "bin", "freq", "v").select("step", "bin", _round("freq").alias("freq"), _round("v", 5).alias("v"))
 
 
@@ -426,6 +499,14 @@ _WEIGHTS = {"rectangular": "1.0", "hamming": "0.54 - 0.46 * cos(2 * pi() * step_
 _PSTEPS = """, c AS (SELECT step AS file, step_idx AS point_idx, x, p, coalesce(p <> lag(p) OVER (PARTITION BY step ORDER BY step_idx), false) AS s FROM w),
     g AS (SELECT *, CAST(sum(CASE WHEN s THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY point_idx) AS INTEGER) AS step FROM c)"""
 
+_PHASE_SQL = _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(CASE WHEN bin = 0 OR n % 2 = 0 AND bin = n // 2 THEN CASE WHEN re < 0 THEN 180 ELSE 0 END ELSE degrees(atan2(im, re)) END + {_NUDGE}, 5) AS v FROM a"
+_RESAMPLED = """, e AS (SELECT step, min(x) AS a, max(x) AS b, max(n) AS n FROM w GROUP BY step),
+        q AS (SELECT step, k AS step_idx, CASE WHEN k = n - 1 THEN b ELSE a + k * ((b - a) / (n - 1)) END AS x FROM e, LATERAL (SELECT unnest(range(0, n)) AS k)),
+        s AS (SELECT step, x, y, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM w WINDOW o AS (PARTITION BY step ORDER BY step_idx)),
+        j AS (SELECT q.step, q.step_idx, q.x, s.x AS x1, s.y AS y1, s.x2, s.y2 FROM q ASOF JOIN s ON q.step = s.step AND q.x >= s.x)"""
+_FILE_W = """WITH w AS (SELECT CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS INTEGER) AS step, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step_idx, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS point_idx,
+    (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6 AS x, value AS y, CAST(user_id AS DOUBLE) AS p FROM events)"""
+
 OPERATORS: dict[str, tuple[Query, str | None]] = {
     "steps_by_parameter": (_steps_by_parameter, _W + _PSTEPS + " SELECT file, point_idx, step, point_idx - min(point_idx) OVER (PARTITION BY file, step) AS step_idx FROM g"),
     "steps_table": (_steps_table, _W + _PSTEPS + f" SELECT file, step, min(point_idx) AS start, max(point_idx) + 1 AS stop, round(arg_min(x, point_idx) + {_NUDGE}, {_R}) AS x_first, round(arg_max(x, point_idx) + {_NUDGE}, {_R}) AS x_last, arg_min(p, point_idx) AS p FROM g GROUP BY file, step"),
@@ -445,24 +526,42 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
     "decimate_average": (_decimated("average"), _W + f", b AS (SELECT *, CASE WHEN n <= 16 THEN step_idx ELSE step_idx // ((n + 15) // 16) END AS b, CASE WHEN n <= 16 THEN n ELSE n // ((n + 15) // 16) END AS nb FROM w) SELECT step, b AS step_idx, round(avg(x) + {_NUDGE}, {_R}) AS x, round(avg(y) + {_NUDGE}, {_R}) AS y FROM b WHERE b < nb GROUP BY step, b"),
     "decimate_lttb": (_decimated("lttb"), None),
     "decimate_rdp": (_decimated("rdp"), None),
-    "decimate_m4_trimmed": (_decimated("m4", 3), None),
+    "decimate_m4_trimmed": (_decimated("m4", 3), _W + _BUCKETS.format(p=1).replace("16", "3") + f""", t AS (SELECT step, step_idx, x, y, row_number() OVER (PARTITION BY step ORDER BY step_idx) AS i, count(*) OVER (PARTITION BY step) AS m FROM r WHERE lo = 1 OR hi = 1 OR fi = 1 OR la = 1)
+        SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM t WHERE m <= 3 OR i IN (1, 2, m)"""),
     "plot_series": (_plot, _W + f", v AS (SELECT step, x, 20 * log10(y) AS y, row_number() OVER (PARTITION BY step ORDER BY step_idx) - 1 AS step_idx, count(*) OVER (PARTITION BY step) AS n FROM w WHERE x BETWEEN 86400 AND 2e6)" + _BUCKETS.format(p=4).replace("FROM w)", "FROM v)", 1) + f" SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM r WHERE lo = 1 OR hi = 1 OR fi = 1 OR la = 1"),
+    "plot_chart": (_chart, _W + f""", v AS (SELECT step * 10 + k AS step, x, row_number() OVER (PARTITION BY step, k ORDER BY step_idx) - 1 AS step_idx, count(*) OVER (PARTITION BY step, k) AS n,
+            CASE k WHEN 0 THEN 20 * log10(abs(y)) WHEN 1 THEN y ELSE p * y END AS y FROM w, range(0, 3) AS t(k) WHERE x BETWEEN 86400 AND 2e6)""" + _BUCKETS.format(p=4).replace("FROM w)", "FROM v)", 1) + f""", d AS (SELECT step % 10 AS k, step // 10 AS step, step_idx, x, y FROM r WHERE lo = 1 OR hi = 1 OR fi = 1 OR la = 1)
+        SELECT CASE k WHEN 0 THEN '(20*log10(abs(V(out))))' WHEN 1 THEN 'V(out)' ELSE '(I(R1)*V(out))' END AS series, CASE k WHEN 0 THEN '' WHEN 1 THEN 'V' ELSE 'W' END AS unit, CAST(k AS INTEGER) AS axis, CAST(k AS INTEGER) AS colour,
+               CASE WHEN step > 0 THEN '3 ' || CAST(step + 1 AS VARCHAR) ELSE '' END AS dash, step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM d"""),
+    "plot_ranges": (_chart_ranges, _W + f""", v AS (SELECT y, p, x, step FROM w WHERE x BETWEEN 86400 AND 2e6), u AS (SELECT 'V' AS unit, y FROM v UNION ALL SELECT 'W', p * y FROM v UNION ALL SELECT '', 20 * log10(abs(y)) FROM v)
+        SELECT unit, round(min(y) - 0.03 * (max(y) - min(y)) + {_NUDGE}, {_R}) AS low, round(max(y) + 0.03 * (max(y) - min(y)) + {_NUDGE}, {_R}) AS high FROM u GROUP BY unit"""),
+    "file_stepped": (_file_stepped, _FILE_W + f" SELECT point_idx, step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round((y + y / 2) / 2 + {_NUDGE}, {_R}) AS v FROM w"),
+    "file_steps": (_file_steps, _FILE_W + f" SELECT step, min(point_idx) AS start, max(point_idx) + 1 AS stop, round(min(x) + {_NUDGE}, {_R}) AS x_first, round(max(x) + {_NUDGE}, {_R}) AS x_last, CAST(min(p) AS VARCHAR) AS r1 FROM w GROUP BY step"),
+    "file_complex": (_file_complex, f"""WITH w AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS point_idx, log10(event_id + 1) AS x, value AS a, CAST(event_id % 7 AS DOUBLE) AS b, 1.0 + event_id % 3 AS u, 1.0 AS v FROM events)
+        SELECT point_idx, round(x + {_NUDGE}, {_R}) AS x, round((a * u + b * v) / (u * u + v * v) + {_NUDGE}, {_R}) AS re, round((b * u - a * v) / (u * u + v * v) + {_NUDGE}, {_R}) AS im FROM w"""),
+    "steps_mixed": (_steps_mixed, _W + """, c AS (SELECT step AS file, step_idx AS point_idx, CASE WHEN step % 2 = 0 THEN step_idx % 3 ELSE step_idx END AS x, p FROM w),
+        d AS (SELECT *, coalesce(p <> lag(p) OVER o, false) AS s, x - lag(x) OVER o AS m FROM c WINDOW o AS (PARTITION BY file ORDER BY point_idx)),
+        g AS (SELECT *, CAST(sum(CASE WHEN s THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY point_idx) AS INTEGER) AS g FROM d),
+        b AS (SELECT file, coalesce(bool_or(NOT s AND m > 0), false) AND coalesce(bool_or(NOT s AND m < 0), false) AS bad FROM g GROUP BY file)
+        SELECT file, point_idx, CASE WHEN bad THEN 0 ELSE g END AS step, CASE WHEN bad THEN point_idx ELSE point_idx - min(point_idx) OVER (PARTITION BY file, g) END AS step_idx FROM g JOIN b USING (file)"""),
+    "steps_extent_falling": (_extent_falling, _W + f", s AS (SELECT step, arg_min(x, step_idx) AS a, arg_max(x, step_idx) AS b FROM w GROUP BY step) SELECT false AS ascending, round(max(-a) + {_NUDGE}, {_R}) AS left, round(min(-b) + {_NUDGE}, {_R}) AS right FROM s"),
     "is_uniform": (_uniform, _W + ", e AS (SELECT step, step_idx, CASE WHEN step % 2 = 0 THEN step_idx * 0.25 ELSE x END AS x FROM w), d AS (SELECT step, step_idx, x - lag(x) OVER (PARTITION BY step ORDER BY step_idx) AS d FROM e), g AS (SELECT step, d, first_value(d) OVER (PARTITION BY step ORDER BY step_idx) AS d0, max(abs(d)) OVER (PARTITION BY step) AS m FROM d WHERE d IS NOT NULL) SELECT step, bool_and(abs(d - d0) <= greatest(1e-12, 2.220446049250313e-16 * greatest(m, 1) * 10) + 1e-3 * abs(d0)) AS uniform FROM g GROUP BY step"),
     "frequency_preview": (_preview, _W + " SELECT step, round((count(*) - 1) / (max(x) - min(x)) / count(*), 12) AS df, round((count(*) - 1) / (max(x) - min(x)) / 2, 12) AS nyquist FROM w GROUP BY step"),
     **{f"window_{k}": (_weights(k), _W + f" SELECT step, step_idx, round({v} + {_NUDGE}, {_R}) AS weight FROM w") for k, v in _WEIGHTS.items()},
     "fft_magnitude": (_fft("magnitude"), _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a"),
     "fft_rectangular": (_fft("magnitude", "rectangular"), _W + _DFT.format(sample="y - mean", weight="1.0") + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a"),
-    "fft_db": (_fft("db"), _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(20 * log10(greatest(amount, 1e-300)) + {_NUDGE}, 5) AS v FROM a WHERE bin BETWEEN 1 AND 19"),
-    "fft_phase": (_fft("phase"), _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(degrees(atan2(im, re)) + {_NUDGE}, 5) AS v FROM a WHERE bin BETWEEN 1 AND 19"),
-    "fft_db_whole": (_fft("db", whole=True), _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(20 * log10(greatest(amount, 1e-300)) + {_NUDGE}, 5) AS v FROM a"),
-    "fft_phase_whole": (_fft("phase", whole=True), None),  # the sign of rounding noise decides between 180 and -180
-    "fft_waveform": (_fft_waveform, None),
-    "fft_points": (_fft_points, _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a WHERE step < 4"),
-    "fft_points_whole": (_fft_points_whole, _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a"),
-    "resample_uniform": (_resample, _W + f""", e AS (SELECT step, min(x) AS a, max(x) AS b, max(n) AS n FROM w GROUP BY step),
-        q AS (SELECT step, k AS step_idx, CASE WHEN k = n - 1 THEN b ELSE a + k * ((b - a) / (n - 1)) END AS x FROM e, LATERAL (SELECT unnest(range(0, n)) AS k)),
-        s AS (SELECT step, x, y, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM w WINDOW o AS (PARTITION BY step ORDER BY step_idx)),
-        j AS (SELECT q.step, q.step_idx, q.x, s.x AS x1, s.y AS y1, s.x2, s.y2 FROM q ASOF JOIN s ON q.step = s.step AND q.x >= s.x)
+    "fft_db": (_fft("db"), _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(20 * log10(greatest(amount, 1e-300)) + {_NUDGE}, 5) AS v FROM a"),
+    "fft_phase": (_fft("phase"), _PHASE_SQL),
+    "fft_db_whole": (_fft("db"), _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(20 * log10(greatest(amount, 1e-300)) + {_NUDGE}, 5) AS v FROM a"),
+    "fft_phase_whole": (_fft("phase"), _PHASE_SQL),
+    "fft_waveform": (_fft_waveform, _W + _RESAMPLED + f""", r AS (SELECT j.step, j.step_idx, n, a, b, CASE WHEN x2 IS NULL OR x = x1 THEN y1 ELSE y1 + (x - x1) * ((y2 - y1) / (x2 - x1)) END AS y FROM j JOIN e USING (step) WHERE n > 1),
+        s2 AS (SELECT *, CAST(pow(2, ceil(log2(n))) AS BIGINT) AS size, 0.54 - 0.46 * cos(2 * pi() * step_idx / (n - 1)) AS weight FROM r),
+        f AS (SELECT step, n, size, a, b, k AS bin, sum(y * weight * cos(2 * pi() * ((k * step_idx) % size) / size)) * 2 / sum(weight) AS re, -sum(y * weight * sin(2 * pi() * ((k * step_idx) % size) / size)) * 2 / sum(weight) AS im
+              FROM s2, LATERAL (SELECT unnest(range(0, size // 2 + 1)) AS k) GROUP BY step, n, size, a, b, k)
+        SELECT step, bin, round(bin / (size * ((b - a) / (n - 1))), 9) AS freq, round(sqrt(re * re + im * im) / CASE WHEN bin = 0 OR bin = size // 2 THEN 2 ELSE 1 END + {_NUDGE}, 5) AS v FROM f"""),
+    "fft_points": (_fft_points, _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a"),
+    "fft_points_whole": (_fft_points, _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a"),
+    "resample_uniform": (_resample, _W + _RESAMPLED + f"""
         SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(CASE WHEN x2 IS NULL OR x = x1 THEN y1 ELSE y1 + (x - x1) * ((y2 - y1) / (x2 - x1)) END + {_NUDGE}, {_R}) AS y FROM j"""),
     "thd": (_thd, _W + _DFT.format(sample="y - mean", weight="1.0") + f""", t AS (SELECT step, arg_max(freq, {{'a': amount, 'i': -bin}}) AS f1, max(amount) AS a1 FROM a WHERE bin > 0 GROUP BY step),
         z AS (SELECT step, max(freq) AS top, max(freq) FILTER (WHERE bin = 1) / 2 AS tol FROM a GROUP BY step),

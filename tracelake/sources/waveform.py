@@ -7,6 +7,8 @@ a task decodes only the columns that are asked for.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -227,6 +229,49 @@ def _named(points: Points, alias: str, name: str) -> Points:
     return replace(points, variables=points.variables | {alias.casefold(): replace(v, name=alias)})
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new file's path in the folder that all machines see, or in a local one where none is set and the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tracelake-")
+    if folder.startswith("file:/"):
+        folder = "/" + folder.removeprefix("file:").lstrip("/")
+    return f"{folder.rstrip('/')}/waveforms/{uuid.uuid4().hex}-{name}"
+
+
+def _write_rows(path: str, header: bytes, is_complex: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = _where(path)
+        fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        n = 0
+        with fs.open_output_stream(at) as out:
+            out.write(header + b"Binary:\n")
+            for batch in batches:
+                parts = []
+                for k, column in enumerate(batch.columns):
+                    pair = [column.field("re"), column.field("im")] if is_complex and k else [column]
+                    parts += [c.to_numpy(zero_copy_only=False) for c in pair]
+                out.write(np.column_stack(parts).astype("<f8").tobytes())
+                n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    return run
+
+
+def write_points(df: DataFrame, path: str, header: str, order: list[str], columns: list[str], is_complex: bool = False) -> int:
+    """Writes ``columns`` of ``df`` by ``order`` as one file: sorted in parallel, then passed through one task, a batch at a time. Returns the number of points.
+
+    ``{points}`` in the header becomes this number. The first column is real; in a complex file all others are structs of re and im.
+    """
+    kinds = dict(df.dtypes)
+    double = lambda c: F.col(f"`{c}`") if kinds[c].startswith("struct") else F.col(f"`{c}`").cast("double").alias(c)
+    text = header.format(points=df.count()).encode("cp1252")
+    ordered = df.orderBy(*order).select(*[double(c) for c in columns])
+    return ordered.coalesce(1).mapInArrow(_write_rows(path, text, is_complex), "n bigint").first()["n"]
+
+
 def write(path: str, header: str, rows: np.ndarray, is_complex: bool = False) -> None:
     """A file with this header, for tests: ``rows`` is a float matrix, or a complex one whose first column is real."""
     with open(path, "wb") as f:
