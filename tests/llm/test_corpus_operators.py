@@ -877,3 +877,29 @@ def test_toxicity_equals_brute_force(spark):
         own = grams(r["text"])
         z = w[-1] + sum(w[k] * ratio[b] for k, b in enumerate(order) if b in own)
         assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 0.01
+
+
+def test_packed_positions():
+    from tracelake.llm.decontaminate import pack, unpack
+
+    rng = np.random.default_rng(9)
+    counts = np.array([3, 0, 1, 500, 2])
+    positions = np.concatenate([np.sort(rng.choice(1 << 34, n, replace=False)) for n in counts])
+    positions[0] = 0
+    assert (unpack(pack(positions, counts), counts) == positions).all()
+    assert len(unpack(pack(np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros(0, np.int64))) == 0
+
+
+@pytest.mark.parametrize(("rows_", "shingles"), [(2048, 1 << 22), (20, 1 << 22), (2048, 3000)])
+def test_large_groups_in_parts(spark, monkeypatch, rows_, shingles):
+    """Copies of a template, most of them just not alike, with bands that are compared whole or in parts."""
+    from tracelake.llm import simhash
+
+    monkeypatch.setattr(simhash, "UNIT_ROWS", rows_)
+    monkeypatch.setattr(simhash, "UNIT_SHINGLES", shingles)
+    monkeypatch.setattr(simhash, "REACH", 1)
+    texts = template_copies(120, seed=4)
+    roots = brute_components(list(range(120)), lambda i, j: alike(texts[i], texts[j]))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert 5 < len(set(roots)) < 120
+    assert [found[k] for k in range(120)] == roots

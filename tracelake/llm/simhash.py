@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import ASCII_SPACE, arrow_map, slices, text_bytes, written
-from tracelake.llm.components import components
+from tracelake.llm.components import _star_of, components
 
 SEED = 42
 BITS = 64
@@ -38,8 +38,10 @@ HOT = 1 << 16
 ROW_COST = 100
 #: Buckets of the sketches that estimate collisions: an error of about one hundredth of the number of points.
 SKETCH_BITS = 14
-#: Places apart up to which the rows of a band are verified against each other, round by round; the last round takes all that are left.
-REACH = (2, 8)
+#: Places apart up to which the rows of a band are verified against each other before all that are still separate are.
+REACH = 2
+#: Rows and shingles of a band that are compared at once; a larger band is cut into parts, of which every two are compared.
+UNIT_ROWS, UNIT_SHINGLES = 2048, 4 << 20
 _NULL_ID = -(1 << 63)
 _PIECE = 1 << 22
 _KEY = ("l", "mask", "key")
@@ -484,17 +486,63 @@ def neighbours(rows: DataFrame, similarity: float, reach: int, salt: int) -> Dat
     return _pairs(both, F.col("o.node"), F.col("o.size"), F.col("o.root"), similarity)
 
 
-def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """As ``neighbours``, at any distance."""
-    other = rows.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "size", "root")])
-    return _pairs(rows.join(other, "key").filter("node < node_2"), F.col("node_2"), F.col("size_2"), F.col("root_2"), similarity)
-
-
 def open_keys(keyed: DataFrame, roots: DataFrame, done: int) -> DataFrame:
-    """The rows of keys with more than ``done`` rows and more than one root, and their roots."""
+    """The rows of keys with more than ``done`` rows and more than one root, their roots, and into how many parts a key has to be cut."""
     rows = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter((F.col("n") > done) & (F.col("lo") < F.col("hi")))
-    return rows.join(several.select("key"), "key", "left_semi").select("key", "node", "size", "root")
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter((F.col("n") > done) & (F.col("lo") < F.col("hi")))
+    parts = F.greatest(F.ceil(F.col("n") / UNIT_ROWS), F.ceil(F.col("shingles") / UNIT_SHINGLES))
+    return rows.join(several.select("key", parts.alias("parts")), "key").select("key", "node", "root", "parts")
+
+
+def units(rows: DataFrame) -> DataFrame:
+    """A row of ``open_keys`` for each two parts that are compared, its own among them: key, lo, hi, part, node, root."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "root")
+
+
+def alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float, width: int = 4096) -> np.ndarray:
+    """Which of the rows ``left`` and ``right`` of ``sets`` are at least so similar: shared shingles are counted by products of blocks of zeros and ones."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, code, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, several = np.repeat(np.arange(len(sets)), sizes), (seen > 1)[code]
+    row, code = row[several], (np.cumsum(seen > 1) - 1)[code[several]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    shared = np.zeros((len(left), len(right)), np.float32)  # whole numbers, exact below 2 ** 24
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        a, b = np.searchsorted(code, (lo, lo + width))
+        block = np.zeros((len(sets), width), np.float32)
+        block[row[a:b], code[a:b] - lo] = 1
+        shared += block[left] @ block[right].T
+    return shared >= similarity * (sizes[left][:, None] + sizes[right][None, :] - shared.astype(np.float64))
+
+
+def _unit_links(similarity: float):
+    """Links of units (sorted): of each a star for every component that it joins, never all pairs."""
+    same = ("key", "lo", "hi")
+
+    def links(rows: list[dict]) -> pa.RecordBatch | None:
+        node, root, part = (np.array([r[c] for r in rows]) for c in ("node", "root", "part"))
+        left, right = (np.flatnonzero(part == rows[0][c]) for c in ("lo", "hi"))
+        if not len(left) or not len(right):
+            return None
+        ok = alike([np.frombuffer(r["shingles"], np.uint64) for r in rows], left, right, similarity)
+        i, j = np.nonzero(ok & (root[left][:, None] != root[right][None, :]))
+        return _star_of([np.stack([node[left[i]], node[right[j]]])]) if len(i) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and any(row[c] != held[0][c] for c in same):
+                    if found := links(held):
+                        yield found
+                    held = []
+                held.append(row)
+        if held and (found := links(held)):
+            yield found
+
+    return run
 
 
 def _pairs(both: DataFrame, node, size, root, similarity: float) -> DataFrame:
@@ -530,16 +578,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         return written(arrow_map(both, _verify(similarity), "a bigint, b bigint"), "verified")
 
-    # Verified links join components; only pairs of components that are still separate go on, until none is left unverified.
-    roots = components(verified(neighbours(keyed.withColumn("root", F.col("node")), similarity, REACH[0], 0)))
-    for k, reach in enumerate(REACH):
-        left = written(open_keys(keyed, roots, reach + 1), "left")
-        if left.isEmpty():
-            break
-        more = neighbours(left, similarity, REACH[k + 1], k + 1) if k + 1 < len(REACH) else all_pairs(left, similarity)
-        more = verified(more)
-        if not more.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    # Neighbours in a random order join most components. Where a key still holds rows of several ones, all its rows of different ones are compared.
+    first = verified(neighbours(keyed.withColumn("root", F.col("node")), similarity, REACH, 0))
+    roots = components(first)
+    left = written(open_keys(keyed, roots, REACH + 1), "left")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = units(left).join(sets, "node").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    more = arrow_map(dealt.select("key", "lo", "hi", "part", "node", "root", "shingles"), _unit_links(similarity), "a bigint, b bigint")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = nodes.select("node", "same", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(named.join(least, "root").select("same", "component_id"), "named")
