@@ -1,7 +1,7 @@
 """Benchmark decontamination by a distributed positional inverted index of the training text.
 
 ``build_index`` cuts the documents into segments of a few megabytes and stores a row for each: its term dictionary (hashes in ascending order),
-how often each term occurs, and the positions of every term, ascending. A segment holds whole documents. Nothing of the benchmark is
+how often each term occurs, and the positions of every term, ascending, as steps of a byte or two. A segment holds whole documents. Nothing of the benchmark is
 needed for it, so one index serves many benchmarks. Terms are told apart by 64 bits, so a match is wrong only if all words of a window collide.
 
 ``search`` never sends the benchmark through the driver. The dictionaries of the segments are joined with the benchmark's terms, which gives how often each term
@@ -40,7 +40,7 @@ GAP = 4096
 
 #: Bytes outside words become a space; A-Z become a-z; bytes of other scripts stay.
 _WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_INDEX = "segment bigint, docs array<binary>, n_words array<bigint>, terms array<bigint>, counts array<int>, positions array<int>"
+_INDEX = "segment bigint, docs array<binary>, n_words array<bigint>, terms array<bigint>, counts array<int>, positions binary"
 _PASSAGE, _EXACT, _NEAR = range(3)
 
 
@@ -70,6 +70,33 @@ def _places(n_words: np.ndarray) -> np.ndarray:
     return np.cumsum(n_words + GAP) - n_words
 
 
+def pack(positions: np.ndarray, counts: np.ndarray) -> bytes:
+    """Every term's positions as steps from the one before, seven bits a byte; the last byte of a number is below 128."""
+    steps = np.diff(positions, prepend=0)
+    first = (np.cumsum(counts) - counts)[counts > 0]
+    steps[first] = positions[first]
+    size = 1 + sum((steps >= 1 << (7 * k)).astype(np.int64) for k in range(1, 6))
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(6):
+        own = size > k
+        out[at[own] + k] = (steps[own] >> (7 * k)) & 127 | np.where(size[own] > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def unpack(data: bytes, counts: np.ndarray) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    stop = np.flatnonzero(raw < 128) + 1
+    size = np.diff(stop, prepend=0)
+    at = stop - size
+    steps = np.zeros(len(stop), np.int64)
+    for k in range(int(size.max()) if len(size) else 0):
+        own = size > k
+        steps[own] |= (raw[at[own] + k] & 127) << (7 * k)
+    sums, first = np.cumsum(steps), (np.cumsum(counts) - counts)[counts > 0]
+    return sums - np.repeat(sums[first] - steps[first], counts[counts > 0])
+
+
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
@@ -86,10 +113,10 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place[rank] = np.arange(len(rank))
             code = place[coded.indices.to_numpy()] if len(terms) else np.zeros(0, np.int64)
             at = np.arange(n_words.sum()) + np.repeat(_places(n_words) - (np.cumsum(n_words) - n_words), n_words)
-            # Positions as steps from the one before, which are small numbers.
-            columns = [(n_words, pa.int64()), (terms[rank], pa.int64()), (np.bincount(code, minlength=len(terms)), pa.int32()), (np.diff(at[np.argsort(code, kind="stable")], prepend=0), pa.int32())]
+            counts = np.bincount(code, minlength=len(terms))
+            columns = [(n_words, pa.int64()), (terms[rank], pa.int64()), (counts, pa.int32())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([part.column("doc").to_pylist()], pa.list_(pa.binary())), *(pa.ListArray.from_arrays(np.array([0, len(c)], np.int32), pa.array(c, kind)) for c, kind in columns)],
+                [pa.array([number], pa.int64()), pa.array([part.column("doc").to_pylist()], pa.list_(pa.binary())), *(pa.ListArray.from_arrays(np.array([0, len(c)], np.int32), pa.array(c, kind)) for c, kind in columns), pa.array([pack(at[np.argsort(code, kind="stable")], counts)], pa.binary())],
                 ["segment", "docs", "n_words", "terms", "counts", "positions"],
             )
             number += 1
@@ -134,8 +161,9 @@ def windows_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
 class Segment:
     """A row of the index in memory."""
 
-    def __init__(self, n_words: np.ndarray, terms: np.ndarray, counts: np.ndarray, steps: np.ndarray):
-        self.begin, self.terms, self.counts, self.positions = _places(n_words), terms, counts.astype(np.int64), np.cumsum(steps, dtype=np.int64)
+    def __init__(self, n_words: np.ndarray, terms: np.ndarray, counts: np.ndarray, packed: bytes):
+        self.begin, self.terms, self.counts = _places(n_words), terms, counts.astype(np.int64)
+        self.positions = unpack(packed, self.counts)
         self.first = np.cumsum(self.counts) - self.counts
         self.size = int(n_words.sum() + GAP * (len(n_words) + 2))
         self.keys = np.repeat(np.arange(len(terms)), counts) * self.size + self.positions  # ascending
@@ -230,7 +258,7 @@ def _match(slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                segment = Segment(*(_numbers(batch.column(c), row) for c in ("n_words", "terms", "counts", "positions")))
+                segment = Segment(*(_numbers(batch.column(c), row) for c in ("n_words", "terms", "counts")), batch.column("positions")[row].as_py())
                 docs = batch.column("docs")[row].values
                 asked = batch.column("asked")[row].values
                 window, terms, order = (asked.field(c) for c in ("window", "terms", "order"))
