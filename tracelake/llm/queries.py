@@ -27,7 +27,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None
 
     from tracelake.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
