@@ -4,6 +4,8 @@ Three base kinds are strong and always reported. Three weak kinds (an account na
 little alone: they are reported when complementary parts stand within ``scope`` characters and share no character with them, found by an interval join of a
 document's parts on cells of that width, so the work grows with the number of parts and not with its square.
 
+Patterns are tried only on texts that hold what each of their matches holds: a run of twenty letters or digits, a colon or an equals sign, ``://``.
+
 Positions: the text is split by a pattern and the matches extracted; running sums of the lengths of pieces and
 matches are the places of the matches, in code points.
 
@@ -40,6 +42,9 @@ KINDS = [
     ("endpoint", r"https?://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+", 0, 10),
 ]
 BASE = 3
+#: What a text holds if a kind's pattern matches in it at a sufficient length. The run begins where no such character stands before it.
+_NEEDS = {"assign": "given", "access": "run", "hex": "run", "account": "given", "mixed": "run", "endpoint": "url"}
+_RUN = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20}"
 #: Which kinds are a credential's identifier and which its secret.
 IDENTIFIERS, SECRETS = ("access", "account"), ("assign", "hex", "mixed")
 
@@ -82,10 +87,12 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     pieces = lambda p: F.transform(F.split("text", p, -1), lambda x: F.char_length(x).cast("long"))
+    may = {"given": F.col("text").contains("=") | F.col("text").contains(":"), "run": F.col("text").rlike(_RUN), "url": F.col("text").contains("://")}
+    out = out.select("doc_id", "text", *[c.alias(n) for n, c in may.items()])
     found = {}
     for kind, pattern, _, _ in KINDS:
-        found[f"m_{kind}"] = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        found[f"p_{kind}"] = pieces(pattern)
+        found[f"m_{kind}"] = F.when(F.col(_NEEDS[kind]), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        found[f"p_{kind}"] = F.when(F.col(_NEEDS[kind]), pieces(pattern)).otherwise(F.array().cast("array<bigint>"))
     out = out.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("same"), *[c.alias(n) for n, c in found.items()])
     starts = {f"s_{k}": running(_steps(f"p_{k}", f"m_{k}")) for k, *_ in KINDS}
     out = out.select("doc_id", "same", *[f"m_{k}" for k, *_ in KINDS], *[c.alias(n) for n, c in starts.items()])
