@@ -32,6 +32,8 @@ MAX_FEATURES = 1 << 16
 MIN_DOCS = 5
 MIN_RATIO = 1.0
 PENALTY = 3.0
+#: Bytes of text whose n-grams a task holds at once: about fifty bytes for each.
+SLICE_BYTES = 1 << 20
 _SEED = np.uint32(2654435761)
 
 
@@ -135,7 +137,7 @@ def _chosen(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feature, bits, sizes = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 doc, f = present(part.column("text").to_pylist(), bits, sizes, feature)
                 ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.ListArray.from_arrays(ends, pa.array(f, pa.int32()))], ["label", "features"])
@@ -176,7 +178,7 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", SLICE_BYTES):
                 columns = {n: part.column(n) for n in part.schema.names if n != "__text"}
                 columns["score"] = pa.array(model.score(part.column("__text").to_pylist()), pa.float64())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
