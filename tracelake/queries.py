@@ -524,7 +524,15 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
     "decimate_min_max": (_decimated("min_max"), _W + _BUCKETS.format(p=8) + f" SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM r WHERE lo = 1 OR hi = 1"),
     "decimate_m4": (_decimated("m4"), _W + _BUCKETS.format(p=4) + f" SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM r WHERE lo = 1 OR hi = 1 OR fi = 1 OR la = 1"),
     "decimate_average": (_decimated("average"), _W + f", b AS (SELECT *, CASE WHEN n <= 16 THEN step_idx ELSE step_idx // ((n + 15) // 16) END AS b, CASE WHEN n <= 16 THEN n ELSE n // ((n + 15) // 16) END AS nb FROM w) SELECT step, b AS step_idx, round(avg(x) + {_NUDGE}, {_R}) AS x, round(avg(y) + {_NUDGE}, {_R}) AS y FROM b WHERE b < nb GROUP BY step, b"),
-    "decimate_lttb": (_decimated("lttb"), None),
+    "decimate_lttb": (_decimated("lttb"), _W.replace("WITH", "WITH RECURSIVE", 1) + f""", e AS (SELECT DISTINCT step, n, k, least(CAST(floor(k * ((n - 2) / 14)) AS BIGINT) + 1, n - 1) AS at FROM w, range(0, 16) AS t(k) WHERE n > 16),
+        c AS (SELECT a.step, a.k, a.at AS lo, b.at AS hi, z.at AS after, avg(w.x) AS cx, avg(w.y) AS cy FROM e a JOIN e b ON b.step = a.step AND b.k = a.k + 1 JOIN e z ON z.step = a.step AND z.k = least(a.k + 2, 15)
+              LEFT JOIN w ON w.step = a.step AND w.step_idx >= b.at AND w.step_idx < z.at WHERE a.k < 14 GROUP BY ALL),
+        r AS (SELECT step, CAST(0 AS BIGINT) AS k, step_idx, x, y FROM w WHERE n > 16 AND step_idx = 0
+              UNION ALL
+              SELECT r.step, r.k + 1, arg_max(w.step_idx, rank), arg_max(w.x, rank), arg_max(w.y, rank)
+              FROM r JOIN c ON c.step = r.step AND c.k = r.k JOIN w ON w.step = r.step AND w.step_idx >= c.lo AND w.step_idx < greatest(c.hi, c.lo + 1),
+                   LATERAL (SELECT {{'a': CASE WHEN c.after <= c.hi THEN 0.0 ELSE abs((c.cx - r.x) * (w.y - r.y) - (c.cy - r.y) * (w.x - r.x)) END, 'i': -w.step_idx}} AS rank) GROUP BY r.step, r.k)
+        SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM (SELECT step, step_idx, x, y FROM r UNION SELECT step, step_idx, x, y FROM w WHERE n <= 16 OR step_idx = n - 1)"""),
     "decimate_rdp": (_decimated("rdp"), None),
     "decimate_m4_trimmed": (_decimated("m4", 3), _W + _BUCKETS.format(p=1).replace("16", "3") + f""", t AS (SELECT step, step_idx, x, y, row_number() OVER (PARTITION BY step ORDER BY step_idx) AS i, count(*) OVER (PARTITION BY step) AS m FROM r WHERE lo = 1 OR hi = 1 OR fi = 1 OR la = 1)
         SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM t WHERE m <= 3 OR i IN (1, 2, m)"""),
