@@ -890,13 +890,14 @@ def test_packed_positions():
     assert len(unpack(pack(np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros(0, np.int64))) == 0
 
 
-@pytest.mark.parametrize(("rows_", "shingles"), [(2048, 1 << 22), (20, 1 << 22), (2048, 3000)])
-def test_large_groups_in_parts(spark, monkeypatch, rows_, shingles):
-    """Copies of a template, most of them just not alike, with bands that are compared whole or in parts."""
+@pytest.mark.parametrize(("rows_", "shingles", "ordered"), [(2048, 1 << 22, 1 << 16), (20, 1 << 22, 1 << 16), (2048, 3000, 1 << 16), (20, 1 << 22, 7)])
+def test_large_groups_in_parts(spark, monkeypatch, rows_, shingles, ordered):
+    """Copies of a template, most of them just not alike, with bands that are put in order and compared whole or in parts."""
     from tracelake.llm import simhash
 
     monkeypatch.setattr(simhash, "UNIT_ROWS", rows_)
     monkeypatch.setattr(simhash, "UNIT_SHINGLES", shingles)
+    monkeypatch.setattr(simhash, "ORDER_ROWS", ordered)
     monkeypatch.setattr(simhash, "REACH", 1)
     texts = template_copies(120, seed=4)
     roots = brute_components(list(range(120)), lambda i, j: alike(texts[i], texts[j]))

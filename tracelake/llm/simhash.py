@@ -40,6 +40,8 @@ ROW_COST = 100
 SKETCH_BITS = 14
 #: Places apart up to which the rows of a band are verified against each other before all that are still separate are.
 REACH = 2
+#: Rows of a band that are put in order in one task; a larger band is put in order by parts.
+ORDER_ROWS = 1 << 16
 #: Rows and shingles of a band that are compared at once; a larger band is cut into parts, of which every two are compared.
 UNIT_ROWS, UNIT_SHINGLES = 2048, 4 << 20
 _NULL_ID = -(1 << 63)
@@ -479,8 +481,12 @@ def _verify(similarity: float):
 
 
 def neighbours(rows: DataFrame, similarity: float, reach: int, salt: int) -> DataFrame:
-    """Pairs (a, b) of each key's rows (key, node, size, root) up to ``reach`` places apart in a random order, of other roots and of sizes that allow the similarity."""
-    order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(salt)), "node")
+    """Pairs (a, b) of each key's rows (key, node, size, n, root) up to ``reach`` places apart in a random order, of other roots and of sizes that allow the similarity.
+
+    ``n`` is the number of a key's rows: those of a very large key are put in order by parts, so none has to be held by one task.
+    """
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / ORDER_ROWS))
+    order = Window.partitionBy("key", part).orderBy(F.xxhash64("node", F.lit(salt)), "node")
     before = F.array(*[F.lag(F.struct("node", "size", "root"), d).over(order) for d in range(1, reach + 1)])
     both = rows.withColumn("before", before).select("node", "size", "root", F.explode("before").alias("o"))
     return _pairs(both, F.col("o.node"), F.col("o.size"), F.col("o.root"), similarity)
@@ -567,8 +573,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     nodes = signed.filter("size > 0").groupBy("same").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
-    keyed = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
-    keyed = written(keyed.select("key", "node", "size"), "keys")
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    keyed = written(keyed.join(shared, "key").select("key", "node", "size", "n"), "keys")
     wanted = written(nodes.join(keyed.select("node").distinct(), "node").select("same", "node", "least"), "wanted")
     texts = read.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
     sets = arrow_map(texts, _shingle_sets(shingle), "same binary, shingles binary").join(wanted.select("same", "node"), "same")
