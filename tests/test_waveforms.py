@@ -190,6 +190,35 @@ def test_spectra(spark):
     assert (r["df"], r["nyquist"]) == (2 / 3, 1.0)
 
 
+@pytest.mark.parametrize("n", [None, 1, 2, 40])
+def test_resampled_in_parts(spark, n):
+    """Chunks of few points and spans in blocks give what arrays give: repeated x, one wide span, one point, a missing value, series apart and as one."""
+    rng = np.random.default_rng(11)
+    xs = [np.sort(np.round(rng.uniform(0, 9, 30), 1)), np.append(np.arange(20) * 1e-3, 50.0), np.array([4.0]), np.array([2.0, 2.0, 2.0]), np.arange(25) * 0.1 - 1]
+    ys = [rng.normal(size=len(x)) for x in xs]
+    ys[4][7] = np.inf
+    df = None
+    for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        df = series(spark, x, y, k) if df is None else df.unionByName(series(spark, x, y, k))
+    found = {}
+    for r in spectral.resample(df, ["step"], n, chunk=4, block=3).orderBy("step", "step_idx").collect():
+        found.setdefault(r["step"], []).append((r["step_idx"], r["x"], r["y"]))
+    for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        grid = np.linspace(x[0], x[-1], n or len(x))
+        at, gx, gy = (np.array(c) for c in zip(*found[k], strict=True))
+        assert at.tolist() == list(range(len(grid)))
+        np.testing.assert_allclose(gx, grid, rtol=1e-14, atol=1e-14)
+        near = np.interp(gx, x, y)
+        ok = np.isfinite(near) & np.isfinite(gy)
+        np.testing.assert_allclose(gy[ok], near[ok], rtol=1e-12, atol=1e-12)
+        assert ok.sum() >= len(grid) - 4
+    alone = spectral.resample(df.filter("step = 1").drop("step"), [], n, chunk=4).orderBy("step_idx").collect()
+    assert [(r["step_idx"], r["x"], r["y"]) for r in alone] == found[1]
+    missing = series(spark, [0, 1, 2], [0, 1, 2]).withColumn("y", F.when(F.col("step_idx") != 1, F.col("y")))
+    assert np.isnan([r["y"] for r in spectral.resample(missing, ["step"]).collect()]).sum() == 1
+    assert spectral.resample(missing.filter("false"), ["step"], n).count() == 0
+
+
 def test_distortion(spark):
     n, fs = 2048, 8192
     t = np.arange(n) / fs

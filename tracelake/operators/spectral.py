@@ -51,20 +51,38 @@ def is_uniform(x: np.ndarray, rtol: float = 1e-3, atol: float | None = None) ->
     return bool((np.abs(d - d[0]) <= near + rtol * abs(d[0])).all())
 
 
-def resample(df: DataFrame, by: list[str], n: int | None = None, order: str = "step_idx", x: str = "x", y: str = "y") -> DataFrame:
-    """Each series at even places from its first to its last x, linear between its points; as many as it has, or ``n``."""
-    kinds = df.select(*by).schema
+def resample(df: DataFrame, by: list[str], n: int | None = None, order: str = "step_idx", x: str = "x", y: str = "y", chunk: int | None = None, block: int = 1 << 16) -> DataFrame:
+    """Each series at even places from its first to its last x, linear between its points; as many as it has, or ``n``.
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        a, b = (table.column(c).to_numpy() for c in (x, y))
-        m = len(a) if n is None else n
-        grid = np.linspace(a[0], a[-1], m)
-        fixed = {k: pa.array([table.column(k)[0].as_py()] * m, table.column(k).type) for k in by}
-        return pa.table(fixed | {order: pa.array(np.arange(m)), x: pa.array(grid), y: pa.array(np.interp(grid, a, b))})
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields), f"{order} bigint", f"{x} double", f"{y} double"])
-    return df.select(*by, F.col(order).cast("long").alias(order), F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).groupBy(*by).applyInArrow(run, schema)
+    x doesn't fall; of points with equal x the last counts, and a null y is NaN. Each point and the next give the places between them, so a series is never
+    gathered: ``order`` numbers its rows without gaps, and neighbours are looked up in chunks. A wide span gives its places in blocks.
+    """
+    from tracelake.operators.steps import CHUNK, attach, grouped, with_previous
+
+    by = list(by)
+    rows = df.select(*by, F.col(order).cast("long").alias(order), F.col(x).cast("double").alias(x), F.coalesce(F.col(y).cast("double"), F.lit(float("nan"))).alias(y))
+    many = F.count(F.lit(1)) if n is None else F.lit(n).cast("long")
+    ends = grouped(rows, by).agg(F.min_by(x, order).alias("__a"), F.max_by(x, order).alias("__b"), F.max_by(y, order).alias("__end"), many.alias("__m"))
+    ends = ends.withColumn("__step", (F.col("__b") - F.col("__a")) / F.greatest(F.col("__m") - 1, F.lit(1)))
+    facts = [*by, "__a", "__b", "__m", "__step"]
+    rising = with_previous(rows, {"__x1": x, "__y1": y}, by, order, chunk or CHUNK).filter(F.col("__x1") < F.col(x))
+    spans = attach(rising.withColumnsRenamed({x: "__x2", y: "__y2"}).drop(order), ends, by).select(*facts, "__x1", "__y1", "__x2", "__y2")
+    none = F.lit(None).cast("double")
+    spans = spans.unionByName(ends.select(*facts, F.col("__b").alias("__x1"), F.col("__end").alias("__y1"), none.alias("__x2"), none.alias("__y2")))
+    # Places that may be in a span; which are is told by the places themselves, as rounding may move them over an edge.
+    size, k = F.nullif(F.col("__step"), F.lit(0.0)), F.col("__k")
+    slack = F.ceil(4 * _EPS * F.greatest(F.abs("__a"), F.abs("__b")) / F.abs(size)) + 1
+    place = lambda c: F.floor((F.col(c) - F.col("__a")) / size)
+    low = F.greatest(F.coalesce(place("__x1") - slack, F.lit(0)), F.lit(0)).cast("long")
+    high = F.least(F.coalesce(place("__x2") + slack, F.col("__m") - 1), F.col("__m") - 1).cast("long")
+    spans = spans.withColumns({"__low": low, "__high": high}).filter("__low <= __high")
+    spans = spans.withColumn("__from", F.explode(F.sequence("__low", "__high", F.lit(block).cast("long"))))
+    spans = spans.withColumn("__k", F.explode(F.sequence("__from", F.least(F.col("__from") + (block - 1), F.col("__high")))))
+    at = F.when((k == F.col("__m") - 1) & (k > 0), F.col("__b")).otherwise(F.col("__a") + k * F.col("__step"))
+    inside = spans.withColumn("__at", at).filter((F.col("__at") >= F.col("__x1")) & (F.col("__x2").isNull() | (F.col("__at") < F.col("__x2"))))
+    slope = (F.col("__y2") - F.col("__y1")) / (F.col("__x2") - F.col("__x1"))
+    value = F.when(F.col("__x2").isNull() | (F.col("__at") == F.col("__x1")), F.col("__y1")).otherwise(F.col("__y1") + (F.col("__at") - F.col("__x1")) * slope)
+    return inside.select(*by, k.alias(order), F.col("__at").alias(x), value.alias(y))
 
 
 def spectrum(x: np.ndarray, signals: np.ndarray, name: str = "hanning", output: str = "magnitude", keep_dc: bool = False, pad: bool = False, normalise: bool = False) -> tuple[np.ndarray, np.ndarray]:

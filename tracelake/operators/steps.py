@@ -36,11 +36,12 @@ def running_count(df: DataFrame, flag: Column, name: str, keys: list[str], order
     return inside.join(before, [*keys, "__chunk"]).withColumn(name, F.col("__inside") + F.col("__before")).drop("__flag", "__chunk", "__inside", "__before")
 
 
-def _by(df: DataFrame, keys: list[str]):
+def grouped(df: DataFrame, keys: list[str]):
+    """By ``keys``, or all rows as one group."""
     return df.groupBy(*keys) if keys else df.groupBy(F.lit(0).alias("__all"))
 
 
-def _attach(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+def attach(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Facts of each file beside its points: a row for each file."""
     return df.join(table, keys) if keys else df.crossJoin(table.drop("__all"))  # one row
 
@@ -63,8 +64,8 @@ def segment(df: DataFrame, params: dict[str, str] | None = None, stepped: bool =
         for k, c in enumerate(params.values()):
             starts = starts | (F.col(f"__p{k}").isNotNull() & ~ieee.equal(F.expr(c), F.col(f"__p{k}")))
     else:
-        ends = _by(df, keys).agg(F.min_by(x, order).alias("__first"), F.max_by(x, order).alias("__last"))
-        past = _attach(past, ends, keys)
+        ends = grouped(df, keys).agg(F.min_by(x, order).alias("__first"), F.max_by(x, order).alias("__last"))
+        past = attach(past, ends, keys)
         up = ieee.compare("<=", F.col("__first"), F.col("__last"))
         starts = F.col("__x").isNotNull() & F.when(up, ieee.compare("<", moved, F.lit(0.0))).otherwise(ieee.compare(">", moved, F.lit(0.0)))
     cut = running_count(past.withColumn("__starts", starts), F.col("__starts"), "__step", keys, order, chunk)
@@ -73,8 +74,8 @@ def segment(df: DataFrame, params: dict[str, str] | None = None, stepped: bool =
     moves = lambda op: F.max(F.when(inside, ieee.compare(op, moved, F.lit(0.0))))
     facts = cut.groupBy(*keys, "__step").agg(F.min(order).alias("__start"), F.count(F.lit(1)).alias("__n"), moves(">").alias("__up"), moves("<").alias("__down"))
     mixed = F.coalesce(F.max("__up") & F.max("__down"), F.lit(False)) if params else F.min("__n") != F.max("__n")
-    bad = _by(facts, keys).agg(mixed.alias("__bad"))
-    begins = _attach(facts.select(*keys, "__step", "__start"), bad, keys)
+    bad = grouped(facts, keys).agg(mixed.alias("__bad"))
+    begins = attach(facts.select(*keys, "__step", "__start"), bad, keys)
     joined = cut.join(begins, [*keys, "__step"])
     whole = F.coalesce(F.col("__bad"), F.lit(False))
     points = joined.select(*[f"`{c}`" for c in df.columns], F.when(whole, 0).otherwise(F.col("__step")).cast("int").alias("step"), F.when(whole, F.col(order)).otherwise(F.col(order) - F.col("__start")).alias("step_idx"), whole.alias("__whole"))
