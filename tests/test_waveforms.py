@@ -190,6 +190,43 @@ def test_spectra(spark):
     assert (r["df"], r["nyquist"]) == (2 / 3, 1.0)
 
 
+@pytest.mark.parametrize("options", [{"output": "db", "name": "hamming"}, {"output": "phase", "keep_dc": True}, {"normalise": True, "name": "blackman", "pad": True}])
+def test_spectra_in_parts(spark, options):
+    random = np.random.default_rng(3)
+    n, parts = 60, 4
+    rows = []
+    for step, (jitter, rows_of) in enumerate(((0, n), (0.3, n), (0, n), (0, 1))):
+        x = np.arange(rows_of) + (jitter * random.random(rows_of) if jitter else 0)
+        rows += [(step, k, float(v), *map(float, random.normal(size=2) + 3)) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "step int, step_idx bigint, x double, a double, `b c` double")
+    whole = spectral.fft(df, ["a", "b c"], **options).orderBy("step", "bin").collect()
+    split = spectral.fft_in_parts(df, ["a", "b c"], parts, **options).orderBy("step", "bin").collect()
+    assert [r[:2] for r in whole] == [r[:2] for r in split] and {r["step"] for r in whole} == {0, 1, 2}
+    for r, s in zip(whole, split, strict=True):
+        off = np.abs(np.array(r[2:]) - np.array(s[2:]))
+        if options.get("output") == "phase":
+            off[1:] = np.minimum(off[1:], np.abs(360 - off[1:]))
+        assert off.max() < 1e-7, (r, s)
+
+
+def test_range_in_parts(spark):
+    df = series(spark, range(40), np.random.default_rng(4).normal(size=40))
+    expected = [r[1:] for r in spectral.fft(df, ["y"], left=10, right=30).orderBy("bin").collect()]
+    found = [r[1:] for r in spectral.fft_in_parts(df, ["y"], 7, left=10, right=30).orderBy("bin").collect()]
+    assert len(found) == 11 and np.allclose(expected, found)
+    padded = [r[1:] for r in spectral.fft(df, ["y"], pad=True).orderBy("bin").collect()]
+    assert np.allclose(padded, [r[1:] for r in spectral.fft_in_parts(df, ["y"], 64, pad=True).orderBy("bin").collect()])  # more parts than samples
+
+
+def test_parts_that_do_not_fit(spark):
+    df = series(spark, range(10), range(10))
+    with pytest.raises(Exception, match="3 parts don't divide"):
+        spectral.fft_in_parts(df, ["y"], 3).collect()
+    with pytest.raises(Exception, match="x must rise"):
+        spectral.fft_in_parts(series(spark, range(10, 0, -1), range(10)), ["y"], 2).collect()
+    assert spectral.fft_in_parts(df.filter("step = 7"), ["y"], 2).count() == 0
+
+
 @pytest.mark.parametrize("n", [None, 1, 2, 40])
 def test_resampled_in_parts(spark, n):
     """Chunks of few points and spans in blocks give what arrays give: repeated x, one wide span, one point, a missing value, series apart and as one."""

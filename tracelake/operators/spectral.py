@@ -32,15 +32,27 @@ def window_weight(name: str, at: Column, n: Column) -> Column:
     return F.when(n == 1, F.lit(1.0)).otherwise(a - b * F.cos(t) + c * F.cos(2 * t))
 
 
+def _weights(name: str, n: Column) -> Column:
+    """The sum of a window's ``n`` weights: the cosines of a whole turn add up to the one that is in it twice."""
+    a, b, c = WINDOWS[name]
+    return a * n - b * F.when(n == 2, 2).otherwise(1) + c * F.when(n <= 3, n).otherwise(1)
+
+
 def uniform(df: DataFrame, by: list[str], order: str = "step_idx", x: str = "x", rtol: float = 1e-3, atol: float | None = None) -> DataFrame:
     """Whether each series has even steps: all as long as its first, within tolerances; fewer than two points are even."""
+    return _steps(df, list(by), order, x, rtol, atol).select(*by, "uniform")
+
+
+def _steps(df: DataFrame, by: list[str], order: str, x: str, rtol: float = 1e-3, atol: float | None = None) -> DataFrame:
+    """by, uniform, and of each series d0 (its first step), count, first (its first place), a and b (its ends)."""
     from tracelake.operators.steps import with_previous
 
-    past = with_previous(df.select(*by, order, x), {"__x": x}, list(by), order).withColumn("d", F.col(x) - F.col("__x"))
-    facts = past.groupBy(*by).agg(F.min_by("d", F.when(F.col("d").isNotNull(), F.col(order))).alias("d0"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.max(F.abs("d")).alias("size"))
+    past = with_previous(df.select(*by, order, x), {"__past": x}, by, order).withColumn("d", F.col(x) - F.col("__past"))
+    ends = [F.count(F.lit(1)).alias("count"), F.min(order).alias("first"), F.min_by(x, order).alias("a"), F.max_by(x, order).alias("b")]
+    facts = past.groupBy(*by).agg(F.min_by("d", F.when(F.col("d").isNotNull(), F.col(order))).alias("d0"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.max(F.abs("d")).alias("size"), *ends)
     near = F.lit(atol) if atol is not None else F.greatest(F.lit(1e-12), _EPS * F.greatest("size", F.lit(1.0)) * 10)
     off = F.greatest(F.col("hi") - F.col("d0"), F.col("d0") - F.col("lo"))
-    return facts.select(*by, F.coalesce(off <= near + rtol * F.abs("d0"), F.lit(True)).alias("uniform"))
+    return facts.select(*by, F.coalesce(off <= near + rtol * F.abs("d0"), F.lit(True)).alias("uniform"), "d0", "count", "first", "a", "b")
 
 
 def is_uniform(x: np.ndarray, rtol: float = 1e-3, atol: float | None = None) -> bool:
@@ -142,6 +154,90 @@ def fft(df: DataFrame, signals: list[str], by: list[str] = ("step",), order: str
     return rows.groupBy(*by).applyInArrow(run, schema)
 
 
+def fft_in_parts(df: DataFrame, signals: list[str], parts: int, by: list[str] = ("step",), order: str = "step_idx", x: str = "x", left: float | None = None, right: float | None = None, name: str = "hanning", output: str = "magnitude", keep_dc: bool = False, pad: bool = False, normalise: bool = False) -> DataFrame:
+    """``fft`` of series that are too long for one task: each is transformed in ``parts`` interleaved parts, and their bins are brought together in blocks.
+
+    A task holds about one part of a series of one signal, so for n samples about sqrt(n) parts need the least memory. Raises where ``parts`` doesn't divide the
+    length (``pad`` makes it a power of two). ``order`` numbers a series' rows without gaps, also in the range.
+    """
+    from tracelake.operators.steps import attach
+
+    if output not in OUTPUTS:
+        raise ValueError(f"output is one of {', '.join(OUTPUTS)}")
+    by, keys = list(by), [*by, "__s"]
+    rows = df.select(*by, F.col(order).cast("long").alias("__place"), F.col(x).cast("double").alias("__time"), *[F.col(f"`{s}`").cast("double").alias(f"__y{k}") for k, s in enumerate(signals)])
+    for edge, keep in ((left, F.col("__time") >= F.lit(left)), (right, F.col("__time") <= F.lit(right))):
+        if edge is not None:
+            rows = rows.filter(keep)
+    n, a, b = F.col("count"), F.col("a"), F.col("b")
+    refuse = lambda why: F.raise_error(F.lit(why)).cast("long")
+    dt = F.when(F.col("uniform"), F.col("d0")).otherwise((b - a) / (n - 1))
+    size = F.expr("shiftleft(1L, length(bin(count - 1)))") if pad else n
+    checked = F.when(~(F.col("dt") > 0), refuse("x must rise")).when(F.abs("weights") < 1e-12, refuse("the window's weights add up to 0"))
+    checked = checked.when(size % parts != 0, refuse(f"{parts} parts don't divide a series' length")).otherwise(size)
+    facts = _steps(rows, by, "__place", "__time").filter(n > 1).withColumns({"dt": dt, "weights": _weights(name, n)}).withColumn("size", checked)
+    fact = F.struct("uniform", "count", "first", "dt", "weights", "size").alias("__fact")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("__s"), F.col(f"__y{k}").alias("__value")) for k in range(len(signals))]))
+    long = attach(rows, facts.select(*by, fact), by).select(*by, "__fact", "__place", "__time", each.alias("e")).select(*keys[:-1], "e.__s", "__fact", "__place", "__time", "e.__value")
+    even, fixed = F.col("__fact.uniform"), [*keys, "__fact"]
+    samples = long.filter(even).withColumn("__at", F.col("__place") - F.col("__fact.first")).select(*fixed, "__at", "__value")
+    samples = samples.unionByName(resample(long.filter(~even), fixed, None, "__place", "__time", "__value").select(*fixed, F.col("__place").alias("__at"), "__value"))
+    if not keep_dc:
+        means = samples.groupBy(*keys).agg(F.avg("__value").alias("__mean"))
+        samples = samples.join(means, keys).withColumn("__value", F.col("__value") - F.col("__mean"))
+    value = F.col("__value") * window_weight(name, F.col("__at"), F.col("__fact.count"))
+    inside = F.col("__at") % parts, F.floor(F.col("__at") / parts)
+    dealt = samples.select(*keys, F.col("__fact.size").alias("__size"), F.col("__fact.dt").alias("__dt"), F.col("__fact.weights").alias("__weights"), inside[0].alias("__part"), inside[1].alias("__at"), value.alias("__v"))
+    fixed = [*keys, "__size", "__dt", "__weights"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*fixed).schema.fields)
+    width_of = lambda m: -(-m // parts)
+
+    def same(table: pa.Table, n: int) -> dict[str, pa.Array]:
+        return {k: pa.array([table.column(k)[0].as_py()] * n, table.column(k).type) for k in fixed}
+
+    def one_part(table: pa.Table) -> pa.Table:
+        """A part's transform, turned by its place, in blocks of bins."""
+        size, part = table.column("__size")[0].as_py(), table.column("__part")[0].as_py()
+        m = size // parts
+        own = np.zeros(m)
+        own[table.column("__at").to_numpy()] = table.column("__v").to_numpy()
+        turned = np.fft.fft(own) * np.exp(-2j * np.pi * part / size * np.arange(m))
+        begins = np.arange(0, m, width_of(m))
+        lists = [pa.ListArray.from_arrays(pa.array(np.append(begins, m), pa.int32()), pa.array(np.ascontiguousarray(v))) for v in (turned.real, turned.imag)]
+        return pa.table(same(table, len(begins)) | {"__part": pa.array(np.full(len(begins), part)), "__block": pa.array(np.arange(len(begins))), "__re": lists[0], "__im": lists[1]})
+
+    def one_block(table: pa.Table) -> pa.Table:
+        """The bins that lie a part's length apart, from the same bins of all parts."""
+        size, block = table.column("__size")[0].as_py(), table.column("__block")[0].as_py()
+        m = size // parts
+        low = block * width_of(m)
+        cells = np.zeros((parts, min(width_of(m), m - low)), complex)
+        for r, re, im in zip(table.column("__part").to_pylist(), table.column("__re"), table.column("__im"), strict=True):
+            cells[r] = re.values.to_numpy() + 1j * im.values.to_numpy()
+        bins = (np.arange(parts)[:, None] * m + np.arange(low, low + cells.shape[1])).ravel()
+        inside = bins <= size // 2
+        out = np.fft.fft(cells, axis=0).ravel()[inside]
+        return pa.table(same(table, len(out)) | {"bin": pa.array(bins[inside]), "__re": pa.array(np.ascontiguousarray(out.real)), "__im": pa.array(np.ascontiguousarray(out.imag))})
+
+    turned = dealt.groupBy(*keys, "__part").applyInArrow(one_part, f"{kinds}, __part bigint, __block bigint, __re array<double>, __im array<double>")
+    bins = turned.groupBy(*keys, "__block").applyInArrow(one_block, f"{kinds}, bin bigint, __re double, __im double")
+    bins = bins.withColumn("freq", F.col("bin") / (F.col("__size") * F.col("__dt")))
+    if output == "phase":
+        shown = F.degrees(F.atan2("__im", "__re"))
+    else:
+        single = (F.col("bin") == 0) | (2 * F.col("bin") == F.col("__size"))
+        shown = F.hypot("__re", "__im") * F.when(single, 1).otherwise(2) / F.col("__weights")
+    bins = bins.select(*keys, "bin", "freq", shown.alias("__v"))
+    if normalise and output != "phase":
+        peaks = bins.groupBy(*keys).agg(F.max("__v").alias("__peak"))
+        bins = bins.join(peaks, keys).withColumn("__v", F.col("__v") / F.when(F.col("__peak") == 0, 1.0).otherwise(F.col("__peak")))
+    if output == "db":
+        bins = bins.withColumn("__v", 20 * F.log10(F.greatest("__v", F.lit(LEAST))))
+    if len(signals) == 1:
+        return bins.select(*by, "bin", "freq", F.col("__v").alias(signals[0]))
+    return bins.groupBy(*by, "bin").agg(F.min("freq").alias("freq"), *[F.max(F.when(F.col("__s") == k, F.col("__v"))).alias(s) for k, s in enumerate(signals)])
+
+
 def fft_options(window: str = "Hanning", padding: str = "None", output: str = "Magnitude") -> dict:
     """Options from a dialog's texts; unknown ones fall back to no window, no padding and magnitude."""
     return {"name": window.casefold() if window.casefold() in WINDOWS else "rectangular", "pad": "pow" in padding.casefold() or "power" in padding.casefold(), "output": output.casefold() if output.casefold() in OUTPUTS else "magnitude"}
