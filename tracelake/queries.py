@@ -408,6 +408,12 @@ def _fft_waveform(spark, sf_dir):
     return out.select("step", "bin", F.round("freq", 9).alias("freq"), _round("y", 5).alias("v"))
 
 
+def _fft_in_parts(spark, sf_dir):
+    """The same, each series in two tasks."""
+    out = spectral.fft_in_parts(waveform(spark, sf_dir), ["y"], 2, name="hamming", pad=True, keep_dc=True)
+    return out.select("step", "bin", F.round("freq", 9).alias("freq"), _round("y", 5).alias("v"))
+
+
 def _fft_points(spark, sf_dir):
     points = fft_points(Points.of(_even(spark, sf_dir), [Variable("V(out)", "y", "V")]), ["V(out)"], name="hanning")
     return points.evaluate("Frequency", "FFT(V(out))", keep=("step", "step_idx")).toDF("step", "bin", "freq", "v").select("step", "bin", _round("freq").alias("freq"), _round("v", 5).alias("v"))
@@ -506,6 +512,11 @@ _RESAMPLED = """, e AS (SELECT step, min(x) AS a, max(x) AS b, max(n) AS n FROM
         j AS (SELECT q.step, q.step_idx, q.x, s.x AS x1, s.y AS y1, s.x2, s.y2 FROM q ASOF JOIN s ON q.step = s.step AND q.x >= s.x)"""
 _FILE_W = """WITH w AS (SELECT CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS INTEGER) AS step, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step_idx, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS point_idx,
     (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6 AS x, value AS y, CAST(user_id AS DOUBLE) AS p FROM events)"""
+_PADDED_SQL = _W + _RESAMPLED + f""", r AS (SELECT j.step, j.step_idx, n, a, b, CASE WHEN x2 IS NULL OR x = x1 THEN y1 ELSE y1 + (x - x1) * ((y2 - y1) / (x2 - x1)) END AS y FROM j JOIN e USING (step) WHERE n > 1),
+        s2 AS (SELECT *, CAST(pow(2, ceil(log2(n))) AS BIGINT) AS size, 0.54 - 0.46 * cos(2 * pi() * step_idx / (n - 1)) AS weight FROM r),
+        f AS (SELECT step, n, size, a, b, k AS bin, sum(y * weight * cos(2 * pi() * ((k * step_idx) % size) / size)) * 2 / sum(weight) AS re, -sum(y * weight * sin(2 * pi() * ((k * step_idx) % size) / size)) * 2 / sum(weight) AS im
+              FROM s2, LATERAL (SELECT unnest(range(0, size // 2 + 1)) AS k) GROUP BY step, n, size, a, b, k)
+        SELECT step, bin, round(bin / (size * ((b - a) / (n - 1))), 9) AS freq, round(sqrt(re * re + im * im) / CASE WHEN bin = 0 OR bin = size // 2 THEN 2 ELSE 1 END + {_NUDGE}, 5) AS v FROM f"""
 
 OPERATORS: dict[str, tuple[Query, str | None]] = {
     "steps_by_parameter": (_steps_by_parameter, _W + _PSTEPS + " SELECT file, point_idx, step, point_idx - min(point_idx) OVER (PARTITION BY file, step) AS step_idx FROM g"),
@@ -562,11 +573,8 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
     "fft_phase": (_fft("phase"), _PHASE_SQL),
     "fft_db_whole": (_fft("db"), _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(20 * log10(greatest(amount, 1e-300)) + {_NUDGE}, 5) AS v FROM a"),
     "fft_phase_whole": (_fft("phase"), _PHASE_SQL),
-    "fft_waveform": (_fft_waveform, _W + _RESAMPLED + f""", r AS (SELECT j.step, j.step_idx, n, a, b, CASE WHEN x2 IS NULL OR x = x1 THEN y1 ELSE y1 + (x - x1) * ((y2 - y1) / (x2 - x1)) END AS y FROM j JOIN e USING (step) WHERE n > 1),
-        s2 AS (SELECT *, CAST(pow(2, ceil(log2(n))) AS BIGINT) AS size, 0.54 - 0.46 * cos(2 * pi() * step_idx / (n - 1)) AS weight FROM r),
-        f AS (SELECT step, n, size, a, b, k AS bin, sum(y * weight * cos(2 * pi() * ((k * step_idx) % size) / size)) * 2 / sum(weight) AS re, -sum(y * weight * sin(2 * pi() * ((k * step_idx) % size) / size)) * 2 / sum(weight) AS im
-              FROM s2, LATERAL (SELECT unnest(range(0, size // 2 + 1)) AS k) GROUP BY step, n, size, a, b, k)
-        SELECT step, bin, round(bin / (size * ((b - a) / (n - 1))), 9) AS freq, round(sqrt(re * re + im * im) / CASE WHEN bin = 0 OR bin = size // 2 THEN 2 ELSE 1 END + {_NUDGE}, 5) AS v FROM f"""),
+    "fft_waveform": (_fft_waveform, _PADDED_SQL),
+    "fft_in_parts": (_fft_in_parts, _PADDED_SQL),
     "fft_points": (_fft_points, _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a"),
     "fft_points_whole": (_fft_points, _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a"),
     "resample_uniform": (_resample, _W + _RESAMPLED + f"""
