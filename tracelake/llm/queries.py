@@ -90,8 +90,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str, a: str | None = None,
     return align(table(spark, sf_dir, "documents"), a or files.path("byte_bpe_50k.json"), files.PATTERN, b or files.path("piece_bpe_32k.model"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_best_fit_packing, op4_line_dedup, op5_token_counts, op6_chat_formatting, op7_warc, op8_decontamination, op9_secrets, op10_toxicity, op11_token_alignment)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_best_fit_packing, op4_line_dedup, op5_token_counts, op6_chat_formatting, op7_warc, op8_decontamination, op9_secrets, op10_toxicity, op11_token_alignment, op12_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -43,6 +43,26 @@ SQL = {
         o AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS near_items FROM (SELECT DISTINCT y.doc_id, CAST(g.item_id AS VARCHAR) AS item FROM y JOIN g USING (gram)) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(near_items, '') AS near_items
         FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN o USING (doc_id)""",
+    "op12_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+        w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words FROM t),
+        m AS (SELECT w.part, coalesce(l.good, FALSE) AS good, coalesce(l.toxic, FALSE) AS toxic,
+                     MAP {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words), 'C': 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x),
+                          'D': regexp_matches(x, '[#$%&*|]'), 'E': doc_id > min(doc_id) OVER (PARTITION BY x)} AS fails
+              FROM w LEFT JOIN (SELECT doc_id AS id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l ON l.id = w.doc_id),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        o AS (SELECT p.f || q.f || r.f || s.f || u.f AS filter_order FROM f p, f q, f r, f s, f u WHERE len(list_distinct([p.f, q.f, r.f, s.f, u.f])) = 5),
+        g AS (SELECT part, good, toxic, fails, count(*) AS n FROM m GROUP BY ALL),
+        e AS (SELECT part, filter_order, step, n, good, toxic, fails[filter_order[step]] AS fail, list_reduce(list_transform(range(1, step), lambda j: fails[filter_order[j]]), lambda a, b: a OR b, FALSE) AS gone,
+                     list_reduce(map_values(fails), lambda a, b: a OR b) AND len(list_filter(map_values(fails), lambda z: z)) = 1 AS alone
+              FROM g, o, (SELECT unnest(range(1, 6)) AS step)),
+        c AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, sum(n) FILTER (WHERE NOT gone AND NOT fail) AS kept, sum(n) FILTER (WHERE fail AND NOT gone) AS removed, sum(n) FILTER (WHERE fail AND gone) AS redundant,
+                     sum(n) FILTER (WHERE fail AND alone) AS unique_fails, sum(n) FILTER (WHERE fail AND NOT gone AND good) AS good_lost, sum(n) FILTER (WHERE fail AND NOT gone AND toxic) AS toxic_lost
+              FROM e GROUP BY ALL)
+        SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+               CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter_order[step]), 0) AS BIGINT) AS shapley
+        FROM c""",
 }
 
 
