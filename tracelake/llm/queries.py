@@ -96,8 +96,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.set_join import similar_sets
+
+    return similar_sets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_best_fit_packing, op4_line_dedup, op5_token_counts, op6_chat_formatting, op7_warc, op8_decontamination, op9_secrets, op10_toxicity, op11_token_alignment, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_best_fit_packing, op4_line_dedup, op5_token_counts, op6_chat_formatting, op7_warc, op8_decontamination, op9_secrets, op10_toxicity, op11_token_alignment, op12_filter_audit, op13_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
