@@ -9,6 +9,7 @@ from tracelake.operators import smith, spectral, steps
 from tracelake.operators import windowing as W
 from tracelake.plans.charts import chart_type, fft_signals, suggestions
 from tracelake.plans.compiler import Points, Variable
+from tracelake.sources import rows as R
 from tracelake.sources import waveform as S
 
 
@@ -309,7 +310,7 @@ def make(tmp_path, rows, variables, flags="real", scale="lin", plot="Transient A
 
 
 def test_real_file(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(S, "RANGE_BYTES", 96)
+    monkeypatch.setattr(R, "RANGE_BYTES", 96)
     x = np.tile(np.arange(5.0), 2)
     rows = np.stack([x, x * 2, x * 0 + 9, x + 1, np.repeat([1.0, 2.0], 5)], axis=1)
     path = make(tmp_path, rows, [("Time", "time"), ("V(out)", "voltage"), ("odd", "strange"), ("V(in)", "voltage"), ("R1", "parameter")], "real stepped")

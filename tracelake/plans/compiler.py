@@ -7,6 +7,7 @@ expanded where they are called. A step selector is a join on the place within th
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,8 @@ class Variable:
     unit: str = ""
     kind: str = ""
     is_complex: bool = False
+    #: Columns of a source that the column is made of; none for the column itself.
+    uses: frozenset[str] = frozenset()
 
 
 @dataclass(frozen=True)
@@ -38,6 +41,9 @@ class Compiled:
     value: Value
     unit: str
     selectors: tuple = ()
+    #: Columns of the points, and those of a source that they are made of.
+    columns: frozenset[str] = frozenset()
+    uses: frozenset[str] = frozenset()
 
     @property
     def is_complex(self) -> bool:
@@ -49,7 +55,7 @@ class Points:
     """A table of points with its variables and functions.
 
     ``keys`` name the columns that tell tables of points apart (files); ``step`` and ``step_idx`` number the steps and the points in each. ``n_steps`` is needed
-    for selectors only.
+    for selectors only. ``scan`` gives the points with these columns alone, where a source can leave out others; ``derived`` are the columns made from them since.
     """
 
     df: DataFrame
@@ -59,6 +65,8 @@ class Points:
     step: str = "step"
     step_idx: str = "step_idx"
     n_steps: int | None = None
+    scan: Callable[[frozenset[str]], DataFrame] | None = None
+    derived: tuple[tuple[str, Compiled], ...] = ()
     #: Expressions compiled so far; a copy with other variables starts anew.
     _compiled: dict[str, Compiled] = field(default_factory=dict, init=False, repr=False, compare=False)
 
@@ -83,11 +91,11 @@ class Points:
             return self._compiled[text]
         work = _Work(self)
         if (known := self.variables.get(text.casefold())) is not None:
-            return Compiled(known.name, work.variable(text.casefold()), known.unit)
+            return Compiled(known.name, work.variable(text.casefold()), known.unit, (), frozenset(work.columns), frozenset(work.uses))
         tree = parse(text)
         value = work.value(tree, {}, ())
         unit = units.infer(tree, {k: v.unit for k, v in self.variables.items()}, self.functions)
-        found = Compiled(canonical(tree), value, unit, tuple(work.selectors))
+        found = Compiled(canonical(tree), value, unit, tuple(work.selectors), frozenset(work.columns), frozenset(work.uses))
         if not found.selectors:  # their joins have names of their own each time
             self._compiled[text] = found
         return found
@@ -111,10 +119,31 @@ class Points:
             df = df.join(side, on, "left")
         return df
 
+    def narrowed(self, wanted: list[Compiled], keep: tuple[str, ...]) -> Points:
+        """The points over a scan of what the expressions and ``keep`` use."""
+        if self.scan is None:
+            return replace(self)
+        made = dict(self.derived)
+        kept = frozenset().union(*[made[c].uses if c in made else {c} for c in keep])
+        out = replace(self, df=self.scan(kept.union(*[c.uses for c in wanted])))
+        needed = set(keep).union(*[c.columns for c in wanted])
+        for column, c in reversed(self.derived):
+            needed |= c.columns if column in needed else set()
+        for column, c in self.derived:
+            if column in needed:
+                out = replace(out, df=out.joined(c).withColumn(column, c.value.column()).select(*out.df.columns, column))
+        return out
+
+    def over(self, scan: Callable[[frozenset[str]], DataFrame]) -> Points:
+        """The same variables over other rows."""
+        wanted = frozenset(v.column for v in self.variables.values() if not v.uses) | {"x"}
+        out = replace(self, df=scan(wanted), scan=scan)
+        return replace(out, df=out.narrowed([], tuple(out.df.columns) + tuple(c for c, _ in self.derived)).df)
+
     def evaluate(self, *texts: str, keep: tuple[str, ...] = ()) -> DataFrame:
         """``keep`` and a column for each expression, named by its canonical text, with the unit in its metadata."""
         done = [self.compile(t) for t in texts]
-        out = replace(self)
+        out = self.narrowed(done, keep)
         for c in done:
             out = replace(out, df=out.joined(c))
         return out.df.select(*keep, *[c.value.column().alias(c.text, metadata={"unit": c.unit}) for c in done])
@@ -129,8 +158,8 @@ class Points:
         c = self.compile(text)
         column = f"d{len(self.df.columns)}"
         df = self.joined(c).withColumn(column, c.value.column()).select(*self.df.columns, column)
-        v = Variable(name or c.text, column, c.unit, "", c.is_complex)
-        return replace(self, df=df, variables=self.variables | {v.name.casefold(): v})
+        v = Variable(name or c.text, column, c.unit, "", c.is_complex, c.uses)
+        return replace(self, df=df, variables=self.variables | {v.name.casefold(): v}, derived=(*self.derived, (column, c)))
 
 
 def _called(node: object) -> set[str]:
@@ -154,11 +183,15 @@ def without_recursion(functions: dict[str, Function]) -> dict[str, Function]:
 class _Work:
     def __init__(self, points: Points):
         self.points, self.selectors = points, []
+        self.uses: set[str] = set()
+        self.columns: set[str] = set()
 
     def variable(self, key: str) -> Value | None:
         v = self.points.variables.get(key)
         if v is None:
             return None
+        self.columns.add(v.column)
+        self.uses |= v.uses or {v.column}
         col = F.col(f"`{v.column}`")
         return V.vector(col["re"], col["im"]) if v.is_complex else V.vector(col.cast("double"))
 

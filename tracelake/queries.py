@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake import file_queries
 from tracelake.operators import decimate as D
 from tracelake.operators import smith, spectral, steps
 from tracelake.operators import windowing as W
@@ -610,11 +611,11 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {k: _expression(t) for k, (t, _) in EXPRESSIONS.items()}
     out |= {k: _complex(t, False) for k, (t, *_) in COMPLEX.items()}
     out |= {k: _complex(t, True) for k, (t, _) in REAL_OF_COMPLEX.items()}
-    return out | {k: q for k, (q, _) in OPERATORS.items()}
+    return out | {k: q for k, (q, _) in OPERATORS.items()} | {k: q for k, (q, _) in file_queries.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: f"SELECT l_orderkey, l_linenumber, round(CAST({s} AS DOUBLE) + {_NUDGE}, {_R}) AS v FROM lineitem" for k, (_, s) in EXPRESSIONS.items()}
     out |= {k: f"{_Z} SELECT l_orderkey, l_linenumber, round({a} + {_NUDGE}, {_R}) AS re, round({b} + {_NUDGE}, {_R}) AS im FROM c" for k, (_, a, b) in COMPLEX.items()}
     out |= {k: f"{_Z} SELECT l_orderkey, l_linenumber, round({s} + {_NUDGE}, {_R}) AS v FROM c" for k, (_, s) in REAL_OF_COMPLEX.items()}
-    return out | {k: s for k, (_, s) in OPERATORS.items() if s}
+    return out | {k: s for k, (_, s) in [*OPERATORS.items(), *file_queries.queries().items()] if s}
