@@ -130,6 +130,22 @@ def test_complex(spark, text):
     assert expand_ac(p, "Z") == ["db(z)", "phase(z)"]
 
 
+@pytest.mark.parametrize("text", ["asin(z)", "acos(z)", "atan(z)"])
+def test_complex_inverses_everywhere(spark, text):
+    """Both sides of the cuts, next to and on the branch points, tiny and large parts: each part to 1e-12 of its own size."""
+    sizes = [0.0, 1e-300, 1e-160, 1e-20, 1e-10, 1e-8, 1e-3, 0.3, 1 - 1e-9, 1 + 1e-9, 1.7, 3.0077026728735397, 7.61972874609815, 1e3, 1e8, 1e20, 1e120, 1e160]
+    parts = [*sizes, *(-x for x in sizes)]
+    rng = np.random.default_rng(2)
+    z = [complex(x, y) for x in [*parts, 1.0, -1.0] for y in parts if not (text == "atan(z)" and x == 0 and abs(y) == 1)] + list(rng.normal(size=200) * 10 ** rng.uniform(-12, 12, 200) + 1j * rng.normal(size=200))
+    df = spark.createDataFrame([(k, (float(a.real), float(a.imag))) for k, a in enumerate(z)], "i int, z struct<re:double,im:double>")
+    p = Points.of(df, [Variable("z", "z", "", "", True)])
+    found = p.evaluate(text, keep=("i",)).toDF("i", "v").orderBy("i").collect()
+    with np.errstate(all="ignore"):
+        want = NUMPY[text](np.array(z))
+    for part, of in (("re", np.real), ("im", np.imag)):
+        np.testing.assert_allclose([r["v"][part] for r in found], of(want), rtol=1e-12, atol=1e-300)
+
+
 def test_names_and_errors(points):
     for text in ("nothing", "loop(x)", "a(x)", "bad(x)", "abs()", "atan2(x)", "limit(x, 1)", "twice(x, y)", "V(n)", "x@1", "unknown(1)"):
         with pytest.raises(ValueError):

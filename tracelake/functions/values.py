@@ -161,26 +161,42 @@ def _tanh(a):
     return _ratio(a[0], a[1])
 
 
-def _foci(a):
-    p, q = F.hypot(a[0] + 1, a[1]), F.hypot(a[0] - 1, a[1])
-    far, near = (p + q) / 2, (p - q) / 2
-    side = F.when(a[1] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    return near, side * ieee.ln(far + F.sqrt(F.greatest(far * far - 1, F.lit(0.0))))
+def _below(y: Column) -> Column:
+    """Whether y is negative, -0.0 included: on a cut the sign of zero names the side."""
+    return ieee.atan2(y, F.lit(-1.0)) < 0
+
+
+def _asinh(v: Column) -> Column:
+    """Of a number that isn't negative, without loss for small ones or overflow for large ones."""
+    return F.when(v > 1e8, ieee.ln(v) + math.log(2)).otherwise(F.log1p(v + v * v / (1 + F.sqrt(1 + v * v))))
+
+
+def _roots(a: Pair) -> tuple[Pair, Pair, Column]:
+    """The square roots of 1 - z and 1 + z above the real axis, all four parts not negative, and the height of asin: sums of products, so nothing cancels."""
+    y = F.abs(a[1])
+    p, q = sqrt((1 - a[0], y)), sqrt((1 + a[0], y))
+    height = _asinh(p[0] * q[1] + p[1] * q[0])
+    return p, q, F.when(_below(a[1]), -height).otherwise(height)
 
 
 def _asin(a):
-    near, height = _foci(a)
-    return F.asin(near), height
+    p, q, height = _roots(a)
+    return ieee.atan2(a[0], p[0] * q[0] + p[1] * q[1]), height
 
 
 def _acos(a):
-    near, height = _foci(a)
-    return F.acos(near), -height
+    p, q, height = _roots(a)
+    return 2 * ieee.atan2(p[0], q[0]), -height
 
 
 def _atan(a):
-    x, y = a
-    return F.atan2(2 * x, 1 - x * x - y * y) / 2, ieee.ln(ieee.divide(x * x + (y + 1) * (y + 1), x * x + (y - 1) * (y - 1))) / 4
+    x, y, m = a[0], F.abs(a[1]), modulus(a)
+    near = F.hypot(x, 1 - y)
+    height = F.log1p(4 * ieee.divide(ieee.divide(y, near), near)) / 4
+    # Far away only the side counts; squares would overflow.
+    far = m > 1e100
+    along = F.when(far, ieee.atan2(2 * ieee.divide(ieee.divide(x, m), m), F.lit(-1.0))).otherwise(ieee.atan2(2 * x, (1 - y) * (1 + y) - x * x))
+    return along / 2, F.when(_below(a[1]), -height).otherwise(height)
 
 
 def _less(a: Pair, b: Pair) -> Column:
