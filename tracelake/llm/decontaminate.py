@@ -284,6 +284,14 @@ def _match(slop: int):
     return run
 
 
+def lists_of(places: DataFrame, asked: DataFrame, block_windows: int) -> DataFrame:
+    """(segment, list, asked): the windows whose rarest term a segment holds, in as many lists of about ``block_windows`` as that segment's own windows need."""
+    # Counted by term: a few numbers a segment, before any window is sent.
+    number = places.join(asked.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term").groupBy("segment").agg(F.ceil(F.sum("n") / block_windows).alias("lists"))
+    pairs = places.join(written(number, "lists"), "segment").join(asked, "term")
+    return pairs.groupBy("segment", F.pmod(F.xxhash64("window"), F.col("lists")).alias("list")).agg(F.collect_list(F.struct("window", "terms", "order")).alias("asked"))
+
+
 def search(index: DataFrame, windows: DataFrame, slop: int = 0, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc, kind, start, stop, window: passages (word positions, end exclusive) under exact matches, and a row for each document and window that it matches exactly, or nearly."""
     if not 0 <= 4 * slop < GAP:
@@ -298,9 +306,7 @@ def search(index: DataFrame, windows: DataFrame, slop: int = 0, block_windows: i
     asked = distinct.join(order, "window").filter(F.size("o") == F.size("terms"))  # the others have a term that no document holds
     asked = asked.select("window", "terms", F.transform("o", lambda x: x["place"]).alias("order"))
     asked = written(asked.withColumn("term", F.element_at("terms", F.element_at("order", 1) + 1)), "asked")
-    lists = -(-asked.count() // block_windows)
-    pairs = lexicon.select("term", "segment").join(asked, "term")
-    dealt = pairs.groupBy("segment", F.pmod(F.xxhash64("window"), F.lit(max(lists, 1))).alias("list")).agg(F.collect_list(F.struct("window", "terms", "order")).alias("asked"))
+    dealt = lists_of(lexicon.select("term", "segment"), asked, block_windows)
     both = index.join(dealt, "segment").select("docs", "n_words", "terms", "counts", "positions", "asked")
     return arrow_map(both, _match(slop), "doc binary, kind int, start bigint, stop bigint, window binary")
 

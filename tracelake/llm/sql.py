@@ -66,14 +66,25 @@ SQL = {
 }
 
 
+# The three kinds of the contract, and three that the method adds: kind, pattern, group whose length counts, least length.
+_SECRETS = [
+    ("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ('account', r"""([Uu][Ss][Ee][Rr][Nn][Aa][Mm][Ee]|[Uu][Ss][Ee][Rr]|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Cc][Ll][Ii][Ee][Nn][Tt]_[Ii][Dd])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 3),
+    ('mixed', r"""[A-Za-z0-9+/]{20,}""", 0, 20),
+    ('endpoint', r"""https?://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+""", 0, 10),
+]
+_SCOPE = 200
+
+
 def _secrets_sql() -> str:
-    from tracelake.llm.secrets import KINDS, SCOPE
 
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
     parts = []
-    for o, (kind, pattern, group, least) in enumerate(KINDS):
+    for o, (kind, pattern, group, least) in enumerate(_SECRETS):
         p = quoted(pattern)
         size = f"length(regexp_extract(m, {p}, {group}))" if group else "length(m)"
         keep = f"{size} >= {least}"
@@ -89,7 +100,7 @@ def _secrets_sql() -> str:
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         s AS ({" UNION ALL ".join(parts)}),
         w AS (
-            SELECT a.doc_id, a.ord, a.kind, a.start, a.stop FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.start <= a.stop + {SCOPE} AND b.stop >= a.start - {SCOPE} AND (b.start >= a.stop OR b.stop <= a.start)
+            SELECT a.doc_id, a.ord, a.kind, a.start, a.stop FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.start <= a.stop + {_SCOPE} AND b.stop >= a.start - {_SCOPE} AND (b.start >= a.stop OR b.stop <= a.start)
             WHERE a.ord >= 3 GROUP BY ALL
             HAVING CASE a.kind WHEN 'account' THEN bool_or(b.kind IN ('assign', 'hex', 'mixed')) WHEN 'mixed' THEN bool_or(b.kind IN ('access', 'account'))
                    ELSE min(b.stop) FILTER (WHERE b.kind IN ('access', 'account')) <= max(b.start) FILTER (WHERE b.kind IN ('assign', 'hex', 'mixed'))

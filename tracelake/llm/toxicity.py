@@ -5,7 +5,7 @@ bucket gets the log of the ratio of its smoothed document frequencies among toxi
 ratio are features, with the ratio as their value; a logistic regression with an L2 penalty on ratio-scaled features gives the score.
 
 What is fitted on and sent around has a bound that doesn't grow with the corpus, by parameters: training reads at most ``max_labels`` labelled rows, chosen by a hash
-of their id; a bucket needs ``min_docs`` of their texts and a ratio of ``min_ratio`` either way, and the ``max_features`` with the clearest ratios are used. Scoring
+of their id, with texts of at most ``max_bytes`` in all; a bucket needs ``min_docs`` of their texts and a ratio of ``min_ratio`` either way, and the ``max_features`` with the clearest ratios are used. Scoring
 reads whole texts, of any length, and no other column.
 
 Nulls: a null text is empty; a label row with a null id or label is ignored; a null id is scored and counts as held out. Several
@@ -20,12 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import arrow_map, slices, text_bytes, written
 
-MAX_LABELS = 20_000
+MAX_LABELS, MAX_BYTES = 20_000, 256 << 20
 BITS = 20
 SIZES = (4, 5)
 MAX_FEATURES = 1 << 16
@@ -37,15 +37,33 @@ SLICE_BYTES = 1 << 20
 _SEED = np.uint32(2654435761)
 
 
-def code_points(text: bytes) -> np.ndarray:
-    return np.frombuffer(f" {text.decode('utf-8', 'replace').lower()} ".encode("utf-32-le"), np.uint32)
-
-
-def buckets(texts: list[bytes], bits: int, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(document, bucket) of every n-gram, for each n; a text has a space at either end."""
-    chars = [code_points(t) for t in texts]
-    data = np.concatenate(chars) if chars else np.zeros(0, np.uint32)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in chars])
+def code_points(text: bytes, most: int, overlap: int) -> Iterator[np.ndarray]:
+    """The code points of a text with a space at either end, ``most`` at a time; each piece begins with the last ``overlap`` of the one before."""
+    chars = f" {text.decode('utf-8', 'replace').lower()} "
+    for lo in range(0, max(len(chars) - overlap, 1), most):
+        yield np.frombuffer(chars[lo : lo + most + overlap].encode("utf-32-le"), np.uint32)
+
+
+def together(texts: list[bytes], sizes: tuple[int, ...], most: int = SLICE_BYTES) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """The code points of all texts (numbers of texts, pieces), about ``most`` at a time: a long text is several pieces, which share what an n-gram across them needs."""
+    docs: list[int] = []
+    held: list[np.ndarray] = []
+    for k, text in enumerate(texts):
+        for piece in code_points(text, most, max(sizes) - 1):
+            docs.append(k)
+            held.append(piece)
+            if sum(map(len, held)) >= most:
+                yield docs, held
+                docs, held = [], []
+    if held:
+        yield docs, held
+
+
+def buckets(docs: list[int], pieces: list[np.ndarray], bits: int, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, bucket) of every n-gram of the pieces, for each n."""
+    data = np.concatenate(pieces)
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(c) for c in pieces])
+    doc = np.array(docs, np.int32)
     for n in sizes:
         if len(data) < n:
             continue
@@ -54,18 +72,20 @@ def buckets(texts: list[bytes], bits: int, sizes: tuple[int, ...]) -> Iterator[t
             h *= np.uint32(16777619)
             h ^= data[k : len(data) - n + 1 + k]
         h *= _SEED
-        inside = doc[: len(h)] == doc[n - 1 :]
-        yield doc[: len(h)][inside], (h >> np.uint32(32 - bits))[inside].astype(np.int64)
+        inside = piece[: len(h)] == piece[n - 1 :]
+        yield doc[piece[: len(h)][inside]], (h >> np.uint32(32 - bits))[inside].astype(np.int64)
 
 
 def present(texts: list[bytes], bits: int, sizes: tuple[int, ...], feature: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, feature) pairs in order; ``feature`` maps buckets to features, -1 to none."""
-    found = []
-    for doc, bucket in buckets(texts, bits, sizes):
-        f = bucket if feature is None else feature[bucket]
-        ok = f >= 0
-        found.append(doc[ok].astype(np.int64) << 32 | f[ok])
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    pairs = np.zeros(0, np.int64)
+    for docs, pieces in together(texts, sizes):
+        found = [pairs]
+        for doc, bucket in buckets(docs, pieces, bits, sizes):
+            f = bucket if feature is None else feature[bucket]
+            ok = f >= 0
+            found.append(doc[ok].astype(np.int64) << 32 | f[ok])
+        pairs = np.unique(np.concatenate(found))
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
@@ -122,8 +142,9 @@ def _frequencies(bits: int, sizes: tuple[int, ...]):
         seen = np.zeros(1 << bits, bool)
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                for _, bucket in buckets([text], bits, sizes):
-                    seen[bucket] = True
+                for docs, pieces in together([text], sizes):
+                    for _, bucket in buckets(docs, pieces, bits, sizes):
+                        seen[bucket] = True
                 at = np.flatnonzero(seen)  # cheaper than sorting the n-grams of a document
                 counts[label][at] += 1
                 seen[at] = False
@@ -145,14 +166,18 @@ def _chosen(shared):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = MAX_LABELS, bits: int = BITS, sizes: tuple[int, ...] = SIZES, penalty: float = PENALTY, min_docs: int = MIN_DOCS, min_ratio: float = MIN_RATIO, max_features: int = MAX_FEATURES) -> Model:
-    """Fits on the labelled rows that aren't held out, at most ``max_labels`` of them."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = MAX_LABELS, max_bytes: int = MAX_BYTES, bits: int = BITS, sizes: tuple[int, ...] = SIZES, penalty: float = PENALTY, min_docs: int = MIN_DOCS, min_ratio: float = MIN_RATIO, max_features: int = MAX_FEATURES) -> Model:
+    """Fits on the labelled rows that aren't held out, at most ``max_labels`` of them and as many as have ``max_bytes`` of text, in the order of a hash of their ids."""
     spark = docs.sparkSession
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("label")).dropna().filter(~held_out(F.col("id")))
     known = known.groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_labels)
     read = docs.select(F.col(f"`{id_col}`").alias("id"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
-    texts = written(read.join(F.broadcast(sample), "id").select("text", "label"), "labelled")
+    texts = written(read.join(F.broadcast(sample), "id").select("id", "text", "label"), "labelled")
+    # Sizes alone are put in order: a row for each labelled id.
+    order = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    small = texts.groupBy("id").agg(F.sum(F.octet_length("text")).alias("size")).withColumn("all", F.sum("size").over(order)).filter(F.col("all") <= max_bytes)
+    texts = texts.join(F.broadcast(small.select("id")), "id").select("text", "label")
     sizes_by = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = sizes_by.get(1, 0), sizes_by.get(0, 0)
     none = np.full(1 << bits, -1, np.int32)
