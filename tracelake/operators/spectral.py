@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WINDOWS = {"rectangular": (1.0, 0.0, 0.0), "hamming": (0.54, 0.46, 0.0), "hanning": (0.5, 0.5, 0.0), "blackman": (0.42, 0.5, 0.08)}
 OUTPUTS = ("magnitude", "db", "phase")
 LEAST = 1e-300
+#: A window whose weights add up to less is refused: such a sum is rounding, as that of two Blackman weights.
+LEAST_WEIGHT = 1e-12
 _EPS = float(np.finfo(float).eps)
 
 
@@ -114,7 +116,7 @@ def spectrum(x: np.ndarray, signals: np.ndarray, name: str = "hanning", output:
     if not dt > 0:
         raise ValueError("x must rise")
     weights = window(name, n)
-    if weights.sum() == 0:
+    if abs(weights.sum()) < LEAST_WEIGHT:
         raise ValueError("the window's weights add up to 0")
     if not keep_dc:
         signals = signals - signals.mean(axis=1, keepdims=True)
@@ -173,7 +175,7 @@ def fft_in_parts(df: DataFrame, signals: list[str], parts: int, by: list[str] =
     refuse = lambda why: F.raise_error(F.lit(why)).cast("long")
     dt = F.when(F.col("uniform"), F.col("d0")).otherwise((b - a) / (n - 1))
     size = F.expr("shiftleft(1L, length(bin(count - 1)))") if pad else n
-    checked = F.when(~(F.col("dt") > 0), refuse("x must rise")).when(F.abs("weights") < 1e-12, refuse("the window's weights add up to 0"))
+    checked = F.when(~(F.col("dt") > 0), refuse("x must rise")).when(F.abs("weights") < LEAST_WEIGHT, refuse("the window's weights add up to 0"))
     checked = checked.when(size % parts != 0, refuse(f"{parts} parts don't divide a series' length")).otherwise(size)
     facts = _steps(rows, by, "__place", "__time").filter(n > 1).withColumns({"dt": dt, "weights": _weights(name, n)}).withColumn("size", checked)
     fact = F.struct("uniform", "count", "first", "dt", "weights", "size").alias("__fact")
@@ -265,30 +267,28 @@ def thd(spectra: DataFrame, by: list[str], value: str = "value", fundamental: fl
     The fundamental is the largest value besides bin 0, the first of equal ones, or the bin nearest to a given frequency. A harmonic
     is the largest value within the tolerance of its frequency, else the nearest bin within twice that, else left out. Raises where the fundamental isn't positive.
     """
-    # A series' bins as one value: the spectrum, which one task made whole, is read once.
-    rows = spectra.select(*by, F.struct("bin", "freq", F.col(value).alias("v")).alias("s")).groupBy(*by).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    over = lambda make, keep=None: F.transform(F.filter("s", keep) if keep else F.col("s"), make)
-    at = lambda k: F.get(over(lambda b: b["freq"], lambda b: b["bin"] == k), F.lit(0))
+    from tracelake.operators.steps import attach, grouped
+    from tracelake.sources.shared import stored
+
+    by = list(by)
+    # Two aggregations over bins with partial sums: the fundamental, then everything near its multiples. No task holds a spectrum; it is a table, so it is made once.
+    bins = stored(spectra.select(*by, F.col("bin").alias("__bin"), F.col("freq").alias("__freq"), F.col(value).alias("__v")), "bins")
+    spot = F.struct(F.col("__freq").alias("freq"), F.col("__v").alias("v"))
     if fundamental is None:
-        first = F.array_max(over(lambda b: F.struct(b["v"].alias("v"), (-b["bin"]).alias("at"), b["freq"].alias("freq")), lambda b: b["bin"] > 0))
+        first = F.max_by(F.when(F.col("__bin") > 0, spot), F.when(F.col("__bin") > 0, F.struct("__v", -F.col("__bin"))))
     else:
-        first = F.array_min(over(lambda b: F.struct(F.abs(b["freq"] - F.lit(fundamental)).alias("off"), b["bin"].alias("at"), b["freq"].alias("freq"), b["v"].alias("v"))))
+        first = F.min_by(spot, F.struct(F.abs(F.col("__freq") - F.lit(fundamental)), "__bin"))
+    at = lambda k: F.max(F.when(F.col("__bin") == k, F.col("__freq")))
     tol = F.lit(tolerance).cast("double") if tolerance is not None else F.greatest(F.coalesce((at(1) - at(0)) / 2, F.lit(0.0)), F.lit(1e-12))
-    rows = rows.select(*by, "s", F.array_max(over(lambda b: b["freq"])).alias("top"), tol.alias("tol"), first.alias("f"))
-    off = lambda b, k: F.abs(b["freq"] - k * F.col("f.freq"))
-
-    def harmonic(k):
-        inside = F.array_max(over(lambda b: b["v"], lambda b: off(b, k) <= F.col("tol")))
-        nearest = F.array_min(over(lambda b: F.struct(off(b, k).alias("off"), b["bin"].alias("bin"), b["v"].alias("v")), lambda b: off(b, k) <= 2 * F.col("tol")))["v"]
-        return F.when(k * F.col("f.freq") <= F.col("top"), F.coalesce(inside, nearest, F.lit(0.0))).otherwise(F.lit(0.0))
-
-    squares = [F.pow(harmonic(k), F.lit(2.0)) for k in range(2, harmonics + 1)]
-    a1 = F.col("f.v")
-    return rows.select(*by, F.when(a1 > 0, F.sqrt(sum(squares, F.lit(0.0))) / a1).otherwise(F.raise_error(F.lit("the fundamental's amplitude isn't positive")).cast("double")).alias("thd"))
-
-
-def even_grid(df: DataFrame, by: list[str], order: str = "step_idx", x: str = "x") -> DataFrame:
-    """The place that each row has on its series' even grid, by aggregates alone."""
-    w = Window.partitionBy(*by)
-    n = F.count(F.lit(1)).over(w)
-    return df.withColumn("grid", F.min(x).over(w) + (F.max(x).over(w) - F.min(x).over(w)) * F.col(order) / F.greatest(n - 1, F.lit(1)))
+    facts = grouped(bins, by).agg(first.alias("__f"), F.max("__freq").alias("__top"), tol.alias("__tol"))
+    off = lambda k: F.abs(F.col("__freq") - k * F.col("__f.freq"))
+    near = attach(bins, facts, by)
+    multiples = range(2, harmonics + 1)
+    found = near.groupBy(*by, "__f", "__top").agg(
+        *[F.max(F.when(off(k) <= F.col("__tol"), F.col("__v"))).alias(f"__in{k}") for k in multiples],
+        *[F.min_by(F.when(off(k) <= 2 * F.col("__tol"), F.col("__v")), F.when(off(k) <= 2 * F.col("__tol"), F.struct(off(k), "__bin"))).alias(f"__by{k}") for k in multiples],
+        F.count(F.lit(1)).alias("__n"),
+    )
+    squares = [F.when(k * F.col("__f.freq") <= F.col("__top"), F.pow(F.coalesce(f"__in{k}", f"__by{k}", F.lit(0.0)), F.lit(2.0))).otherwise(0.0) for k in multiples]
+    a1 = F.col("__f.v")
+    return found.select(*by, F.when(a1 > 0, F.sqrt(sum(squares, F.lit(0.0))) / a1).otherwise(F.raise_error(F.lit("the fundamental's amplitude isn't positive")).cast("double")).alias("thd"))

@@ -21,6 +21,30 @@ from tracelake.sources import waveform as source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Line simplification of w (step, step_idx, x, y, n) to 16 points: every segment's farthest point, the level of each split, bisection over levels.
+_SIMPLIFIED = """, seg AS (
+        SELECT a.step, a.step_idx AS a, a.x AS ax, a.y AS ay, b.step_idx AS b, b.x AS bx, b.y AS b_y, CAST('Infinity' AS DOUBLE) AS least, FALSE AS first
+        FROM w a JOIN w b ON a.step = b.step AND a.step_idx = 0 AND b.step_idx = b.n - 1 WHERE a.n > 16
+        UNION ALL
+        SELECT t.step, h.a, h.ax, h.ay, h.b, h.bx, h.b_y, least(t.d, t.least), h.first
+        FROM (SELECT s.step, s.a, s.ax, s.ay, s.b, s.bx, s.b_y, s.least, max(v.d) AS d, arg_max({'i': w.step_idx, 'x': w.x, 'y': w.y}, {'d': v.d, 'i': -w.step_idx}) AS far
+              FROM seg s JOIN w ON w.step = s.step AND w.step_idx > s.a AND w.step_idx < s.b,
+                   LATERAL (SELECT CASE WHEN s.bx = s.ax AND s.b_y = s.ay THEN sqrt((w.x - s.ax) * (w.x - s.ax) + (w.y - s.ay) * (w.y - s.ay))
+                                        ELSE abs((w.x - s.ax) * (s.b_y - s.ay) - (w.y - s.ay) * (s.bx - s.ax)) / sqrt((s.bx - s.ax) * (s.bx - s.ax) + (s.b_y - s.ay) * (s.b_y - s.ay)) END AS d) v
+              GROUP BY ALL) t,
+             LATERAL (SELECT t.a AS a, t.ax AS ax, t.ay AS ay, t.far.i AS b, t.far.x AS bx, t.far.y AS b_y, TRUE AS first UNION ALL SELECT t.far.i, t.far.x, t.far.y, t.b, t.bx, t.b_y, FALSE) h
+        WHERE t.d > 0),
+    split AS (SELECT step, b AS at, least AS level FROM seg WHERE first),
+    levels AS (SELECT step, list(level) AS levels, max(level) AS top FROM split GROUP BY step),
+    bisect AS (
+        SELECT step, levels, 0 AS k, CAST(0 AS DOUBLE) AS low, top AS high FROM levels
+        UNION ALL
+        SELECT step, levels, k + 1, CASE WHEN many THEN (low + high) / 2 ELSE low END, CASE WHEN many THEN high ELSE (low + high) / 2 END
+        FROM (SELECT *, 2 + len(list_filter(levels, lambda v: v > (low + high) / 2)) > 16 AS many FROM bisect WHERE k < 24)),
+    kept AS (SELECT w.step, w.step_idx, w.x, w.y FROM w LEFT JOIN split ON split.step = w.step AND split.at = w.step_idx LEFT JOIN bisect ON bisect.step = w.step AND bisect.k = 24
+             WHERE w.n <= 16 OR w.step_idx = 0 OR w.step_idx = w.n - 1 OR split.level > bisect.high)"""
+
+
 # Tables as points
 
 
@@ -284,6 +308,11 @@ def _decimated(method: str, target: int = 16) -> Query:
     return run
 
 
+def _simplified_in_rounds(spark, sf_dir):
+    """Every series level by level, as one that is too long for a task."""
+    return _rounded(D.decimate(waveform(spark, sf_dir), 16, "rdp", task_rows=0), "x", "y")
+
+
 def _plot(spark, sf_dir):
     """What a chart shows: an expression from text over the visible range, decimated, without infinities."""
     w = waveform(spark, sf_dir)
@@ -545,7 +574,8 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
               FROM r JOIN c ON c.step = r.step AND c.k = r.k JOIN w ON w.step = r.step AND w.step_idx >= c.lo AND w.step_idx < greatest(c.hi, c.lo + 1),
                    LATERAL (SELECT {{'a': CASE WHEN c.after <= c.hi THEN 0.0 ELSE abs((c.cx - r.x) * (w.y - r.y) - (c.cy - r.y) * (w.x - r.x)) END, 'i': -w.step_idx}} AS rank) GROUP BY r.step, r.k)
         SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM (SELECT step, step_idx, x, y FROM r UNION SELECT step, step_idx, x, y FROM w WHERE n <= 16 OR step_idx = n - 1)"""),
-    "decimate_rdp": (_decimated("rdp"), None),
+    "decimate_rdp": (_decimated("rdp"), _W.replace("WITH", "WITH RECURSIVE", 1) + _SIMPLIFIED + f" SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM kept"),
+    "decimate_rdp_in_rounds": (_simplified_in_rounds, _W.replace("WITH", "WITH RECURSIVE", 1) + _SIMPLIFIED + f" SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM kept"),
     "decimate_m4_trimmed": (_decimated("m4", 3), _W + _BUCKETS.format(p=1).replace("16", "3") + f""", t AS (SELECT step, step_idx, x, y, row_number() OVER (PARTITION BY step ORDER BY step_idx) AS i, count(*) OVER (PARTITION BY step) AS m FROM r WHERE lo = 1 OR hi = 1 OR fi = 1 OR la = 1)
         SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM t WHERE m <= 3 OR i IN (1, 2, m)"""),
     "plot_series": (_plot, _W + f", v AS (SELECT step, x, 20 * log10(y) AS y, row_number() OVER (PARTITION BY step ORDER BY step_idx) - 1 AS step_idx, count(*) OVER (PARTITION BY step) AS n FROM w WHERE x BETWEEN 86400 AND 2e6)" + _BUCKETS.format(p=4).replace("FROM w)", "FROM v)", 1) + f" SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM r WHERE lo = 1 OR hi = 1 OR fi = 1 OR la = 1"),
@@ -587,7 +617,7 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
         SELECT t.step, round(sqrt(coalesce(sum(v * v), 0)) / a1 + {_NUDGE}, {_R}) AS thd FROM t LEFT JOIN v USING (step) GROUP BY t.step, a1"""),
     "smith_project": (_smith_project, _Z + f" SELECT l_orderkey, l_linenumber, round(x + {_NUDGE}, {_R}) AS re, round(y + {_NUDGE}, {_R}) AS im, round(200 + x * 180 + {_NUDGE}, {_R}) AS px, round(200 - y * 180 + {_NUDGE}, {_R}) AS py FROM c WHERE l_linenumber <> 3"),
     "smith_grid": (_smith_grid, f"SELECT 'r' AS kind, r AS value, round(r / (1 + r) + {_NUDGE}, {_R}) AS cx, 0.0 AS cy, round(1 / (1 + r) + {_NUDGE}, {_R}) AS radius FROM (VALUES (0.0::DOUBLE), (0.2), (0.5), (1.0), (2.0), (5.0)) AS t(r) UNION ALL SELECT 'x', s * x, 1.0, round(1 / (s * x) + {_NUDGE}, {_R}), round(1 / x + {_NUDGE}, {_R}) FROM (VALUES (0.2::DOUBLE), (0.5), (1.0), (2.0), (5.0)) AS t(x), (VALUES (1.0::DOUBLE), (-1.0)) AS u(s)"),
-    "smith_trace": (_smith_trace, None),
+    "smith_trace": (_smith_trace, _W.replace("WITH w", "WITH RECURSIVE e", 1) + ", w AS (SELECT step, step_idx, 200 + cos(y) * 180 AS x, 200 - sin(x) * 180 AS y, n FROM e)" + _SIMPLIFIED.replace("16", "20") + f" SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS px, round(y + {_NUDGE}, {_R}) AS py FROM kept"),
     "step_selector": (_step_selector, _W + f" SELECT w.step - 1 AS step, w.step_idx, round(a.y / b.y + {_NUDGE}, {_R}) AS v FROM w LEFT JOIN w a ON a.step = 1 AND a.step_idx = w.step_idx LEFT JOIN w b ON b.step = 2 AND b.step_idx = w.step_idx"),
     "si_format": (_si_text, f"""WITH v AS (SELECT l_orderkey, l_linenumber, {_C} * pow(10.0, round_even({_T} * 200, 0) - 10) AS v FROM lineitem)
         SELECT l_orderkey, l_linenumber, CASE WHEN abs(v) >= 1e9 THEN format('{{:.2f}} GV', v / 1e9) WHEN abs(v) >= 1e6 THEN format('{{:.2f}} MV', v / 1e6) WHEN abs(v) >= 1e3 THEN format('{{:.2f}} kV', v / 1e3) WHEN abs(v) >= 1 THEN format('{{:.2f}} V', v)
