@@ -66,6 +66,29 @@ def test_format_of_spark(spark, tmp_path, monkeypatch):
         spark.read.format("waveform").load(str(tmp_path / "missing")).collect()
 
 
+def test_evaluated_columns_are_kept(spark, tmp_path):
+    """A second evaluation, here in a store of its own as in another session, reads the table: no file is decoded. A changed file has columns of its own."""
+    matrix = np.stack([np.arange(20.0), np.arange(20) * 2.0], axis=1)
+    path, folder = make(tmp_path / "w.bin", matrix, VARIABLES[:2]), str(tmp_path / "store")
+    first = S.load(spark, path).stored_in(folder).points
+    first.evaluate("V(out)*3", "Time")
+    again = S.load(spark, path).stored_in(folder).points
+    out = again.evaluate("3*V(out)/3", keep=("point_idx",))  # another text: made now
+    assert sorted(r[1] for r in out.collect()) == matrix[:, 1].tolist()
+    out = again.evaluate("V(out)*3", "Time", keep=("point_idx", "step"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("parquet") == 2
+    assert out.columns == ["point_idx", "step", "(V(out)*3)", "Time"] and again.compile("V(out)").unit == out.schema["(V(out)*3)"].metadata["unit"] == "V"
+    assert sorted(map(tuple, out.collect())) == [(k, 0, 6.0 * k, float(k)) for k in range(20)]
+    assert sorted(map(tuple, again.evaluate("Time", keep=("x", "point_idx")).collect())) == [(float(k), k, float(k)) for k in range(20)]
+    make(tmp_path / "w.bin", matrix[:10] + 1, VARIABLES[:2])
+    changed = S.load(spark, path).stored_in(folder).points
+    assert sorted(r[0] for r in changed.evaluate("V(out)*3").collect()) == [6.0 * k + 3 for k in range(10)]
+    before = sorted(p.name for p in (tmp_path / "store").iterdir())
+    first.store.put("(V(out)*3)", first.store.find("(V(out)*3)"))  # made twice at once: the first stays
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == before
+
+
 class Counted:
     def __init__(self, path):
         self.handle, self.bytes = pa.OSFile(path), 0

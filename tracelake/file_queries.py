@@ -43,6 +43,14 @@ def _pruned(spark, sf_dir):
     return f.points.evaluate("V(out)*gain", keep=("point_idx", "step")).toDF("point_idx", "step", "v").withColumn("v", F.round("v", _DIGITS))
 
 
+def _kept(spark, sf_dir):
+    """Evaluated twice with a store of columns: the second time both columns are read from their tables."""
+    f = _by_user(spark, sf_dir).stored_in(shared_path(spark, "columns"))
+    f.points.evaluate("V(out)*I(R1)", "Time")
+    out = f.points.evaluate("Time", "V(out)*I(R1)", keep=("point_idx", "step")).toDF("point_idx", "step", "x", "v")
+    return out.withColumns({c: F.round(c, _DIGITS) for c in ("x", "v")})
+
+
 def _window(falling: bool) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         edges = (1_100_000.0, 1_000_000.0) if falling else (1_000_000.0, 1_100_000.0)
@@ -136,6 +144,7 @@ def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
     return {
         "file_facts": (_facts, f"{_SQL}, f AS ({one}) SELECT expression, chart, unit, axis, CASE WHEN v = 0 THEN v ELSE round(v * pow(10.0, 8 - floor(log10(abs(v))))) / pow(10.0, 8 - floor(log10(abs(v)))) END AS total FROM f"),
         "file_pruned": (_pruned, f"{_SQL} SELECT {step} - 1 AS point_idx, CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS INTEGER) AS step, round(y * (y / (y / 2)), {_DIGITS}) AS v FROM e"),
+        "file_kept": (_kept, f"{_SQL} SELECT {step} - 1 AS point_idx, CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS INTEGER) AS step, round(x, {_DIGITS}) AS x, round(y * p, {_DIGITS}) AS v FROM e"),
         "file_window": (_window(False), _window_sql("")),
         "file_window_falling": (_window(True), _window_sql("-")),
         "files": (_files, f"""{_SQL} SELECT 'run' || CAST(user_id % 4 AS VARCHAR) || '.bin' AS file, CASE user_id % 4 WHEN 2 THEN 'AC Analysis' ELSE 'Transient Analysis' END AS plotname, count(*) AS n_points,

@@ -17,6 +17,7 @@ from tracelake.functions import values as V
 from tracelake.functions.values import Value
 from tracelake.plans import units
 from tracelake.plans.syntax import PROBES, AtStep, Binary, Call, Choice, Function, Name, Number, Unary, canonical, is_network_name, parse, parse_function, probe_key
+from tracelake.sources.columns import ColumnStore
 
 _ALIASES = itertools.count()
 _BINARY = {"+": V.add, "-": V.subtract, "*": V.multiply, "/": V.divide, "^": V.raise_to, "==": V.equal, "!=": V.unequal} | {op: V.ordered(op) for op in ("<", "<=", ">", ">=")}
@@ -67,6 +68,8 @@ class Points:
     n_steps: int | None = None
     scan: Callable[[frozenset[str]], DataFrame] | None = None
     derived: tuple[tuple[str, Compiled], ...] = ()
+    #: Where evaluated columns are kept and found again; None keeps none.
+    store: ColumnStore | None = None
     #: Expressions compiled so far; a copy with other variables starts anew.
     _compiled: dict[str, Compiled] = field(default_factory=dict, init=False, repr=False, compare=False)
 
@@ -119,6 +122,10 @@ class Points:
             df = df.join(side, on, "left")
         return df
 
+    def stored_in(self, folder: str, identity: str, keys: tuple[str, ...]) -> Points:
+        """The points with a folder in which their evaluated columns are kept, under ``identity``; ``keys`` tell points apart."""
+        return replace(self, store=ColumnStore(self.df.sparkSession, folder, identity, (*self.keys, *(k for k in keys if k not in self.keys))))
+
     def narrowed(self, wanted: list[Compiled], keep: tuple[str, ...]) -> Points:
         """The points over a scan of what the expressions and ``keep`` use."""
         if self.scan is None:
@@ -143,6 +150,24 @@ class Points:
     def evaluate(self, *texts: str, keep: tuple[str, ...] = ()) -> DataFrame:
         """``keep`` and a column for each expression, named by its canonical text, with the unit in its metadata."""
         done = [self.compile(t) for t in texts]
+        if self.store is not None:
+            return self._from_store(done, keep)
+        return self._made(done, keep)
+
+    def _from_store(self, wanted: list[Compiled], keep: tuple[str, ...]) -> DataFrame:
+        """Stored columns joined by the points' keys; those that aren't stored yet are made first. What ``keep`` names besides keys comes from the points."""
+        keys = self.store.keys
+        for c in {c.text: c for c in wanted}.values():
+            if self.store.find(c.text) is None:
+                self.store.put(c.text, self._made([c], keys).toDF(*keys, "value"))
+        others = tuple(k for k in keep if k not in keys)
+        out = self._made([], (*keys, *others)) if others or not wanted else None
+        for k, c in enumerate(wanted):
+            column = self.store.find(c.text).withColumnRenamed("value", f"__v{k}")
+            out = column if out is None else out.join(column, list(keys))
+        return out.select(*keep, *[F.col(f"__v{k}").alias(c.text, metadata={"unit": c.unit}) for k, c in enumerate(wanted)])
+
+    def _made(self, done: list[Compiled], keep: tuple[str, ...]) -> DataFrame:
         out = self.narrowed(done, keep)
         for c in done:
             out = replace(out, df=out.joined(c))

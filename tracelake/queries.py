@@ -228,6 +228,18 @@ def _expression(text: str) -> Query:
     return run
 
 
+def _odd_name(text: str) -> Query:
+    """Names with bullets and hashes, and network parameters, which are probes where the points have them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        more = [Variable("V(7•x1#2)", "l_quantity", "V"), Variable("S11(port)", "l_tax"), Variable("7•x1", "l_discount")]
+        points = numbers(spark, sf_dir)
+        points = Points.of(points.df, [*points.variables.values(), *more], [".func z22(x) {x*100}"])
+        return points.df.select("l_orderkey", "l_linenumber", _round(as_column(points, text)).alias("v"))
+
+    return run
+
+
 def _complex(text: str, real: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         points = complex_numbers(spark, sf_dir)
@@ -574,6 +586,8 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
               FROM r JOIN c ON c.step = r.step AND c.k = r.k JOIN w ON w.step = r.step AND w.step_idx >= c.lo AND w.step_idx < greatest(c.hi, c.lo + 1),
                    LATERAL (SELECT {{'a': CASE WHEN c.after <= c.hi THEN 0.0 ELSE abs((c.cx - r.x) * (w.y - r.y) - (c.cy - r.y) * (w.x - r.x)) END, 'i': -w.step_idx}} AS rank) GROUP BY r.step, r.k)
         SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM (SELECT step, step_idx, x, y FROM r UNION SELECT step, step_idx, x, y FROM w WHERE n <= 16 OR step_idx = n - 1)"""),
+    "name_bullet": (_odd_name("2*V(7•x1#2) + 7•x1"), f"SELECT l_orderkey, l_linenumber, round(2 * l_quantity + l_discount + {_NUDGE}, {_R}) AS v FROM lineitem"),
+    "network_probe": (_odd_name("s11(Port) + z22(qty)"), f"SELECT l_orderkey, l_linenumber, round(l_tax + l_quantity * 100 + {_NUDGE}, {_R}) AS v FROM lineitem"),
     "decimate_rdp": (_decimated("rdp"), _W.replace("WITH", "WITH RECURSIVE", 1) + _SIMPLIFIED + f" SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM kept"),
     "decimate_rdp_in_rounds": (_simplified_in_rounds, _W.replace("WITH", "WITH RECURSIVE", 1) + _SIMPLIFIED + f" SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM kept"),
     "decimate_m4_trimmed": (_decimated("m4", 3), _W + _BUCKETS.format(p=1).replace("16", "3") + f""", t AS (SELECT step, step_idx, x, y, row_number() OVER (PARTITION BY step ORDER BY step_idx) AS i, count(*) OVER (PARTITION BY step) AS m FROM r WHERE lo = 1 OR hi = 1 OR fi = 1 OR la = 1)

@@ -170,6 +170,14 @@ class WaveformFile:
     def plotname(self) -> str:
         return self.header.fields.get("Plotname", "")
 
+    def stored_in(self, folder: str) -> WaveformFile:
+        """The file with a folder in which evaluated columns are kept. A file of another size, number of points or time of change has columns of its own."""
+        info = [] if self.files is not None else [file_system(p)[0].get_file_info(file_system(p)[1]) for p in [self.ranges.first()["file"]]]
+        identity = json.dumps([self.header.schema(), self.header.n_points, *[[i.path, i.size, str(i.mtime)] for i in info]])
+        if self.files is not None:
+            raise ValueError("columns of many files need an identity: use points.stored_in")
+        return replace(self, points=self.points.stored_in(folder, identity, ("point_idx", "step", "step_idx")))
+
     def directions(self) -> DataFrame:
         """The ranges of rows with what x does in each: ``rising`` if it ever grows, ``falling`` if it ever shrinks or isn't a number. Computed once, from the abscissa alone."""
         if self._sorted is None:
@@ -195,7 +203,7 @@ class WaveformFile:
             read = _scan(found, self.header, self.size, columns | {f"c{place}"})
             return read.filter(F.col("x").between(low, high))
 
-        return self.points.over(scan)
+        return replace(self.points, store=None).over(scan)
 
 
 def _scan(ranges: DataFrame, head: Header, size: int, columns: frozenset[str]) -> DataFrame:
