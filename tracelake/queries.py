@@ -327,13 +327,9 @@ def _simplified_in_rounds(spark, sf_dir):
 
 def _plot(spark, sf_dir):
     """What a chart shows: an expression from text over the visible range, decimated, without infinities."""
-    w = waveform(spark, sf_dir)
-    points = Points.of(w, [Variable("Time", "x", "s", "time"), Variable("V(out)", "y", "V", "voltage")])
-    shown = points.df.withColumn("y", as_column(points, "20*log10(abs(V(out)))"))
-    from pyspark.sql import Window
-
-    seen = W.zoom(shown, 86400.0, 2e6).select("step", "x", "y", (F.row_number().over(Window.partitionBy("step").orderBy("step_idx")) - 1).alias("step_idx"))
-    return _rounded(W.finite(D.decimate(seen, 16)), "x", "y")
+    points = Points.of(waveform(spark, sf_dir), [Variable("Time", "x", "s", "time"), Variable("V(out)", "y", "V", "voltage")])
+    drawn = chart_series(points, ["20*log10(abs(V(out)))"], "TRANSIENT", 86400.0, 2e6, 16)
+    return _rounded(drawn.select("step", "step_idx", "x", "y"), "x", "y")
 
 
 def _charted(spark, sf_dir):
