@@ -79,16 +79,17 @@ def fft_signals(points: Points, x: str) -> list[Variable]:
     return [v for v in points.variables.values() if not v.is_complex and v.name != base.name] if base.unit == "s" else []
 
 
-def fft_points(points: Points, names: list[str], x: str = "x", chosen: set[int] | None = None, left: float | None = None, right: float | None = None, **options) -> Points:
+def fft_points(points: Points, names: list[str], x: str = "x", chosen: set[int] | None = None, left: float | None = None, right: float | None = None, parts: int | None = None, **options) -> Points:
     """A table of points over frequency: a variable for each signal, named after it, for all or the chosen steps.
 
-    Options are those of ``spectral.fft``. Steps of fewer than two samples in the range are left out; step numbers stay.
+    Options are those of ``spectral.fft``. With ``parts`` no task holds a step: each is transformed in so many parts, which have to divide its (padded) length. Steps of fewer than two samples in the range are left out; step numbers stay.
     """
     signals = [points.variables[n.casefold()] for n in names]
     if not signals:
         raise ValueError("no signals")
     rows = points.df if chosen is None else points.df.filter(F.col(points.step).isin(sorted(chosen)))
-    made = spectral.fft(rows, [v.column for v in signals], [*points.keys, points.step], points.step_idx, x, left, right, **options)
+    series = [v.column for v in signals], [*points.keys, points.step], points.step_idx, x, left, right
+    made = spectral.fft(rows, *series, **options) if parts is None else spectral.fft_in_parts(rows, series[0], parts, *series[1:], **options)
     output = options.get("output", "magnitude")
     out = [Variable("Frequency", "freq", "Hz", "frequency"), *[Variable(spectral.fft_name(v.name), v.column, spectral.fft_unit(output, v.unit)) for v in signals]]
     return Points.of(made.withColumnRenamed("bin", points.step_idx), out, keys=points.keys, step=points.step, step_idx=points.step_idx, n_steps=points.n_steps)

@@ -457,6 +457,18 @@ def _fft_points(spark, sf_dir):
     return points.evaluate("Frequency", "FFT(V(out))", keep=("step", "step_idx")).toDF("step", "bin", "freq", "v").select("step", "bin", _round("freq").alias("freq"), _round("v", 5).alias("v"))
 
 
+def _fft_points_in_parts(spark, sf_dir):
+    """The table of points over frequency, each step in four tasks."""
+    points = fft_points(Points.of(waveform(spark, sf_dir), [Variable("Time", "x", "s", "time"), Variable("V(out)", "y", "V", "voltage")]), ["V(out)"], parts=4, name="hamming", pad=True, keep_dc=True)
+    return points.evaluate("Frequency", "FFT(V(out))", keep=("step", "step_idx")).toDF("step", "bin", "freq", "v").select("step", "bin", F.round("freq", 9).alias("freq"), _round("v", 5).alias("v"))
+
+
+def _fft_normalised(spark, sf_dir):
+    """Amplitudes as shares of each step's largest."""
+    out = spectral.fft(_even(spark, sf_dir), ["y"], normalise=True)
+    return out.select("step", "bin", _round("freq").alias("freq"), _round("y", 5).alias("v"))
+
+
 def _resample(spark, sf_dir):
     return _rounded(spectral.resample(waveform(spark, sf_dir), ["step"]).select("step", "step_idx", "x", "y"), "x", "y")
 
@@ -616,6 +628,8 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
     "fft_phase_whole": (_fft("phase"), _PHASE_SQL),
     "fft_waveform": (_fft_waveform, _PADDED_SQL),
     "fft_in_parts": (_fft_in_parts, _PADDED_SQL),
+    "fft_points_in_parts": (_fft_points_in_parts, _PADDED_SQL),
+    "fft_normalised": (_fft_normalised, _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount / max(amount) OVER (PARTITION BY step) + {_NUDGE}, 5) AS v FROM a"),
     "fft_points": (_fft_points, _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a"),
     "fft_points_whole": (_fft_points, _W + _DFT.format(sample="y - mean", weight=_HANN) + f" SELECT step, bin, round(freq + {_NUDGE}, {_R}) AS freq, round(amount + {_NUDGE}, 5) AS v FROM a"),
     "resample_uniform": (_resample, _W + _RESAMPLED + f"""
