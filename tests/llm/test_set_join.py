@@ -64,10 +64,13 @@ def test_equals_brute_force(spark, bits):
     assert S.similar_sets(df.limit(0)).collect() == []
 
 
-def test_template_texts_in_small_blocks(spark, monkeypatch):
-    """Texts that share most words, some linked and some just not, with lists of all of them: blocks and parts of a few rows, one round."""
+@pytest.mark.parametrize(("rounds", "reach"), [(1, 1), (3, 2)])
+def test_template_texts_in_small_blocks(spark, monkeypatch, rounds, reach):
+    """Texts that share most words, some linked and some just not, with lists of all of them: blocks and parts of a few rows."""
     monkeypatch.setattr(S, "UNIT_ROWS", 7)
-    monkeypatch.setattr(S, "ROUNDS", 1)
+    monkeypatch.setattr(S, "ROUNDS", rounds)
+    monkeypatch.setattr(S, "REACH", reach)
+    monkeypatch.setattr(S, "ORDER_ROWS", 40)
     r = random.Random(5)
     base = [f"t{k}" for k in range(150)]
     rows = []

@@ -8,9 +8,11 @@ The lists of the whole corpus are too many for a task, so the division is made t
 that have one in common are candidates. Rare is a level of a sketch of all grams' document counts (a fixed number of counters, summed over tasks), ties in the order of hashes; any order of all grams
 gives right results, and this one keeps lists short. Within a task the candidates' whole sets make an inverted index that is searched with the best L.
 
-Lists of the shuffle may hold very many copies of a text. Each of their rows is searched for against ``REACH`` others in a random order, components are formed, and this is repeated while lists still hold
-several components and links are found, ``ROUNDS`` times at most. Then each row outside a list's largest component is searched for among all rows of the list, in blocks. So no link between
-components is missed, links inside a component aren't all made, and of a list only the largest component's rows are sent once a block of queries.
+Lists of the shuffle may hold very many copies of a text. Each of their rows is a candidate for the next ``REACH`` ones in the order of sizes, by sizes and places alone. What candidates connect is dealt to units, in parts
+where it is large, so a set is sent once, and each unit is searched as a whole. Sets are made from texts where they are needed; only ids and places are kept. Similar sets are of one level or of two levels that follow each
+other, if a level is a range of sizes as wide as the similarity allows. So all is compared but rows of such two levels of a list where these are more than ``REACH + 1``, or what was cut in parts. Where they are of several
+components, they are dealt anew in a random order, while links are found, ``ROUNDS`` times at most. Then each row outside the largest component is searched for among all rows of the two levels, in blocks.
+So no link between components is missed, links inside a component aren't all made, and only the largest component's rows are sent once a block of queries.
 
 Equal sets are one node: copies of a text cost nothing after the first in a task. Grams are 64-bit hashes of their words, so sets are equal, and shingles the same, but for collisions.
 
@@ -21,6 +23,7 @@ nothing. A null id sorts below all others and comes back as null. Rows that shar
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -37,10 +40,12 @@ from tracelake.llm.components import _star_of, components
 SEED = 42
 #: Counters of the sketch, and of one of its blocks.
 SKETCH_BITS, BLOCK_BITS = 22, 16
-#: Places apart up to which rows of a list are searched for in a round, and rounds.
-REACH, ROUNDS = 2, 3
+#: Places apart up to which rows of a list are candidates in a round, and rounds.
+REACH, ROUNDS = 15, 3
 #: Rows of a list that are put in order in one task; a larger list is put in order by parts.
 ORDER_ROWS = 1 << 16
+#: Rows of units up to which they are broadcast to the texts: 40 bytes each.
+BROADCAST_ROWS = 1 << 20
 #: Rows and grams of an index in a task.
 UNIT_ROWS, UNIT_GRAMS = 4096, 2 << 20
 #: Postings of short lists up to which a heap merges them; more are merged by one stable sort of the sorted lists.
@@ -163,12 +168,19 @@ def _short_lists(size: int, percent: int, levels, sketch_bits: int):
 
 
 def _whole_sets(size: int):
+    """(name, grams) of each different set of a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = gram_sets(part.column("text"), size)
-                names = np.array([_name(s)[0] for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "grams"])
+                own = {}
+                for grams in gram_sets(part.column("text"), size):
+                    name = int(_name(grams)[0])
+                    if name not in seen:
+                        own[name] = grams.tobytes()
+                seen = seen | own.keys() if len(seen) < SEEN else set(own)
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["name", "grams"])
 
     return run
 
@@ -253,33 +265,28 @@ class Index:
 
 
 def _unit_links(percent: int):
-    """Links between roots of units (sorted, queries first): of each block of indexed rows a star for every component that it joins, never all pairs."""
+    """Links between roots of units (sorted): rows that ask are searched for among those that are held. Of each unit a star for every component that it joins, never all pairs."""
 
-    def links(queries: list[tuple], block: list[tuple]) -> pa.RecordBatch | None:
-        if not queries or not block:
+    def links(rows: list[tuple]) -> pa.RecordBatch | None:
+        held, asks = [r for r in rows if r[3]], [r for r in rows if r[2]]
+        if not held or not asks or all(r[1] == rows[0][1] for r in rows):
             return None
-        index = Index([b[2] for b in block], percent)
-        pairs = [(q[0], block[k][0]) for q in queries for k in index.search(q[2]).tolist() if q[1] != block[k][1]]
+        index = Index([r[4] for r in held], percent)
+        pairs = [(q[0], held[k][0]) for q in asks for k in index.search(q[4]).tolist() if q[1] != held[k][1]]
         return _star_of([np.array(pairs, np.int64).T]) if pairs else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, queries, block, grams = None, [], [], 0
+        unit, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("unit", "asks", "node", "root", "grams")]
-            for u, asks, node, root, raw in zip(*columns, strict=True):
-                if u != unit or len(block) >= UNIT_ROWS or grams >= UNIT_GRAMS:
-                    if star := links(queries, block):
+            columns = [batch.column(c).to_pylist() for c in ("unit", "node", "root", "asks", "held", "grams")]
+            for u, node, root, asks, held, raw in zip(*columns, strict=True):
+                if u != unit:
+                    if rows and (star := links(rows)):
                         yield star
-                    block, grams = [], 0
-                    if u != unit:
-                        unit, queries = u, []
-                row = (node, root, np.frombuffer(raw, np.uint64))
-                if asks:
-                    queries.append(row)
-                else:
-                    block.append(row)
-                    grams += len(row[2])
-        if star := links(queries, block):
+                    unit, rows = u, []
+                if not rows or (rows[-1][0], rows[-1][2:4]) != (node, (asks, held)):  # several tasks may have made the set
+                    rows.append((node, root, asks, held, np.frombuffer(raw, np.uint64)))
+        if rows and (star := links(rows)):
             yield star
 
     return run
@@ -289,66 +296,71 @@ def _unit_links(percent: int):
 
 
 def neighbours(rows: DataFrame, possible: Callable[[Column, Column], Column], salt: int) -> DataFrame:
-    """Pairs (a, b) of each list's rows (key, node, root, n and what ``possible`` takes) up to ``REACH`` places apart in a random order, of other roots, that are ``possible``."""
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / ORDER_ROWS))
-    order = Window.partitionBy("key", part).orderBy(F.xxhash64("node", F.lit(salt)), "node")
+    """Pairs (a, b) of each list's rows (key, node, root, n and what ``possible`` takes) up to ``REACH`` places apart, of other roots, that are ``possible``: by size, later by chance."""
+    first = [F.col("size")] if salt == 0 else []
+    part = F.when(F.col("n") > ORDER_ROWS, F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("n") / ORDER_ROWS))).otherwise(0)
+    order = Window.partitionBy("key", part).orderBy(*first, F.xxhash64("node", F.lit(salt)), "node")
     row = F.struct("node", "root", "size", "place")
     before = F.array(*[F.lag(row, d).over(order) for d in range(1, REACH + 1)])
-    both = rows.select(row.alias("x"), before.alias("before")).select("x", F.explode("before").alias("y"))
-    both = both.filter(F.col("y").isNotNull() & (F.col("x.root") != F.col("y.root")) & possible(F.col("x"), F.col("y")))
+    both = rows.select(row.alias("x"), before.alias("before")).select("x", F.explode(F.filter("before", lambda y: y.isNotNull() & (F.col("x.root") != y["root"]) & possible(F.col("x"), y))).alias("y"))
     return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def joined(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different roots in units (unit, asks, node, root): rows that ask are searched for among those that don't."""
-    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = units.join(sets, "node").select("unit", "asks", "node", "root", "grams").repartition(n, "unit").sortWithinPartitions("unit", F.desc("asks"), "node")
-    return written(arrow_map(dealt, _unit_links(percent), "a bigint, b bigint"), "links")
-
+def candidate_units(pairs: DataFrame, rows: DataFrame, salt: int) -> DataFrame:
+    """Units of what the pairs connect: every row asks all rows of its unit. ``parts`` is over 1 where something is too large for a unit and was dealt to several."""
+    near = components(pairs)
+    sizes = rows.select("node", "size", "root").distinct()
+    work = written(near.withColumnRenamed("root", "near").join(sizes, "node"), "near")
+    parts = work.groupBy("near").agg(F.greatest(F.ceil(F.count(F.lit(1)) / UNIT_ROWS), F.ceil(F.sum("size") / UNIT_GRAMS)).alias("parts"))
+    dealt = work.join(written(parts, "parts"), "near")
+    return dealt.select(F.xxhash64("near", F.pmod(F.xxhash64("node", F.lit(salt)), "parts")).alias("unit"), "node", "root", F.lit(True).alias("asks"), F.lit(True).alias("held"), "parts")
 
-def pair_units(pairs: DataFrame) -> DataFrame:
-    asks = pairs.select(F.col("a").alias("unit"), F.lit(True).alias("asks"), F.col("a").alias("node")).distinct()
-    return asks.unionByName(pairs.select(F.col("a").alias("unit"), F.lit(False).alias("asks"), F.col("b").alias("node"))).withColumn("root", F.col("node"))
 
+def open_rows(rows: DataFrame, roots: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
+    """What may hold links that weren't searched for: rows of a list and of two levels of size, if they are of several roots and more than ``REACH + 1``, or some were ``cut``.
 
-def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of lists with more than ``REACH + 1`` rows and several roots, with their roots and the root that most of a list's rows have."""
-    rooted = written(rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    own = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
-    lists = own.groupBy("key").agg(F.sum("n").alias("n"), F.sum("grams").alias("grams"), F.max(F.struct("n", "root")).alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    several = written(lists.filter((F.col("n") > REACH + 1) & (F.col("lo") < F.col("hi"))).select("key", "n", "grams", F.col("most.root").alias("largest"), (F.col("n") - F.col("most.n")).alias("others")), "several")
-    return rooted.drop("n").join(several, "key")
+    ``key`` is that list's now; with the number of its rows and grams, the root that most of them have, and the number of others.
+    """
+    level = F.floor(F.log(F.col("size").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("size")
+    rooted = rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(rooted.join(cut.select("node").distinct().withColumn("cut", F.lit(1)), "node", "left").withColumn("level", level.cast("long")), "rooted")
+    lower = F.explode(F.array(F.col("level") - 1, F.col("level"))).alias("lower")
+    own = rooted.groupBy("key", "level", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"), F.max("cut").alias("cut"))
+    own = own.select("key", lower, "root", "n", "grams", "cut").groupBy("key", "lower", "root").agg(F.sum("n").alias("n"), F.sum("grams").alias("grams"), F.max("cut").alias("cut"))
+    lists = own.groupBy("key", "lower").agg(F.sum("n").alias("n"), F.sum("grams").alias("grams"), F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.max("cut").alias("cut"))
+    several = lists.filter(((F.col("n") > REACH + 1) | F.col("cut").isNotNull()) & (F.col("roots") > 1))
+    several = written(several.select("key", "lower", "n", "grams", F.col("most.root").alias("largest"), (F.col("n") - F.col("most.n")).alias("others")), "several")
+    found = rooted.drop("n", "cut").select("*", lower).join(several, ["key", "lower"])
+    return written(found.withColumn("key", F.xxhash64("key", "lower")).drop("level", "lower"), "open")
 
 
 def whole_units(rows: DataFrame) -> DataFrame:
     """Units of ``open_rows``: each row outside a list's largest root asks all rows of its list; both are dealt in parts, and each part of the one meets each of the other."""
     size = F.greatest(F.ceil(F.col("n") / UNIT_ROWS), F.ceil(F.col("grams") / UNIT_GRAMS))
-    cut = rows.withColumn("held", size).withColumn("asking", F.ceil(size * F.col("others") / F.col("n")))
+    cut = rows.withColumn("parts", size).withColumn("asking", F.ceil(size * F.col("others") / F.col("n")))
     spread = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     share = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
-    held = cut.select("key", share("held").alias("i"), spread("asking").alias("j"), F.lit(False).alias("asks"), "node", "root")
-    asks = cut.filter("root != largest").select("key", spread("held").alias("i"), share("asking").alias("j"), F.lit(True).alias("asks"), "node", "root")
-    return held.unionByName(asks).select(F.xxhash64("key", "i", "j").alias("unit"), "asks", "node", "root")
-
-
-def linked_components(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, possible: Callable[[Column, Column], Column]) -> DataFrame:
-    """(node, root) over all links between nodes of the same list; ``rows``: key, node, size, place, n (rows of the key), a table; ``sets_of`` gives (node, grams) of the nodes it is given."""
-    pairs = written(neighbours(rows.withColumn("root", F.col("node")), possible, 0), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(rows.filter(F.col("n") > REACH + 1).select("node")).distinct()
-    sets = sets_of(wanted)
-    found = joined(pair_units(pairs), sets, percent)
-    roots = components(found)
-    for k in range(1, ROUNDS):
-        left = written(open_rows(rows, roots), "open")
-        if left.isEmpty():
+    held = cut.select("key", share("parts").alias("i"), spread("asking").alias("j"), "node", "root", F.lit(False).alias("asks"), F.lit(True).alias("held"))
+    asks = cut.filter("root != largest").select("key", spread("parts").alias("i"), share("asking").alias("j"), "node", "root", F.lit(True).alias("asks"), F.lit(False).alias("held"))
+    return held.unionByName(asks).select(F.xxhash64("key", "i", "j").alias("unit"), "node", "root", "asks", "held")
+
+
+def linked_components(rows: DataFrame, search: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column], percent: int) -> DataFrame:
+    """(node, root) over all links between nodes of the same list; ``rows``: key, node, size, place, n (rows of the key), a table; ``search`` gives the links that units hold."""
+    now, roots, cut = rows.withColumn("root", F.col("node")), None, None
+    for k in range(ROUNDS):
+        units = written(candidate_units(neighbours(now, possible, k), now, k), "units")
+        found = search(units.drop("parts"))
+        large = units.filter("parts > 1").select("node")
+        cut = large if cut is None else cut.unionByName(large)
+        known = found if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+        roots = components(known)
+        now = open_rows(rows, roots, cut, percent)
+        if now.isEmpty():
             return roots
-        # A row's components are the units' roots, so only links between them are found.
-        pairs = neighbours(left, possible, k)
-        found = joined(pair_units(pairs), sets, percent)
-        if found.isEmpty():
+        if k and found.isEmpty():
             break
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-    found = joined(whole_units(written(open_rows(rows, roots), "open")), sets, percent)
+    found = search(written(whole_units(now), "units"))
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 
 
@@ -380,13 +392,16 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
         most = F.least(a - x["place"], b - y["place"])
         return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * most >= percent * (a + b))
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        own = written(nodes.join(wanted, "node").select("name", "rest", "node", "least"), "wanted")
-        texts = read.join(own.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-        found = arrow_map(texts, _whole_sets(size), "name bigint, grams binary").join(own.select("name", "node"), "name")
-        return written(found.dropDuplicates(["node"]).select("node", "grams"), "sets")
+    def search(units: DataFrame) -> DataFrame:
+        own = written(units.join(nodes.select("node", "name", "least"), "node"), "asked")
+        known = F.broadcast if own.count() <= BROADCAST_ROWS else lambda df: df
+        texts = read.join(known(own.select(F.col("least").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
+        dealt = arrow_map(texts, _whole_sets(size), "name bigint, grams binary").join(known(own.drop("least")), "name")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = dealt.select("unit", "node", "root", "asks", "held", "grams").repartition(n, "unit").sortWithinPartitions("unit", "node", "asks")
+        return written(arrow_map(dealt, _unit_links(percent), "a bigint, b bigint"), "links")
 
-    roots = linked_components(rows, sets_of, percent, possible)
+    roots = linked_components(rows, search, possible, percent)
     named = nodes.select("node", "name", "rest", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(named.join(least, "root").select("name", "rest", "component_id"), "named")
