@@ -1,6 +1,6 @@
 """Alignment of two tokenizers' tokens, and how often each pair of their ids is linked in the corpus.
 
-Python only tokenises: it gives the ids of both tokenizers and the byte at which each token ends. All else is Spark's own functions on arrays. The ends that both lists have
+Python only tokenises: it gives the byte at which each token of either tokenizer ends, alone and with the token's id in one number. All else is Spark's own functions on arrays. The ends that both lists have
 (``array_intersect``) cut the tokens into groups: sorted among its tokens, a side's cuts part it into groups, and the two sides' groups are put side by side, each as ``a1,a2|b1``.
 The links of a group are all pairs of its two sides. They depend on the group's ids alone, so they are made once for each distinct group of the corpus (``sequence`` and
 ``transform``); in a document only groups of more than one token a side are taken apart, to count each pair once.
@@ -19,13 +19,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import arrow_map, slices, text_bytes, written
@@ -136,9 +137,9 @@ def pieces(text: bytes, size: int = PIECE) -> list[bytes]:
 def _tokenise(a_path: str, pattern: str, b_path: str, size: int):
     none = np.zeros(0, np.int64)
 
-    def lists(arrays: list[np.ndarray]) -> pa.Array:
+    def lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
         ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, none]).astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, none]).astype(kind)))
 
     def decoded(text: bytes) -> list[str]:
         try:
@@ -164,30 +165,42 @@ def _tokenise(a_path: str, pattern: str, b_path: str, size: int):
                     right += [y for _, y in found]
                 taken = pa.array(rows, pa.int32())
                 columns = [part.column("row").take(taken), part.column("doc_id").take(taken), pa.array(seg, pa.int32()), pa.array(segs, pa.int32())]
-                columns += [lists(left), lists([np.cumsum(a.length[x]) for x in left]), lists(right), lists([np.cumsum(b.length[y]) for y in right])]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "seg", "segs", "a_ids", "a_ends", "b_ids", "b_ends"])
+                for side, length in ((left, a.length), (right, b.length)):
+                    ends = [np.cumsum(length[x]) for x in side]
+                    columns += [lists(ends, np.int32), lists([e << SHIFT | x for e, x in zip(ends, side, strict=True)], np.int64)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "seg", "segs", "a_ends", "a", "b_ends", "b"])
 
     return run
 
 
-def _parts(ids: str, ends: str) -> Column:
-    """The ids of one side, comma-joined, of each group. Sorted together, a cut follows the token that ends at it."""
-    token = lambda end, k: F.shiftleft(end.cast("long"), SHIFT) + k
-    both = F.sort_array(F.concat(F.zip_with(ends, ids, token), F.transform("cuts", lambda end: token(end, F.lit(_CUT_ID)))))
-    shown = F.transform(both, lambda x: F.when(x.bitwiseAND(_CUT_ID) == _CUT_ID, "|").otherwise(x.bitwiseAND(_CUT_ID).cast("string")))
-    return F.split(F.rtrim(F.array_join(shown, ","), F.lit(",|")), ",[|],")
+@contextmanager
+def separate_steps(spark: SparkSession) -> Iterator[None]:
+    """Keeps projections apart while a plan is made: merged, all that a higher-order function is given would be interpreted with it, a boxed sort included; apart, it is compiled."""
+    key = "spark.sql.optimizer.excludedRules"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ",".join(filter(None, [before, "org.apache.spark.sql.catalyst.optimizer.CollapseProject"])))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def grouped(tokens: DataFrame) -> DataFrame:
-    """``tokens`` (a_ids, a_ends, b_ids, b_ends) with ``groups``: the ids ``a1,a2|b1`` between each two ends that both sides have."""
+    """``tokens`` (a_ends, a, b_ends, b: the ends of both sides' tokens, and ends and ids in one) with ``groups``: the ids ``a1,a2|b1`` between each two ends that both sides have."""
     work = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    groups = F.zip_with(_parts("a_ids", "a_ends"), _parts("b_ids", "b_ends"), lambda a, b: F.concat(a, F.lit("|"), b))
-    return work.withColumn("groups", F.when(F.size("cuts") > 0, groups).otherwise(F.array().cast("array<string>"))).drop("cuts")
+    work = work.withColumn("marks", F.transform("cuts", lambda end: F.shiftleft(end.cast("long"), SHIFT) + _CUT_ID))
+    # Sorted together, a cut follows the token that ends at it.
+    work = work.withColumns({f"{s}_all": F.sort_array(F.concat(s, "marks")) for s in "ab"})
+    work = work.withColumns({f"{s}_ids": F.transform(f"{s}_all", lambda x: x.bitwiseAND(_CUT_ID)) for s in "ab"})
+    work = work.withColumns({f"{s}_text": F.replace(F.concat(F.array_join(F.col(f"{s}_ids").cast("array<string>"), ","), F.lit(",")), F.lit(f",{_CUT_ID},"), F.lit("|")) for s in "ab"})
+    work = work.withColumns({f"{s}_parts": F.split(F.left(f"{s}_text", F.length(f"{s}_text") - 1), r"\|") for s in "ab"})  # a pattern that needs no regular expression
+    groups = F.zip_with("a_parts", "b_parts", lambda a, b: F.concat(a, F.lit("|"), b))
+    return work.withColumn("groups", F.when(F.size("cuts") > 0, groups).otherwise(F.array().cast("array<string>"))).select(*tokens.columns, "groups")
 
 
 def links(group: Column) -> Column:
     """The pairs ``a|b`` of all ids of a group's two sides."""
-    side = lambda k: F.split(F.get(F.split(group, "[|]"), F.lit(k)), ",")
+    side = lambda k: F.split(F.get(F.split(group, r"\|"), F.lit(k)), ",")
     a, b = side(0), side(1)
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.transform(b, lambda y: F.concat(F.get(a, i), F.lit("|"), y))))
 
@@ -195,8 +208,10 @@ def links(group: Column) -> Column:
 def alignments(docs: DataFrame, a_path: str, pattern: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
     """A table with a row for each piece of a document: row, doc_id, seg, segs, n_a, n_b, groups."""
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
-    tokens = arrow_map(read, _tokenise(a_path, pattern, b_path, piece), "row bigint, doc_id bigint, seg int, segs int, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
-    return written(grouped(tokens).select("row", "doc_id", "seg", "segs", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), "groups"), "aligned")
+    tokens = arrow_map(read, _tokenise(a_path, pattern, b_path, piece), "row bigint, doc_id bigint, seg int, segs int, a_ends array<int>, a array<bigint>, b_ends array<int>, b array<bigint>")
+    found = grouped(tokens).select("row", "doc_id", "seg", "segs", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), "groups")
+    with separate_steps(docs.sparkSession):
+        return written(found, "aligned")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
