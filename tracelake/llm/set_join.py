@@ -41,7 +41,7 @@ SEED = 42
 #: Counters of the sketch, and of one of its blocks.
 SKETCH_BITS, BLOCK_BITS = 22, 16
 #: Places apart up to which rows of a list are candidates in a round, and rounds.
-REACH, ROUNDS = 15, 3
+REACH, ROUNDS = 63, 3
 #: Rows of a list that are put in order in one task; a larger list is put in order by parts.
 ORDER_ROWS = 1 << 16
 #: Rows of units up to which they are broadcast to the texts: 40 bytes each.
