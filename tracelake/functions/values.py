@@ -179,16 +179,29 @@ def _roots(a: Pair) -> tuple[Pair, Pair, Column]:
     return p, q, F.when(_below(a[1]), -height).otherwise(height)
 
 
+def _named(f: Callable[[Pair], Pair]) -> Callable[[Pair], Pair]:
+    """``f`` of a pair that is made once, however often the formula names it."""
+
+    def run(a: Pair) -> Pair:
+        made = F.transform(F.array(F.struct(a[0].alias("x"), a[1].alias("y"))), lambda z: F.struct(*[v.alias(n) for v, n in zip(f((z["x"], z["y"])), ("re", "im"), strict=True)]))
+        return F.get(made, F.lit(0))["re"], F.get(made, F.lit(0))["im"]
+
+    return run
+
+
+@_named
 def _asin(a):
     p, q, height = _roots(a)
     return ieee.atan2(a[0], p[0] * q[0] + p[1] * q[1]), height
 
 
+@_named
 def _acos(a):
     p, q, height = _roots(a)
     return 2 * ieee.atan2(p[0], q[0]), -height
 
 
+@_named
 def _atan(a):
     x, y, m = a[0], F.abs(a[1]), modulus(a)
     near = F.hypot(x, 1 - y)
