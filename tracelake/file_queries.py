@@ -13,6 +13,8 @@ from tracelake.sources import waveform as source
 from tracelake.sources.shared import shared_path
 
 _DIGITS = 6
+#: Of the last significant digit: more than what the order of a sum changes.
+_NUDGE = 1e-4
 
 
 def _header(variables: list[tuple[str, str]], flags: str, plot: str = "Transient Analysis", scale: str = "lin", more: str = "") -> str:
@@ -129,9 +131,10 @@ def _facts(spark, sf_dir):
 
 
 def significant(c: Column, digits: int = 9) -> Column:
-    """Rounded to so many significant digits."""
+    """Rounded to so many significant digits, halves away from 0 whatever the sum's last bits; infinities have none and give NaN."""
     scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(c))))
-    return F.when(c == 0, c).otherwise(F.round(c * scale) / scale)
+    endless = F.isnan(c) | (F.abs(c) == float("inf"))
+    return F.when(endless, float("nan")).when(c == 0, c).otherwise(F.round(c * scale + F.signum(c) * _NUDGE) / scale)
 
 
 def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
