@@ -546,6 +546,20 @@ _BUCKETS = """, b AS (SELECT *, CASE WHEN n <= 16 THEN step_idx ELSE step_idx //
     k AS (SELECT * FROM b WHERE b < nb),
     r AS (SELECT *, row_number() OVER (PARTITION BY step, b ORDER BY y, step_idx) AS lo, row_number() OVER (PARTITION BY step, b ORDER BY y DESC, step_idx) AS hi,
                  row_number() OVER (PARTITION BY step, b ORDER BY step_idx) AS fi, row_number() OVER (PARTITION BY step, b ORDER BY step_idx DESC) AS la FROM k)"""
+_DB_Y = f"20 * ({_sql_log('log10', 'abs(y)')})"
+
+
+def _charted_sql(target: int) -> str:
+    """What a chart of three expressions draws (k, step, step_idx, x, y): the visible range, decimated, without infinities."""
+    return (
+        _W
+        + f""", v AS (SELECT step * 10 + k AS step, x, row_number() OVER (PARTITION BY step, k ORDER BY step_idx) - 1 AS step_idx, count(*) OVER (PARTITION BY step, k) AS n,
+            CASE k WHEN 0 THEN {_DB_Y} WHEN 1 THEN y ELSE p * y END AS y FROM w, range(0, 3) AS t(k) WHERE x BETWEEN 86400 AND 2e6)"""
+        + _BUCKETS.format(p=target // 4).replace("FROM w)", "FROM v)", 1).replace("n <= 16", f"n <= {target}")
+        + ", d AS (SELECT step % 10 AS k, step // 10 AS step, step_idx, x, y FROM r WHERE (lo = 1 OR hi = 1 OR fi = 1 OR la = 1) AND NOT isinf(y))"
+    )
+
+
 _DFT = """, m AS (SELECT step, step_idx, n, {sample} AS y FROM w JOIN (SELECT step, avg(y) AS mean FROM w GROUP BY step) USING (step)),
     f AS (SELECT m.step, n, k AS bin, sum(y * {weight} * cos(2 * pi() * ((k * step_idx) % n) / n)) * 2 / sum({weight}) AS re, -sum(y * {weight} * sin(2 * pi() * ((k * step_idx) % n) / n)) * 2 / sum({weight}) AS im
           FROM m, LATERAL (SELECT unnest(range(0, n // 2 + 1)) AS k) GROUP BY m.step, n, k),
@@ -600,13 +614,12 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
     "decimate_rdp_in_rounds": (_simplified_in_rounds, _W.replace("WITH", "WITH RECURSIVE", 1) + _SIMPLIFIED + f" SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM kept"),
     "decimate_m4_trimmed": (_decimated("m4", 3), _W + _BUCKETS.format(p=1).replace("16", "3") + f""", t AS (SELECT step, step_idx, x, y, row_number() OVER (PARTITION BY step ORDER BY step_idx) AS i, count(*) OVER (PARTITION BY step) AS m FROM r WHERE lo = 1 OR hi = 1 OR fi = 1 OR la = 1)
         SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM t WHERE m <= 3 OR i IN (1, 2, m)"""),
-    "plot_series": (_plot, _W + f", v AS (SELECT step, x, 20 * log10(y) AS y, row_number() OVER (PARTITION BY step ORDER BY step_idx) - 1 AS step_idx, count(*) OVER (PARTITION BY step) AS n FROM w WHERE x BETWEEN 86400 AND 2e6)" + _BUCKETS.format(p=4).replace("FROM w)", "FROM v)", 1) + f" SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM r WHERE lo = 1 OR hi = 1 OR fi = 1 OR la = 1"),
-    "plot_chart": (_chart, _W + f""", v AS (SELECT step * 10 + k AS step, x, row_number() OVER (PARTITION BY step, k ORDER BY step_idx) - 1 AS step_idx, count(*) OVER (PARTITION BY step, k) AS n,
-            CASE k WHEN 0 THEN 20 * log10(abs(y)) WHEN 1 THEN y ELSE p * y END AS y FROM w, range(0, 3) AS t(k) WHERE x BETWEEN 86400 AND 2e6)""" + _BUCKETS.format(p=4).replace("FROM w)", "FROM v)", 1) + f""", d AS (SELECT step % 10 AS k, step // 10 AS step, step_idx, x, y FROM r WHERE lo = 1 OR hi = 1 OR fi = 1 OR la = 1)
+    "plot_series": (_plot, _W + f", v AS (SELECT step, x, {_DB_Y} AS y, row_number() OVER (PARTITION BY step ORDER BY step_idx) - 1 AS step_idx, count(*) OVER (PARTITION BY step) AS n FROM w WHERE x BETWEEN 86400 AND 2e6)" + _BUCKETS.format(p=4).replace("FROM w)", "FROM v)", 1) + f" SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM r WHERE (lo = 1 OR hi = 1 OR fi = 1 OR la = 1) AND NOT isinf(y)"),
+    "plot_chart": (_chart, _charted_sql(16) + f"""
         SELECT CASE k WHEN 0 THEN '(20*log10(abs(V(out))))' WHEN 1 THEN 'V(out)' ELSE '(I(R1)*V(out))' END AS series, CASE k WHEN 0 THEN '' WHEN 1 THEN 'V' ELSE 'W' END AS unit, CAST(k AS INTEGER) AS axis, CAST(k AS INTEGER) AS colour,
                CASE WHEN step > 0 THEN '3 ' || CAST(step + 1 AS VARCHAR) ELSE '' END AS dash, step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(y + {_NUDGE}, {_R}) AS y FROM d"""),
-    "plot_ranges": (_chart_ranges, _W + f""", v AS (SELECT y, p, x, step FROM w WHERE x BETWEEN 86400 AND 2e6), u AS (SELECT 'V' AS unit, y FROM v UNION ALL SELECT 'W', p * y FROM v UNION ALL SELECT '', 20 * log10(abs(y)) FROM v)
-        SELECT unit, round(min(y) - 0.03 * (max(y) - min(y)) + {_NUDGE}, {_R}) AS low, round(max(y) + 0.03 * (max(y) - min(y)) + {_NUDGE}, {_R}) AS high FROM u GROUP BY unit"""),
+    "plot_ranges": (_chart_ranges, _charted_sql(W.draw_target()) + f"""
+        SELECT CASE k WHEN 0 THEN '' WHEN 1 THEN 'V' ELSE 'W' END AS unit, round(min(y) - 0.03 * (max(y) - min(y)) + {_NUDGE}, {_R}) AS low, round(max(y) + 0.03 * (max(y) - min(y)) + {_NUDGE}, {_R}) AS high FROM d GROUP BY k"""),
     "file_stepped": (_file_stepped, _FILE_W + f" SELECT point_idx, step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round((y + y / 2) / 2 + {_NUDGE}, {_R}) AS v FROM w"),
     "file_steps": (_file_steps, _FILE_W + f" SELECT step, min(point_idx) AS start, max(point_idx) + 1 AS stop, round(min(x) + {_NUDGE}, {_R}) AS x_first, round(max(x) + {_NUDGE}, {_R}) AS x_last, CAST(min(p) AS VARCHAR) AS r1 FROM w GROUP BY step"),
     "file_complex": (_file_complex, f"""WITH w AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS point_idx, log10(event_id + 1) AS x, value AS a, CAST(event_id % 7 AS DOUBLE) AS b, 1.0 + event_id % 3 AS u, 1.0 AS v FROM events)
