@@ -16,6 +16,8 @@ OUTPUTS = ("magnitude", "db", "phase")
 LEAST = 1e-300
 #: A window whose weights add up to less is refused: such a sum is rounding, as that of two Blackman weights.
 LEAST_WEIGHT = 1e-12
+#: A multiple of the fundamental is above the last bin if it is by more than this share, which rounding can't be.
+_ABOVE = 1e-9
 _EPS = float(np.finfo(float).eps)
 
 
@@ -265,7 +267,7 @@ def thd(spectra: DataFrame, by: list[str], value: str = "value", fundamental: fl
     """Total harmonic distortion of each spectrum (bin, freq, value).
 
     The fundamental is the largest value besides bin 0, the first of equal ones, or the bin nearest to a given frequency. A harmonic
-    is the largest value within the tolerance of its frequency, else the nearest bin within twice that, else left out. Raises where the fundamental isn't positive.
+    is the largest value within the tolerance of its frequency, else the nearest bin within twice that, else left out, as are those above the last bin. Raises where the fundamental isn't positive.
     """
     from tracelake.operators.steps import attach, grouped
     from tracelake.sources.shared import stored
@@ -289,6 +291,6 @@ def thd(spectra: DataFrame, by: list[str], value: str = "value", fundamental: fl
         *[F.min_by(F.when(off(k) <= 2 * F.col("__tol"), F.col("__v")), F.when(off(k) <= 2 * F.col("__tol"), F.struct(off(k), "__bin"))).alias(f"__by{k}") for k in multiples],
         F.count(F.lit(1)).alias("__n"),
     )
-    squares = [F.when(k * F.col("__f.freq") <= F.col("__top"), F.pow(F.coalesce(f"__in{k}", f"__by{k}", F.lit(0.0)), F.lit(2.0))).otherwise(0.0) for k in multiples]
+    squares = [F.when(k * F.col("__f.freq") <= F.col("__top") * (1 + _ABOVE), F.pow(F.coalesce(f"__in{k}", f"__by{k}", F.lit(0.0)), F.lit(2.0))).otherwise(0.0) for k in multiples]
     a1 = F.col("__f.v")
     return found.select(*by, F.when(a1 > 0, F.sqrt(sum(squares, F.lit(0.0))) / a1).otherwise(F.raise_error(F.lit("the fundamental's amplitude isn't positive")).cast("double")).alias("thd"))

@@ -649,7 +649,7 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
         SELECT step, step_idx, round(x + {_NUDGE}, {_R}) AS x, round(CASE WHEN x2 IS NULL OR x = x1 THEN y1 ELSE y1 + (x - x1) * ((y2 - y1) / (x2 - x1)) END + {_NUDGE}, {_R}) AS y FROM j"""),
     "thd": (_thd, _W + _DFT.format(sample="y - mean", weight="1.0") + f""", t AS (SELECT step, arg_max(freq, {{'a': amount, 'i': -bin}}) AS f1, max(amount) AS a1 FROM a WHERE bin > 0 GROUP BY step),
         z AS (SELECT step, max(freq) AS top, max(freq) FILTER (WHERE bin = 1) / 2 AS tol FROM a GROUP BY step),
-        h AS (SELECT t.step, f1, a1, k, tol FROM t JOIN z USING (step), range(2, 6) AS r(k) WHERE k * f1 <= top),
+        h AS (SELECT t.step, f1, a1, k, tol FROM t JOIN z USING (step), range(2, 6) AS r(k) WHERE k * f1 <= top + 1e-9 * top),
         v AS (SELECT h.step, h.k, coalesce(max(amount) FILTER (WHERE abs(freq - k * f1) <= tol), arg_min(amount, {{'d': abs(freq - k * f1), 'b': bin}}) FILTER (WHERE abs(freq - k * f1) <= 2 * tol)) AS v FROM h JOIN a USING (step) GROUP BY h.step, h.k)
         SELECT t.step, round(sqrt(coalesce(sum(v * v), 0)) / a1 + {_NUDGE}, {_R}) AS thd FROM t LEFT JOIN v USING (step) GROUP BY t.step, a1"""),
     "smith_project": (_smith_project, _Z + f" SELECT l_orderkey, l_linenumber, round(x + {_NUDGE}, {_R}) AS re, round(y + {_NUDGE}, {_R}) AS im, round(200 + x * 180 + {_NUDGE}, {_R}) AS px, round(200 - y * 180 + {_NUDGE}, {_R}) AS py FROM c WHERE l_linenumber <> 3"),
