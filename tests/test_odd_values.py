@@ -50,3 +50,12 @@ def test_a_harmonic_on_the_last_bin_counts(spark):
         rows = [(0, k, float(f), {12: 1.0, 36: 0.5}.get(k, 0.0)) for k, f in enumerate(freq)]
         s = spark.createDataFrame(rows, "step int, bin bigint, freq double, value double")
         assert spectral.thd(s, ["step"]).first()["thd"] == pytest.approx(0.5)
+
+
+@pytest.mark.parametrize("text", ["asin(w)", "acos(w)"])
+def test_inverse_functions_of_variables_are_compiled(spark, sf_dir, text):
+    """A formula inside a lambda would be interpreted for every row; composed arguments still are made once in one."""
+    points = Q.complex_numbers(spark, sf_dir)
+    plan = lambda t: points.evaluate(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan(text)
+    assert "lambda" in plan(text.replace("w", "w+1"))

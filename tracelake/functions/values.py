@@ -21,12 +21,13 @@ CONSTANTS = {"e": math.e, "pi": math.pi, "mho": 1.0, "s": 1.0, "t": 1e12, "g": 1
 
 @dataclass(frozen=True)
 class Value:
-    """``const`` has the number of a constant; else ``re`` and, if complex, ``im`` have columns. ``span``: constant, full, or step."""
+    """``const`` has the number of a constant; else ``re`` and, if complex, ``im`` have columns. ``span``: constant, full, or step. ``plain``: a variable as it is."""
 
     const: np.generic | None = None
     re: Column | None = None
     im: Column | None = None
     span: str = "constant"
+    plain: bool = False
 
     @property
     def is_complex(self) -> bool:
@@ -46,8 +47,8 @@ def constant(x: complex | float) -> Value:
     return Value(np.complex128(x) if isinstance(x, complex | np.complexfloating) else np.float64(x))
 
 
-def vector(re: Column, im: Column | None = None, span: str = "full") -> Value:
-    return Value(None, re, im, span)
+def vector(re: Column, im: Column | None = None, span: str = "full", plain: bool = False) -> Value:
+    return Value(None, re, im, span, plain)
 
 
 def _span(args: tuple[Value, ...]) -> str:
@@ -180,7 +181,7 @@ def _roots(a: Pair) -> tuple[Pair, Pair, Column]:
 
 
 def _named(f: Callable[[Pair], Pair]) -> Callable[[Pair], Pair]:
-    """``f`` of a pair that is made once, however often the formula names it."""
+    """``f`` of a pair that is made once, however often the formula names it. Spark interprets such a formula, which takes several times as long as compiled code."""
 
     def run(a: Pair) -> Pair:
         made = F.transform(F.array(F.struct(a[0].alias("x"), a[1].alias("y"))), lambda z: F.struct(*[v.alias(n) for v, n in zip(f((z["x"], z["y"])), ("re", "im"), strict=True)]))
@@ -189,19 +190,16 @@ def _named(f: Callable[[Pair], Pair]) -> Callable[[Pair], Pair]:
     return run
 
 
-@_named
 def _asin(a):
     p, q, height = _roots(a)
     return ieee.atan2(a[0], p[0] * q[0] + p[1] * q[1]), height
 
 
-@_named
 def _acos(a):
     p, q, height = _roots(a)
     return 2 * ieee.atan2(p[0], q[0]), -height
 
 
-@_named
 def _atan(a):
     x, y, m = a[0], F.abs(a[1]), modulus(a)
     near = F.hypot(x, 1 - y)
@@ -301,6 +299,12 @@ def _unary(fold, real, cplx):
     return lambda a: apply(fold, real, cplx, a)
 
 
+def _inverse(fold, real, cplx):
+    """For asin and acos: of a variable they are compiled, of anything else its value is made once. Compiled, atan takes longer than interpreted."""
+    named = _named(cplx)
+    return lambda a: apply(fold, real, cplx if a.plain else named, a)
+
+
 def _abs_power(signed: bool):
     def real(x, y):
         size = F.pow(F.abs(x), y)
@@ -320,7 +324,7 @@ def _abs_power(signed: bool):
 _magnitude = _unary(np.abs, F.abs, modulus)
 _ln = _unary(np.log, ieee.ln, log)
 _degrees = _unary(lambda x: np.degrees(np.angle(x)), lambda x: F.degrees(F.atan2(F.lit(0.0), x)), lambda x: F.degrees(argument(x)))
-_asin_f, _acos_f, _atan_f = _unary(np.arcsin, F.asin, _asin), _unary(np.arccos, F.acos, _acos), _unary(np.arctan, F.atan, _atan)
+_asin_f, _acos_f, _atan_f = _inverse(np.arcsin, F.asin, _asin), _inverse(np.arccos, F.acos, _acos), _unary(np.arctan, F.atan, _named(_atan))
 _sign = _real_only(np.sign, F.signum)
 
 #: name: (least and most arguments, function of Values)

@@ -218,7 +218,7 @@ class _Work:
         self.columns.add(v.column)
         self.uses |= v.uses or {v.column}
         col = F.col(f"`{v.column}`")
-        return V.vector(col["re"], col["im"]) if v.is_complex else V.vector(col.cast("double"))
+        return V.vector(col["re"], col["im"], plain=True) if v.is_complex else V.vector(col.cast("double"))
 
     def value(self, node: object, scope: dict[str, Value], stack: tuple[str, ...]) -> Value:
         of = lambda n: self.value(n, scope, stack)
@@ -323,7 +323,7 @@ class _Work:
         alias = f"__at{next(_ALIASES)}"
         self.selectors.append((alias, base.column(), step))
         col = F.col(alias)
-        return V.vector(col["re"], col["im"], "step") if base.is_complex else V.vector(col, None, "step")
+        return V.vector(col["re"], col["im"], "step", True) if base.is_complex else V.vector(col, None, "step")
 
 
 def expand_ac(points: Points, name: str) -> list[str]:
