@@ -78,3 +78,15 @@ def test_a_bound_in_bytes_on_what_is_learned(spark):
     whole, some, none = (T.train(df, labels, max_bytes=n) for n in (1 << 20, 20_000, 0))
     assert len(whole.weight) and len(some.weight) and not len(none.weight)
     assert T.score_toxicity(df, some).filter("(score >= 0.5) <> (doc_id % 2 = 1)").count() == 0
+
+
+@pytest.mark.parametrize("query", ["op4", "near"])
+def test_texts_join_their_drops_sorted_at_every_size(spark, query):
+    """A broadcast of a small list alone would let disk jump where the list is larger."""
+    import corpus_pipeline
+    from tracelake.llm.line_dedup import dedup_lines
+
+    docs = spark.createDataFrame([(k, f"{'a line that many documents share, long enough'}\nown {k} {k * 7} {k * 11} {k * 13}") for k in range(9)], "doc_id long, text string")
+    out = dedup_lines(docs) if query == "op4" else corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -94,7 +94,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = lines.join(frequent, "hash").filter(F.col("id") != F.col("keeper")).groupBy(F.col("id").alias("__key")).agg(F.collect_set("hash").alias("__drop"))
     keep = without(docs.columns, {"n_lines", "n_dropped", text_col})
     work = docs.select(*[F.col(f"`{c}`") for c in keep], text_bytes(F.col(f"`{text_col}`")).alias("__text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("__key"))
-    joined = work.join(written(drops, "drops"), "__key", "left")
+    # Sorted at every size: a small list of drops would be broadcast, a larger one not, and disk would jump with the input.
+    joined = work.join(written(drops, "drops").hint("merge"), "__key", "left")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields if f.name in keep]
     out = arrow_map(joined.select(*[F.col(f"`{c}`") for c in keep], "__text", "__drop"), _rebuild(min_chars, text_col), ", ".join([*fields, f"`{text_col}` binary", "n_lines bigint", "n_dropped bigint"]))
     own = {text_col.lower(): F.col(f"`{text_col}`").cast("string").alias(text_col)}  # Spark's own cast keeps bytes that aren't UTF-8
