@@ -442,15 +442,16 @@ def _signatures(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                names, sizes, keys = [], [], []
+                names, sizes, keys, fps = [], [], [], []
                 for t in part.column("text").to_pylist():
                     own = _shingle_set(t, shingle)
                     names.append(xxhash.xxh3_128_digest(own.tobytes()))
                     sizes.append(len(own))
                     keys.append(band_keys(own, bands, rows))
+                    fps.append(majority([own]))
                 flat = np.concatenate(keys).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, bands, dtype=np.int32), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "same", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "same", "size", "keys", "fp"])
 
     return run
 
@@ -556,10 +557,18 @@ def _pairs(both: DataFrame, node, size, root, similarity: float) -> DataFrame:
     return both.filter(near).select(F.least("node", node).alias("a"), F.greatest("node", node).alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, missed: float = 1e-6, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_links(nodes: DataFrame, tau: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp) by the pigeonhole search: one of each fingerprint stands for it, and the others are paired with that one."""
+    first = written(nodes.groupBy("fp").agg(F.min("node").alias("node")).withColumn("l", F.lit(0)), "fingerprints")
+    same = nodes.select("node", "fp").join(first.select("fp", F.col("node").alias("a")), "fp").filter(F.col("node") != F.col("a"))
+    return candidate_links(first, tau).select("a", "b").union(same.select("a", F.col("node").alias("b"))).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, missed: float = 1e-6, rows: int = 5, id_col: str = "doc_id", text_col: str = "text", tau: int = 2) -> DataFrame:
     """doc_id and component_id, the smallest id that a document reaches over links.
 
-    A link is a Jaccard similarity of the sets of ``shingle``-word shingles of at least ``similarity``, computed exactly. Candidates are documents that share a
+    A link is a Jaccard similarity of the sets of ``shingle``-word shingles of at least ``similarity``, computed exactly. Candidates are documents whose fingerprints of
+    these sets differ in at most ``tau`` bits, found by the pigeonhole search, and, as links may lie further apart than any such search reaches, documents that share a
     band of ``rows`` MinHashes of these sets; there are so many bands that a link is overlooked with a chance of at most ``missed`` however the
     texts differ, and far less above the threshold. Documents without words are not duplicates.
 
@@ -568,14 +577,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """
     bands = bands_for(missed, similarity, rows)
     read = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
-    signed = written(arrow_map(read, _signatures(shingle, bands, rows), "doc_id bigint, same binary, size bigint, keys array<bigint>"), "signatures")
+    signed = written(arrow_map(read, _signatures(shingle, bands, rows), "doc_id bigint, same binary, size bigint, keys array<bigint>, fp bigint"), "signatures")
     # Documents with the same shingles are one node; texts that share an id are not.
-    nodes = signed.filter("size > 0").groupBy("same").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = signed.filter("size > 0").groupBy("same").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
     keyed = written(keyed.join(shared, "key").select("key", "node", "size", "n"), "keys")
-    wanted = written(nodes.join(keyed.select("node").distinct(), "node").select("same", "node", "least"), "wanted")
+    close = written(fingerprint_links(nodes, tau), "close")
+    compared = keyed.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    wanted = written(nodes.join(compared, "node").select("same", "node", "least"), "wanted")
     texts = read.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
     sets = arrow_map(texts, _shingle_sets(shingle), "same binary, shingles binary").join(wanted.select("same", "node"), "same")
     sets = written(sets.dropDuplicates(["node"]).select("node", "shingles"), "sets")
@@ -584,8 +595,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         return written(arrow_map(both, _verify(similarity), "a bigint, b bigint"), "verified")
 
-    # Neighbours in a random order join most components. Where a key still holds rows of several ones, all its rows of different ones are compared.
-    first = verified(neighbours(keyed.withColumn("root", F.col("node")), similarity, REACH, 0))
+    # Fingerprints and neighbours in a random order join most components. Where a key still holds rows of several ones, all its rows of different ones are compared.
+    first = verified(neighbours(keyed.withColumn("root", F.col("node")), similarity, REACH, 0).union(close).distinct())
     roots = components(first)
     left = written(open_keys(keyed, roots, REACH + 1), "left")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
