@@ -113,3 +113,33 @@ def test_query_against_brute_force(spark, sf_dir):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries()["op13_ngram_join"](spark, sf_dir).collect()), key=repr) == brute(rows)
+
+
+def test_only_long_or_cut_lists_are_opened(spark, monkeypatch):
+    """Lists of at most ``REACH + 1`` rows were compared whole: their rows are dropped before any of them is joined or grouped, unless one was cut."""
+    n = S.REACH + 2
+    lists = [(1, k, 50, 0, n) for k in range(n)] + [(key, 100 * key + k, 50, 0, 3) for key in range(2, 40) for k in range(3)]
+    rows = spark.createDataFrame(lists, "key long, node long, size long, place int, n long")
+    roots = spark.createDataFrame([(k, k % 2) for k in range(n)], "node long, root long")
+    made, write = {}, S.written
+    monkeypatch.setattr(S, "written", lambda df, name: made.setdefault(name, write(df, name)))
+    found = S.open_rows(rows, roots, spark.createDataFrame([], "node long"), 90)
+    assert made["rooted"].count() == n and {r["node"] for r in found.collect()} == set(range(n))
+    made.clear()
+    found = S.open_rows(rows, roots, spark.createDataFrame([(301,)], "node long"), 90)
+    assert made["rooted"].count() == n + 3 and {r["node"] for r in found.collect()} == {*range(n), 300, 301, 302}
+
+
+def test_sets_are_sent_as_texts():
+    """What is sent of a set takes less than half of its hashes, and gives the same set, also where few bytes are read at once."""
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choice(["th", "on", "er", "and", "ing", "re"]) for _ in range(rnd.randrange(1, 5))) for _ in range(300)).encode() for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, texts[0]], pa.binary())], ["text"])
+    (sent,) = S._whole_texts(3)(iter([batch]))
+    sets = S.gram_sets(pa.array(texts, pa.binary()), 3)
+    assert sent.num_rows == 20 and sum(map(len, sent.column("text").to_pylist())) < 0.5 * sum(s.nbytes for s in sets)
+    S_bytes, S.READ_BYTES = S.READ_BYTES, 1000
+    try:
+        assert [s.tolist() for s in S._sets_of(sent.column("text").to_pylist(), 3)] == [s.tolist() for s in sets]
+    finally:
+        S.READ_BYTES = S_bytes

@@ -9,7 +9,7 @@ that have one in common are candidates. Rare is a level of a sketch of all grams
 gives right results, and this one keeps lists short. Within a task the candidates' whole sets make an inverted index that is searched with the best L.
 
 Lists of the shuffle may hold very many copies of a text. Each of their rows is a candidate for the next ``REACH`` ones in the order of sizes, by sizes and places alone. What candidates connect is dealt to units, in parts
-where it is large, so a set is sent once, and each unit is searched as a whole. Sets are made from texts where they are needed; only ids and places are kept. Similar sets are of one level or of two levels that follow each
+where it is large, so a set is sent once, as its compressed text, and each unit is searched as a whole. Sets are made from texts where they are needed; only ids and places are kept. Similar sets are of one level or of two levels that follow each
 other, if a level is a range of sizes as wide as the similarity allows. So all is compared but rows of such two levels of a list where these are more than ``REACH + 1``, or what was cut in parts. Where they are of several
 components, they are dealt anew in a random order, while links are found, ``ROUNDS`` times at most. Then each row outside the largest component is searched for among all rows of the two levels, in blocks.
 So no link between components is missed, links inside a component aren't all made, and only the largest component's rows are sent once a block of queries.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -54,6 +55,8 @@ HEAP_POSTINGS = 4096
 MU = 0.0085
 #: Names of sets whose grams a task has given already.
 SEEN = 200_000
+#: Bytes of compressed texts that are read at once.
+READ_BYTES = 4 << 20
 _NULL_ID = -(1 << 63)
 
 
@@ -167,24 +170,37 @@ def _short_lists(size: int, percent: int, levels, sketch_bits: int):
     return run
 
 
-def _whole_sets(size: int):
-    """(name, grams) of each different set of a task."""
+def _whole_texts(size: int):
+    """(name, text) of each different set of a task: a compressed text is a third of its grams' hashes or less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                own = {}
-                for grams in gram_sets(part.column("text"), size):
+                own, texts = {}, part.column("text")
+                for k, grams in enumerate(gram_sets(texts, size)):
                     name = int(_name(grams)[0])
-                    if name not in seen:
-                        own[name] = grams.tobytes()
+                    if name not in seen and name not in own:
+                        own[name] = zlib.compress(texts[k].as_py(), 1)
                 seen = seen | own.keys() if len(seen) < SEEN else set(own)
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["name", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["name", "text"])
 
     return run
 
 
+def _sets_of(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """The sets of compressed texts, of which a few megabytes are read at once."""
+    some, held = [], 0
+    for text in texts:
+        some.append(zlib.decompress(text))
+        held += len(some[-1])
+        if held > READ_BYTES:
+            yield from gram_sets(pa.array(some, pa.binary()), size)
+            some, held = [], 0
+    if some:
+        yield from gram_sets(pa.array(some, pa.binary()), size)
+
+
 # Search in a task
 
 
@@ -264,7 +280,7 @@ class Index:
         return np.array(found, np.int64), np.array(counts, np.int64)
 
 
-def _unit_links(percent: int):
+def _unit_links(size: int, percent: int):
     """Links between roots of units (sorted): rows that ask are searched for among those that are held. Of each unit a star for every component that it joins, never all pairs."""
 
     def links(rows: list[tuple]) -> pa.RecordBatch | None:
@@ -278,14 +294,14 @@ def _unit_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("unit", "node", "root", "asks", "held", "grams")]
-            for u, node, root, asks, held, raw in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("unit", "node", "root", "asks", "held")]
+            for u, node, root, asks, held, grams in zip(*columns, _sets_of(batch.column("text").to_pylist(), size), strict=True):
                 if u != unit:
                     if rows and (star := links(rows)):
                         yield star
                     unit, rows = u, []
                 if not rows or (rows[-1][0], rows[-1][2:4]) != (node, (asks, held)):  # several tasks may have made the set
-                    rows.append((node, root, asks, held, np.frombuffer(raw, np.uint64)))
+                    rows.append((node, root, asks, held, grams))
         if rows and (star := links(rows)):
             yield star
 
@@ -321,8 +337,13 @@ def open_rows(rows: DataFrame, roots: DataFrame, cut: DataFrame, percent: int) -
 
     ``key`` is that list's now; with the number of its rows and grams, the root that most of them have, and the number of others.
     """
+    # No other list has that many rows of two levels, so the short ones, nearly all, are left out at once.
+    some, short = rows.filter(F.col("n") > REACH + 1), rows.filter(F.col("n") <= REACH + 1)
+    if not cut.isEmpty():
+        inside = written(short.join(cut.select("node").distinct(), "node", "left_semi").select("key").distinct(), "inside")
+        some = some.unionByName(short.join(inside, "key", "left_semi"))
     level = F.floor(F.log(F.col("size").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("size")
-    rooted = rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = some.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted.join(cut.select("node").distinct().withColumn("cut", F.lit(1)), "node", "left").withColumn("level", level.cast("long")), "rooted")
     lower = F.explode(F.array(F.col("level") - 1, F.col("level"))).alias("lower")
     own = rooted.groupBy("key", "level", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"), F.max("cut").alias("cut"))
@@ -396,10 +417,10 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
         own = written(units.join(nodes.select("node", "name", "least"), "node"), "asked")
         known = F.broadcast if own.count() <= BROADCAST_ROWS else lambda df: df
         texts = read.join(known(own.select(F.col("least").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
-        dealt = arrow_map(texts, _whole_sets(size), "name bigint, grams binary").join(known(own.drop("least")), "name")
+        dealt = arrow_map(texts, _whole_texts(size), "name bigint, text binary").join(known(own.drop("least")), "name")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = dealt.select("unit", "node", "root", "asks", "held", "grams").repartition(n, "unit").sortWithinPartitions("unit", "node", "asks")
-        return written(arrow_map(dealt, _unit_links(percent), "a bigint, b bigint"), "links")
+        dealt = dealt.select("unit", "node", "root", "asks", "held", "text").repartition(n, "unit").sortWithinPartitions("unit", "node", "asks")
+        return written(arrow_map(dealt, _unit_links(size, percent), "a bigint, b bigint"), "links")
 
     roots = linked_components(rows, search, possible, percent)
     named = nodes.select("node", "name", "rest", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
