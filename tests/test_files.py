@@ -206,3 +206,17 @@ def test_paths_of_the_default_file_system(spark):
         assert shared.shared_path(session, "x").startswith("file:///shared/folder/waveforms/")
     finally:
         conf.set("fs.defaultFS", before)
+
+
+def test_rows_leave_a_task_in_small_batches(tmp_path):
+    """A block of rows is given on in small batches: with names and numbers a block of 4 MB would be some 30 MB in each worker."""
+    from tracelake.sources import rows as R
+
+    n = 3 * R.BATCH_ROWS + 5
+    data = np.arange(2.0 * n).reshape(n, 2)
+    data.astype("<f8").tofile(tmp_path / "rows")
+    opened = R.Opened()
+    found = list(R.read_rows(opened.of(str(tmp_path / "rows")), R.Layout(2, False, 0, n), [1], 2, n))
+    opened.close()
+    assert max(k for _, k, _ in found) <= R.BATCH_ROWS and [lo for lo, _, _ in found] == [2 + k * R.BATCH_ROWS for k in range(4)]
+    assert np.concatenate([c.to_numpy() for _, _, (c,) in found]).tolist() == data[2:, 1].tolist()

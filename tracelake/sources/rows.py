@@ -24,8 +24,10 @@ from pyspark.sql.types import StructType
 
 from tracelake.sources.shared import file_system
 
-#: Bytes that one task reads or copies, and bytes that are decoded at once.
+#: Bytes that one task reads or copies, and bytes that are read at once.
 RANGE_BYTES, BLOCK_BYTES = 32 << 20, 4 << 20
+#: Rows that leave a task at once: with their names of files and numbers they are several times as large as in the file, and idle workers keep what they needed once.
+BATCH_ROWS = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -111,15 +113,17 @@ class Opened:
         self.path, self.handle = "", None
 
 
-def read_rows(handle, layout: Layout, places: Sequence[int], start: int, stop: int) -> Iterator[tuple[int, list[pa.Array]]]:
-    """(first row, columns) of blocks of rows."""
+def read_rows(handle, layout: Layout, places: Sequence[int], start: int, stop: int) -> Iterator[tuple[int, int, list[pa.Array]]]:
+    """(first row, rows, columns) of ``BATCH_ROWS`` rows or fewer, read in blocks."""
     step = max(1, BLOCK_BYTES // layout.row_bytes)
     for lo in range(start, stop, step):
         n = min(step, stop - lo)
         raw = handle.read_at(n * layout.row_bytes, layout.offset + lo * layout.row_bytes)
         if len(raw) < n * layout.row_bytes:
             raise ValueError(f"the file ends before row {stop}")
-        yield lo, decode(raw, layout, places)
+        for at in range(0, n, BATCH_ROWS):
+            rows = min(BATCH_ROWS, n - at)
+            yield lo + at, rows, decode(raw[at * layout.row_bytes : (at + rows) * layout.row_bytes], layout, places)
 
 
 def _runs(jobs: list[dict]) -> Iterator[list[dict]]:
@@ -144,8 +148,8 @@ def read_jobs(jobs: DataFrame, layout: Layout, places: Sequence[int]) -> DataFra
                 own = Layout(layout.n_variables, layout.is_complex, jobs[0]["offset"])
                 starts, firsts = (np.array([j[c] for j in jobs], np.int64) for c in ("start", "first"))
                 steps = np.array([j["step"] for j in jobs], np.int32)
-                for lo, columns in read_rows(opened.of(jobs[0]["file"]), own, places, jobs[0]["start"], jobs[-1]["stop"]):
-                    rows = np.arange(lo, lo + min(BLOCK_BYTES // own.row_bytes or 1, jobs[-1]["stop"] - lo))
+                for lo, n, columns in read_rows(opened.of(jobs[0]["file"]), own, places, jobs[0]["start"], jobs[-1]["stop"]):
+                    rows = np.arange(lo, lo + n)
                     at = np.searchsorted(starts, rows, side="right") - 1
                     named = pa.array([jobs[0]["file"]]).take(pa.array(np.zeros(len(rows), np.int32)))
                     yield pa.RecordBatch.from_arrays([named, pa.array(rows), pa.array(steps[at]), pa.array(rows - firsts[at]), *columns], ["file", "point_idx", "step", "step_idx", *(f"c{p}" for p in places)])
@@ -202,9 +206,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         opened = Opened()
-        for lo, columns in read_rows(opened.of(self.path), self.layout, self.places, partition.start, partition.stop):
-            rows = np.arange(lo, lo + min(max(1, BLOCK_BYTES // self.layout.row_bytes), partition.stop - lo))
-            yield pa.RecordBatch.from_arrays([pa.array(rows), *columns], ["point_idx", *(f"c{p}" for p in self.places)])
+        for lo, n, columns in read_rows(opened.of(self.path), self.layout, self.places, partition.start, partition.stop):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + n)), *columns], ["point_idx", *(f"c{p}" for p in self.places)])
         opened.close()
 
 
