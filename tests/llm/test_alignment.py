@@ -109,3 +109,27 @@ def test_query_against_brute_force(spark, sf_dir):
     want = {d["doc_id"]: w for d, w in zip(docs, brute([d["text"] for d in docs]), strict=True)}
     got = queries()["op11_token_alignment"](spark, sf_dir).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
+
+
+def test_words_in_both_vocabularies():
+    """Words known on their own give what whole texts give, also beside spaces of all kinds, where the first vocabulary has tokens across spaces."""
+    from tracelake.llm.alignment import ByteLevel
+
+    a = ByteLevel(A, P.PATTERN)
+    model, whole = Pieces(B, a), sentencepiece.SentencePieceProcessor(model_file=B)
+    texts = ["one two three", "it's 's n't", "a   b", " a", "a\n b", "a \n b", "a\n\n b ", "tail ", "x  y", "日本 語 🙂", LONG]
+    for _ in range(2):
+        other, own = model.encode_both(texts)
+        assert [x.tolist() for x in other] == [a.encode(t, len(t.encode())).tolist() for t in texts]
+        assert [x.tolist() for x in own] == [whole.encode(t) for t in texts]
+        model.MEMO = 3  # all are forgotten and learned again
+
+
+def test_only_the_last_step_is_interpreted(spark):
+    """No lambda function runs for each token: of the array functions only the one that puts groups together has one."""
+    from tracelake.llm.alignment import grouped, separate_steps
+
+    tokens = spark.createDataFrame([], "a_ends array<bigint>, a array<bigint>, b_ends array<bigint>, b array<bigint>")
+    with separate_steps(spark):
+        plan = grouped(tokens).select("groups")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("zip_with(") == 1 and "transform(" not in plan

@@ -1,7 +1,8 @@
 """Alignment of two tokenizers' tokens, and how often each pair of their ids is linked in the corpus.
 
 Python only tokenises: it gives the byte at which each token of either tokenizer ends, alone and with the token's id in one number. All else is Spark's own functions on arrays. The ends that both lists have
-(``array_intersect``) cut the tokens into groups: sorted among its tokens, a side's cuts part it into groups, and the two sides' groups are put side by side, each as ``a1,a2|b1``.
+(``array_intersect``) cut the tokens into groups: sorted among its tokens, a side's cuts part it into groups, and the two sides' groups are put side by side, each as ``a1,a2|b1``. Ends come as
+numbers that sort right after a token with this end, and ids are what a cast to int keeps, so that all but the last step is compiled: no lambda function runs for each token.
 The links of a group are all pairs of its two sides. They depend on the group's ids alone, so they are made once for each distinct group of the corpus (``sequence`` and
 ``transform``); in a document only groups of more than one token a side are taken apart, to count each pair once.
 
@@ -36,9 +37,9 @@ from tracelake.llm.tokens import byte_alphabet
 PIECE = 1 << 20
 #: Rows of the table of distinct groups up to which it is broadcast: about 60 bytes each.
 BROADCAST_GROUPS = 1 << 20
-#: A token on its way is its end, shifted by this, plus its id; a cut has the largest id.
-SHIFT = 17
-_CUT_ID = (1 << SHIFT) - 1
+#: A token on its way is its end, shifted by this, plus its id; an end alone has all bits below set. The lower half is an int: the id, or -1.
+SHIFT = 32
+_END = (1 << SHIFT) - 1
 _SPACE = "▁"
 _CUT = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
 _FIRST_SPACE = re.compile(" (?<!  )")
@@ -66,14 +67,46 @@ class ByteLevel:
         return ids if self.length[ids].sum() == size + 1 else None
 
 
+    def encode_words(self, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each with a space before it and then ``sizes`` bytes, and how many each has. No word is empty or has a space at an end, so that no token crosses words; none has ids if they don't spell them."""
+        ids = np.array(self.encoding.encode_ordinary(" " + " ".join(words)) if words else [], np.int64)
+        ends, bounds = np.cumsum(self.length[ids]), np.cumsum(sizes)
+        cuts = np.searchsorted(ends, bounds)
+        if not words or ends[-1] != bounds[-1] or not np.array_equal(ends[cuts], bounds):
+            return ids[:0], np.zeros(len(words), np.int64)
+        return ids, np.diff(cuts, prepend=-1)
+
+
+class Spans:
+    """Numbered lists of ids in one pool."""
+
+    def __init__(self) -> None:
+        self.pool, self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes.astype(np.int32)])
+        self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these lists, one after another, and where each list begins, with the end of the last."""
+        sizes = self.size[numbers]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+        return self.pool[np.repeat(self.first[numbers] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
 class Pieces:
-    """A sentence-piece vocabulary. No piece has a space mark after another character, so words are encoded on their own, each distinct one once."""
+    """A sentence-piece vocabulary. No piece has a space mark after another character, so words are encoded on their own, each distinct one once.
+
+    With a vocabulary ``beside`` it, words are known in both. That one has no token across a space between other characters, so its words are those without a space of any kind at an end.
+    """
 
     MEMO = 400_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, beside: ByteLevel | None = None):
         import sentencepiece
 
+        self.beside = beside
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         if any(_SPACE in p.lstrip(_SPACE) for p in pieces):
@@ -83,43 +116,69 @@ class Pieces:
         self._forget()
 
     def _forget(self) -> None:
-        """Known words are numbers of spans in one pool of ids; a span without ids is a word that its pieces don't spell."""
+        """Known words are numbers of lists; an empty list is a word that its ids don't spell, or that isn't encoded on its own."""
         self.memo: dict[str, int] = {}
-        self.pool, self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.own, self.other = Spans(), Spans()
 
     def _learn(self, words: list[str]) -> None:
+        if not words:
+            return
         # The model gives nothing for an empty text, but it stands for the space that ends a text.
         found = [ids if w else [self.model.piece_to_id(_SPACE)] for w, ids in zip(words, self.model.encode(words, num_threads=1), strict=True)]
-        found = [ids if b"".join(map(self.bytes.__getitem__, ids)) == b" " + w.encode() else [] for w, ids in zip(words, found, strict=True)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.memo.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
-        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.int64)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        """Ids of each text, to which the model adds a space; None where they don't spell it."""
+        ids = list(chain.from_iterable(found))
+        sizes, flat = np.fromiter(map(len, found), np.int64, len(found)), np.array(ids, np.int64)
+        spelled, joined = b"".join(map(self.bytes.__getitem__, ids)), (" " + " ".join(words)).encode()
+        bytes_of = pc.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64) + 1
+        if spelled != joined or not np.array_equal(np.cumsum(self.length[flat])[np.cumsum(sizes) - 1], np.cumsum(bytes_of)):
+            found = [ids if b"".join(map(self.bytes.__getitem__, ids)) == b" " + w.encode() else [] for w, ids in zip(words, found, strict=True)]
+            sizes, flat = np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.int64)
+        self.own.add(flat, sizes)
+        if self.beside:
+            alone = [k for k, w in enumerate(words) if w and not w[0].isspace() and not w[-1].isspace()]
+            ids, sizes = self.beside.encode_words([words[k] for k in alone], bytes_of[alone])
+            each = np.zeros(len(words), np.int64)
+            each[alone] = sizes
+            self.other.add(ids, each)
+        self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words)), strict=True))
+
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words, and where each text's begin."""
         # Of several spaces the first is the one that the model adds to the word.
         odd = ["  " in t or t[:1] == " " for t in texts]
         lists = pc.split_pattern(pa.array(["" if o else t for t, o in zip(texts, odd, strict=True)], pa.string()), " ")
         if any(odd):
             lists = pa.array([_FIRST_SPACE.split(" " + t)[1:] if o else w for t, o, w in zip(texts, odd, lists.to_pylist(), strict=True)], pa.list_(pa.string()))
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times faster than to_pylist
         if len(self.memo) + len(names) > self.MEMO:
             self._forget()
         self._learn([w for w in names if w not in self.memo])
         word = np.fromiter(map(self.memo.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
-        sizes = self.size[word]
-        ends = np.cumsum([0, *sizes])
-        ids = self.pool[np.repeat(self.first[word] - ends[:-1], sizes) + np.arange(ends[-1])]
-        bounds = lists.offsets.to_numpy()
-        return [None if _SPACE in t or not sizes[lo:hi].all() else ids[ends[lo] : ends[hi]] for t, lo, hi in zip(texts, bounds[:-1], bounds[1:], strict=True)]
+        return word, lists.offsets.to_numpy()
+
+    @staticmethod
+    def _of_texts(spans: Spans, word: np.ndarray, bounds: np.ndarray) -> list[np.ndarray | None]:
+        ids, ends = spans.take(word)
+        gaps = np.concatenate([np.zeros(1, np.int64), np.cumsum(spans.size[word] == 0)])[bounds]
+        at = ends[bounds].tolist()
+        return [ids[lo:hi] if whole else None for lo, hi, whole in zip(at[:-1], at[1:], (gaps[1:] == gaps[:-1]).tolist(), strict=True)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text, to which the model adds a space; None where they don't spell it."""
+        found = self._numbers(texts)
+        return [None if _SPACE in t else x for t, x in zip(texts, self._of_texts(self.own, *found), strict=True)]
+
+    def encode_both(self, texts: list[str]) -> tuple[list[np.ndarray | None], list[np.ndarray | None]]:
+        """Ids of each text after a space in the vocabulary beside this one, and in this one."""
+        found = self._numbers(texts)
+        other, own = self._of_texts(self.other, *found), self._of_texts(self.own, *found)
+        return [self.beside.encode(t, len(t.encode())) if x is None else x for t, x in zip(texts, other, strict=True)], [None if _SPACE in t else x for t, x in zip(texts, own, strict=True)]
 
 
 @cache
 def _encoders(a_path: str, pattern: str, b_path: str) -> tuple[ByteLevel, Pieces]:
-    return ByteLevel(a_path, pattern), Pieces(b_path)
+    a = ByteLevel(a_path, pattern)
+    return a, Pieces(b_path, a)
 
 
 def pieces(text: bytes, size: int = PIECE) -> list[bytes]:
@@ -137,9 +196,13 @@ def pieces(text: bytes, size: int = PIECE) -> list[bytes]:
 def _tokenise(a_path: str, pattern: str, b_path: str, size: int):
     none = np.zeros(0, np.int64)
 
-    def lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
-        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, none]).astype(kind)))
+    def lists(side: list[np.ndarray], length: np.ndarray) -> list[pa.Array]:
+        """Ends, and ends with ids."""
+        ids = np.concatenate([*side, none])
+        at = np.cumsum([0, *map(len, side)])
+        total = np.concatenate([none, [0], np.cumsum(length[ids])])
+        ends = total[1:] - np.repeat(total[at[:-1]], np.diff(at)) << SHIFT
+        return [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v)) for v in (ends | _END, ends | ids)]
 
     def decoded(text: bytes) -> list[str]:
         try:
@@ -150,12 +213,13 @@ def _tokenise(a_path: str, pattern: str, b_path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _encoders(a_path, pattern, b_path)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 parts = [decoded(t) if t else [] for t in part.column("text").to_pylist()]
-                ys = iter(b.encode([p for own in parts for p in own]))
+                found_a, found_b = b.encode_both([p for own in parts for p in own])
+                pairs = zip(found_a, found_b, strict=True)
                 rows, seg, segs, left, right = [], [], [], [], []
                 for k, own in enumerate(parts):
-                    found = [(a.encode(p, len(p.encode())), next(ys)) for p in own]
+                    found = [next(pairs) for _ in own]
                     if not found or any(x is None or y is None for x, y in found):
                         found = [(none, none)]
                     rows += [k] * len(found)
@@ -165,9 +229,7 @@ def _tokenise(a_path: str, pattern: str, b_path: str, size: int):
                     right += [y for _, y in found]
                 taken = pa.array(rows, pa.int32())
                 columns = [part.column("row").take(taken), part.column("doc_id").take(taken), pa.array(seg, pa.int32()), pa.array(segs, pa.int32())]
-                for side, length in ((left, a.length), (right, b.length)):
-                    ends = [np.cumsum(length[x]) for x in side]
-                    columns += [lists(ends, np.int32), lists([e << SHIFT | x for e, x in zip(ends, side, strict=True)], np.int64)]
+                columns += lists(left, a.length) + lists(right, b.length)
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "seg", "segs", "a_ends", "a", "b_ends", "b"])
 
     return run
@@ -175,25 +237,26 @@ def _tokenise(a_path: str, pattern: str, b_path: str, size: int):
 
 @contextmanager
 def separate_steps(spark: SparkSession) -> Iterator[None]:
-    """Keeps projections apart while a plan is made: merged, all that a higher-order function is given would be interpreted with it, a boxed sort included; apart, it is compiled."""
-    key = "spark.sql.optimizer.excludedRules"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ",".join(filter(None, [before, "org.apache.spark.sql.catalyst.optimizer.CollapseProject"])))
+    """While a plan is made: keeps projections apart, as merged, all that a higher-order function is given would be interpreted with it; and lets a cast to int cut off the upper half."""
+    rules = "spark.sql.optimizer.excludedRules"
+    before = {k: spark.conf.get(k, None) for k in (rules, "spark.sql.ansi.enabled")}
+    spark.conf.set(rules, ",".join(filter(None, [before[rules], "org.apache.spark.sql.catalyst.optimizer.CollapseProject"])))
+    spark.conf.set("spark.sql.ansi.enabled", "false")
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def grouped(tokens: DataFrame) -> DataFrame:
-    """``tokens`` (a_ends, a, b_ends, b: the ends of both sides' tokens, and ends and ids in one) with ``groups``: the ids ``a1,a2|b1`` between each two ends that both sides have."""
+    """``tokens`` (a_ends, a, b_ends, b: the ends of both sides' tokens, and ends with ids) with ``groups``: the ids ``a1,a2|b1`` between each two ends that both sides have. To be written within ``separate_steps``."""
     work = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    work = work.withColumn("marks", F.transform("cuts", lambda end: F.shiftleft(end.cast("long"), SHIFT) + _CUT_ID))
-    # Sorted together, a cut follows the token that ends at it.
-    work = work.withColumns({f"{s}_all": F.sort_array(F.concat(s, "marks")) for s in "ab"})
-    work = work.withColumns({f"{s}_ids": F.transform(f"{s}_all", lambda x: x.bitwiseAND(_CUT_ID)) for s in "ab"})
-    work = work.withColumns({f"{s}_text": F.replace(F.concat(F.array_join(F.col(f"{s}_ids").cast("array<string>"), ","), F.lit(",")), F.lit(f",{_CUT_ID},"), F.lit("|")) for s in "ab"})
-    work = work.withColumns({f"{s}_parts": F.split(F.left(f"{s}_text", F.length(f"{s}_text") - 1), r"\|") for s in "ab"})  # a pattern that needs no regular expression
+    # Sorted together, a cut follows the token that ends at it; its lower half is -1. The last end is one that both sides have.
+    work = work.withColumns({f"{s}_ids": F.sort_array(F.concat(s, "cuts")).cast("array<int>") for s in "ab"})
+    work = work.withColumns({f"{s}_text": F.array_join(F.col(f"{s}_ids").cast("array<string>"), ",") for s in "ab"})
+    work = work.withColumns({f"{s}_marked": F.replace(F.left(f"{s}_text", F.length(f"{s}_text") - len(",-1")), F.lit(",-1,"), F.lit("|")) for s in "ab"})
+    work = work.withColumns({f"{s}_parts": F.split(f"{s}_marked", r"\|") for s in "ab"})  # a pattern that needs no regular expression
     groups = F.zip_with("a_parts", "b_parts", lambda a, b: F.concat(a, F.lit("|"), b))
     return work.withColumn("groups", F.when(F.size("cuts") > 0, groups).otherwise(F.array().cast("array<string>"))).select(*tokens.columns, "groups")
 
@@ -201,17 +264,17 @@ def grouped(tokens: DataFrame) -> DataFrame:
 def links(group: Column) -> Column:
     """The pairs ``a|b`` of all ids of a group's two sides."""
     side = lambda k: F.split(F.get(F.split(group, r"\|"), F.lit(k)), ",")
-    a, b = side(0), side(1)
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.transform(b, lambda y: F.concat(F.get(a, i), F.lit("|"), y))))
+    return F.flatten(F.transform(side(0), lambda a: F.transform(side(1), lambda b: F.concat(a, F.lit("|"), b))))
 
 
 def alignments(docs: DataFrame, a_path: str, pattern: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
-    """A table with a row for each piece of a document: row, doc_id, seg, segs, n_a, n_b, groups."""
+    """A table with a row for each piece of a document: row, doc_id, seg, segs, n_a, n_b, n_groups, digest, groups. A document of one piece has its digest, and none without tokens."""
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
-    tokens = arrow_map(read, _tokenise(a_path, pattern, b_path, piece), "row bigint, doc_id bigint, seg int, segs int, a_ends array<int>, a array<bigint>, b_ends array<int>, b array<bigint>")
-    found = grouped(tokens).select("row", "doc_id", "seg", "segs", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), "groups")
+    tokens = arrow_map(read, _tokenise(a_path, pattern, b_path, piece), "row bigint, doc_id bigint, seg int, segs int, a_ends array<bigint>, a array<bigint>, b_ends array<bigint>, b array<bigint>")
     with separate_steps(docs.sparkSession):
-        return written(found, "aligned")
+        found = grouped(tokens).select("row", "doc_id", "seg", "segs", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("groups").cast("long").alias("n_groups"), "groups")
+        digest = F.when(F.col("n_groups") == 0, "").when(F.col("segs") == 1, F.sha2(F.array_join("groups", ";").cast("binary"), 256))
+        return written(found.withColumn("digest", digest), "aligned")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -238,14 +301,12 @@ def align(docs: DataFrame, a_path: str, pattern: str, b_path: str, id_col: str =
     aligned = alignments(docs, a_path, pattern, b_path, id_col, text_col, piece)
     kinds = group_counts(aligned, pair_counts(aligned))
     kinds = F.broadcast(kinds) if kinds.count() <= broadcast_groups else kinds
-    joined = F.array_join("groups", ";")
-    digest = F.when(F.size("groups") == 0, "").when(F.col("segs") == 1, F.sha2(joined.cast("binary"), 256))
-    sizes = aligned.select("row", "doc_id", "seg", "segs", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), digest.alias("digest"), "groups")
-    facts = ["row", "doc_id", "seg", "segs", "n_a", "n_b", "n_groups", "digest"]
-    rated = sizes.select(*facts, F.explode_outer("groups").alias("group")).join(kinds, "group", "left")
-    rated = rated.groupBy(*facts).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("links", "n_links"), ("best", "n_best"), ("n", "count_sum"))])
+    # Groups are rated with nothing but their row beside them, as what goes with each of them is copied for each.
+    at = ["row", "seg"]
+    sums = aligned.select(*at, F.explode("groups").alias("group")).join(kinds, "group").groupBy(*at).agg(F.sum("links").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    rated = aligned.drop("groups").join(sums, at, "left").fillna(0, ["n_links", "n_best", "count_sum"])
     totals = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", joined.alias("spelled")))), lambda s: s["spelled"]), ";")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", F.array_join("groups", ";").alias("spelled")))), lambda s: s["spelled"]), ";")
     several = written(aligned.filter("segs > 1").groupBy("row").agg(F.sha2(whole.cast("binary"), 256).alias("whole")), "several")
     long = rated.filter("segs > 1").groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in totals]).join(several, "row").select("doc_id", *totals, F.col("whole").alias("groups_sha256"))
     return rated.filter("segs = 1").select("doc_id", *totals, F.col("digest").alias("groups_sha256")).unionByName(long)
