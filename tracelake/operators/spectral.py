@@ -5,6 +5,8 @@ A spectrum needs a series in one place: one grouped call transforms all signals
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -158,11 +160,31 @@ def fft(df: DataFrame, signals: list[str], by: list[str] = ("step",), order: str
     return rows.groupBy(*by).applyInArrow(run, schema)
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], same: list[str], rising: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables of whole groups, and where the groups begin, with the end of the last. A group has the same numbers in ``same`` and rises in ``rising``."""
+    held, rows, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = [batch.column(c).to_numpy() for c in (*same, rising)]
+        before = [np.concatenate([m[:1] if last is None else last[k], m[:-1]]) for k, m in enumerate(marks)]
+        new = np.any([m != b for m, b in zip(marks[:-1], before[:-1], strict=True)], axis=0) | (marks[-1] <= before[-1])
+        new[0] &= last is not None  # the first row of all has none before it
+        last, begins = [m[-1:] for m in marks], np.flatnonzero(new)
+        if len(begins):
+            yield pa.Table.from_batches([*held, batch.slice(0, begins[-1])]), np.concatenate([np.zeros(1, np.int64), rows + begins])
+            batch, held, rows = batch.slice(begins[-1]), [], 0
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held), np.array([0, rows])
+
+
 def fft_in_parts(df: DataFrame, signals: list[str], parts: int, by: list[str] = ("step",), order: str = "step_idx", x: str = "x", left: float | None = None, right: float | None = None, name: str = "hanning", output: str = "magnitude", keep_dc: bool = False, pad: bool = False, normalise: bool = False) -> DataFrame:
     """``fft`` of series that are too long for one task: each is transformed in ``parts`` interleaved parts, and their bins are brought together in blocks.
 
     A task holds about one part of a series of one signal, so for n samples about sqrt(n) parts need the least memory. Raises where ``parts`` doesn't divide the
-    length (``pad`` makes it a power of two). ``order`` numbers a series' rows without gaps, also in the range.
+    length (``pad`` makes it a power of two). Parts of short series go to Python many at a time, sorted, so that their number costs little. ``order`` numbers a series' rows without gaps, also in the range.
     """
     from tracelake.operators.steps import attach
 
@@ -196,35 +218,59 @@ def fft_in_parts(df: DataFrame, signals: list[str], parts: int, by: list[str] =
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*fixed).schema.fields)
     width_of = lambda m: -(-m // parts)
 
-    def same(table: pa.Table, n: int) -> dict[str, pa.Array]:
-        return {k: pa.array([table.column(k)[0].as_py()] * n, table.column(k).type) for k in fixed}
+    def one_each(table: pa.Table, bounds: np.ndarray, names: list[str]) -> list[list]:
+        return [table.column(c).to_numpy()[bounds[:-1]].tolist() for c in names]
+
+    def rows_of(table: pa.Table, bounds: np.ndarray, counts: list[int], columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+        """As many rows of each group as it has results."""
+        facts = table.select(fixed).take(pa.array(np.repeat(bounds[:-1], counts)))
+        yield from pa.table(dict(zip(fixed, facts.columns, strict=True)) | columns).combine_chunks().to_batches()
 
-    def one_part(table: pa.Table) -> pa.Table:
+    def each_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A part's transform, turned by its place, in blocks of bins."""
-        size, part = table.column("__size")[0].as_py(), table.column("__part")[0].as_py()
-        m = size // parts
-        own = np.zeros(m)
-        own[table.column("__at").to_numpy()] = table.column("__v").to_numpy()
-        turned = np.fft.fft(own) * np.exp(-2j * np.pi * part / size * np.arange(m))
-        begins = np.arange(0, m, width_of(m))
-        lists = [pa.ListArray.from_arrays(pa.array(np.append(begins, m), pa.int32()), pa.array(np.ascontiguousarray(v))) for v in (turned.real, turned.imag)]
-        return pa.table(same(table, len(begins)) | {"__part": pa.array(np.full(len(begins), part)), "__block": pa.array(np.arange(len(begins))), "__re": lists[0], "__im": lists[1]})
-
-    def one_block(table: pa.Table) -> pa.Table:
+        for table, bounds in _whole_groups(batches, ["__hash", "__part"], "__at"):
+            at, values = table.column("__at").to_numpy(), table.column("__v").to_numpy()
+            sizes, places = one_each(table, bounds, ["__size", "__part"])
+            turned, widths = [], []
+            for lo, hi, size, part in zip(bounds[:-1], bounds[1:], sizes, places, strict=True):
+                m = size // parts
+                own = np.zeros(m)
+                own[at[lo:hi]] = values[lo:hi]
+                turned.append(np.fft.fft(own) * np.exp(-2j * np.pi * part / size * np.arange(m)))
+                widths.append(np.diff(np.append(np.arange(0, m, width_of(m)), m)))
+            counts, flat = list(map(len, widths)), np.concatenate(turned)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(widths))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(v))) for v in (flat.real, flat.imag)]
+            yield from rows_of(table, bounds, counts, {"__part": pa.array(np.repeat(places, counts)), "__block": pa.array(np.concatenate([np.arange(c) for c in counts])), "__re": lists[0], "__im": lists[1]})
+
+    def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bins that lie a part's length apart, from the same bins of all parts."""
-        size, block = table.column("__size")[0].as_py(), table.column("__block")[0].as_py()
-        m = size // parts
-        low = block * width_of(m)
-        cells = np.zeros((parts, min(width_of(m), m - low)), complex)
-        for r, re, im in zip(table.column("__part").to_pylist(), table.column("__re"), table.column("__im"), strict=True):
-            cells[r] = re.values.to_numpy() + 1j * im.values.to_numpy()
-        bins = (np.arange(parts)[:, None] * m + np.arange(low, low + cells.shape[1])).ravel()
-        inside = bins <= size // 2
-        out = np.fft.fft(cells, axis=0).ravel()[inside]
-        return pa.table(same(table, len(out)) | {"bin": pa.array(bins[inside]), "__re": pa.array(np.ascontiguousarray(out.real)), "__im": pa.array(np.ascontiguousarray(out.imag))})
-
-    turned = dealt.groupBy(*keys, "__part").applyInArrow(one_part, f"{kinds}, __part bigint, __block bigint, __re array<double>, __im array<double>")
-    bins = turned.groupBy(*keys, "__block").applyInArrow(one_block, f"{kinds}, bin bigint, __re double, __im double")
+        for table, bounds in _whole_groups(batches, ["__hash", "__block"], "__part"):
+            table = table.combine_chunks()
+            re, im = (table.column(c).combine_chunks() for c in ("__re", "__im"))
+            ends = np.concatenate([[0], np.cumsum(re.value_lengths().to_numpy())])
+            flat, place = re.flatten().to_numpy() + 1j * im.flatten().to_numpy(), table.column("__part").to_numpy()
+            found, kept = [], []
+            for lo, hi, size, block in zip(bounds[:-1], bounds[1:], *one_each(table, bounds, ["__size", "__block"]), strict=True):
+                m = size // parts
+                low = block * width_of(m)
+                cells = np.zeros((parts, min(width_of(m), m - low)), complex)
+                cells[place[lo:hi]] = flat[ends[lo] : ends[hi]].reshape(hi - lo, -1)
+                bins = (np.arange(parts)[:, None] * m + np.arange(low, low + cells.shape[1])).ravel()
+                inside = bins <= size // 2
+                found.append(np.fft.fft(cells, axis=0).ravel()[inside])
+                kept.append(bins[inside])
+            out = np.concatenate(found)
+            yield from rows_of(table, bounds, list(map(len, kept)), {"bin": pa.array(np.concatenate(kept)), "__re": pa.array(np.ascontiguousarray(out.real)), "__im": pa.array(np.ascontiguousarray(out.imag))})
+
+    def sorted_groups(df: DataFrame, key: str, rising: str) -> DataFrame:
+        return df.repartition(*keys, key).sortWithinPartitions("__hash", *keys, key, rising)
+
+    kinds += ", __hash bigint"
+    fixed = [*fixed, "__hash"]
+    dealt = dealt.withColumn("__hash", F.xxhash64(*keys))  # tells series apart in Python, whatever their keys' types
+    turned = sorted_groups(dealt, "__part", "__at").mapInArrow(each_part, f"{kinds}, __part bigint, __block bigint, __re array<double>, __im array<double>")
+    bins = sorted_groups(turned, "__block", "__part").mapInArrow(each_block, f"{kinds}, bin bigint, __re double, __im double")
     bins = bins.withColumn("freq", F.col("bin") / (F.col("__size") * F.col("__dt")))
     if output == "phase":
         shown = F.degrees(F.atan2("__im", "__re"))
