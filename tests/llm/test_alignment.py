@@ -133,3 +133,13 @@ def test_only_the_last_step_is_interpreted(spark):
     with separate_steps(spark):
         plan = grouped(tokens).select("groups")._jdf.queryExecution().analyzed().toString()
     assert plan.count("zip_with(") == 1 and "transform(" not in plan
+
+
+def test_distinct_groups_are_found_once(spark):
+    """A piece's distinct groups go with it: pairs and the table of groups are made of them, not of all its groups."""
+    from tracelake.llm.alignment import alignments
+
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    rows = alignments(df, A, P.PATTERN, B).collect()
+    assert len(rows) == len(TEXTS) and all(sorted(r["kinds"]) == sorted(set(r["groups"])) for r in rows)
+    assert [len(r["kinds"]) < r["n_groups"] for r in rows if r["doc_id"] == TEXTS.index(LONG)] == [True]

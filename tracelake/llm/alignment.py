@@ -1,10 +1,10 @@
 """Alignment of two tokenizers' tokens, and how often each pair of their ids is linked in the corpus.
 
 Python only tokenises: it gives the byte at which each token of either tokenizer ends, alone and with the token's id in one number. All else is Spark's own functions on arrays. The ends that both lists have
-(``array_intersect``) cut the tokens into groups: sorted among its tokens, a side's cuts part it into groups, and the two sides' groups are put side by side, each as ``a1,a2|b1``. Ends come as
+cut the tokens into groups, and those of one list alone (``array_except``), which are few, lie inside groups: sorted among its side's tokens, each ties two tokens together, and the two sides' groups are put side by side, each as ``a1,a2|b1``. Ends come as
 numbers that sort right after a token with this end, and ids are what a cast to int keeps, so that all but the last step is compiled: no lambda function runs for each token.
 The links of a group are all pairs of its two sides. They depend on the group's ids alone, so they are made once for each distinct group of the corpus (``sequence`` and
-``transform``); in a document only groups of more than one token a side are taken apart, to count each pair once.
+``transform``); a document's distinct groups are found once (``kinds``), and of them only groups of more than one token a side are taken apart, to count each pair once.
 
 A text is cut at single spaces between ASCII letters into pieces of about ``PIECE`` bytes, and each piece is a row. Neither tokenizer has a token across such a space, so the pieces'
 tokens are those of the whole text, every cut of pieces is a cut of groups, and a text of any length is worked on in bounded memory; a stretch of text without such a space is one piece.
@@ -251,14 +251,13 @@ def separate_steps(spark: SparkSession) -> Iterator[None]:
 
 def grouped(tokens: DataFrame) -> DataFrame:
     """``tokens`` (a_ends, a, b_ends, b: the ends of both sides' tokens, and ends with ids) with ``groups``: the ids ``a1,a2|b1`` between each two ends that both sides have. To be written within ``separate_steps``."""
-    work = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    # Sorted together, a cut follows the token that ends at it; its lower half is -1. The last end is one that both sides have.
-    work = work.withColumns({f"{s}_ids": F.sort_array(F.concat(s, "cuts")).cast("array<int>") for s in "ab"})
-    work = work.withColumns({f"{s}_text": F.array_join(F.col(f"{s}_ids").cast("array<string>"), ",") for s in "ab"})
-    work = work.withColumns({f"{s}_marked": F.replace(F.left(f"{s}_text", F.length(f"{s}_text") - len(",-1")), F.lit(",-1,"), F.lit("|")) for s in "ab"})
-    work = work.withColumns({f"{s}_parts": F.split(f"{s}_marked", r"\|") for s in "ab"})  # a pattern that needs no regular expression
+    work = tokens.withColumns({"a_inner": F.array_except("a_ends", "b_ends"), "b_inner": F.array_except("b_ends", "a_ends")})
+    # Sorted together, an inner end follows the token that ends at it; its lower half is -1. The last end is one that both sides have.
+    work = work.withColumns({f"{s}_ids": F.sort_array(F.concat(s, f"{s}_inner")).cast("array<int>") for s in "ab"})
+    work = work.withColumns({f"{s}_text": F.replace(F.array_join(F.col(f"{s}_ids").cast("array<string>"), "|"), F.lit("|-1|"), F.lit(",")) for s in "ab"})
+    work = work.withColumns({f"{s}_parts": F.split(f"{s}_text", r"\|") for s in "ab"})  # a pattern that needs no regular expression
     groups = F.zip_with("a_parts", "b_parts", lambda a, b: F.concat(a, F.lit("|"), b))
-    return work.withColumn("groups", F.when(F.size("cuts") > 0, groups).otherwise(F.array().cast("array<string>"))).select(*tokens.columns, "groups")
+    return work.withColumn("groups", F.when(F.size("a") > 0, groups).otherwise(F.array().cast("array<string>"))).select(*tokens.columns, "groups")
 
 
 def links(group: Column) -> Column:
@@ -268,20 +267,19 @@ def links(group: Column) -> Column:
 
 
 def alignments(docs: DataFrame, a_path: str, pattern: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
-    """A table with a row for each piece of a document: row, doc_id, seg, segs, n_a, n_b, n_groups, digest, groups. A document of one piece has its digest, and none without tokens."""
+    """A table with a row for each piece of a document: row, doc_id, seg, segs, n_a, n_b, n_groups, digest, groups, and kinds, its distinct groups. A document of one piece has its digest, and none without tokens."""
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
     tokens = arrow_map(read, _tokenise(a_path, pattern, b_path, piece), "row bigint, doc_id bigint, seg int, segs int, a_ends array<bigint>, a array<bigint>, b_ends array<bigint>, b array<bigint>")
     with separate_steps(docs.sparkSession):
         found = grouped(tokens).select("row", "doc_id", "seg", "segs", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("groups").cast("long").alias("n_groups"), "groups")
         digest = F.when(F.col("n_groups") == 0, "").when(F.col("segs") == 1, F.sha2(F.array_join("groups", ";").cast("binary"), 256))
-        return written(found.withColumn("digest", digest), "aligned")
+        return written(found.withColumns({"digest": digest, "kinds": F.array_distinct("groups")}), "aligned")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """A table (pair, n, best): in how many documents a pair of ids is linked, and whether no pair of the same first id is in more."""
-    own = F.array_distinct("groups")
-    several = F.flatten(F.transform(F.filter(own, lambda g: F.contains(g, F.lit(","))), links))
-    pairs = F.array_union(F.filter(own, lambda g: ~F.contains(g, F.lit(","))), several)
+    several = F.flatten(F.transform(F.filter("kinds", lambda g: F.contains(g, F.lit(","))), links))
+    pairs = F.array_union(F.filter("kinds", lambda g: ~F.contains(g, F.lit(","))), several)
     # A long document's pieces are counted as one; each piece has its pairs once already.
     once = aligned.filter("segs = 1").select(F.explode(pairs).alias("pair")).unionByName(aligned.filter("segs > 1").select("row", F.explode(pairs).alias("pair")).distinct().select("pair"))
     counts = written(once.groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "counts").withColumn("a", F.substring_index("pair", "|", 1))
@@ -291,7 +289,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
 def group_counts(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
     """A table (group, links, best, n) of the distinct groups: how many links each has, how many of them are best, and the sum of their counts."""
-    distinct = aligned.select(F.explode("groups").alias("group")).distinct()
+    distinct = aligned.select(F.explode("kinds").alias("group")).distinct()
     linked = distinct.select("group", F.explode(links(F.col("group"))).alias("pair")).join(pairs, "pair")
     return written(linked.groupBy("group").agg(F.count(F.lit(1)).alias("links"), F.sum("best").alias("best"), F.sum("n").alias("n")), "kinds")
 
@@ -304,7 +302,7 @@ def align(docs: DataFrame, a_path: str, pattern: str, b_path: str, id_col: str =
     # Groups are rated with nothing but their row beside them, as what goes with each of them is copied for each.
     at = ["row", "seg"]
     sums = aligned.select(*at, F.explode("groups").alias("group")).join(kinds, "group").groupBy(*at).agg(F.sum("links").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    rated = aligned.drop("groups").join(sums, at, "left").fillna(0, ["n_links", "n_best", "count_sum"])
+    rated = aligned.drop("groups", "kinds").join(sums, at, "left").fillna(0, ["n_links", "n_best", "count_sum"])
     totals = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", F.array_join("groups", ";").alias("spelled")))), lambda s: s["spelled"]), ";")
     several = written(aligned.filter("segs > 1").groupBy("row").agg(F.sha2(whole.cast("binary"), 256).alias("whole")), "several")
