@@ -143,3 +143,54 @@ def test_sets_are_sent_as_texts():
         assert [s.tolist() for s in S._sets_of(sent.column("text").to_pylist(), 3)] == [s.tolist() for s in sets]
     finally:
         S.READ_BYTES = S_bytes
+
+
+def test_bits_rule_out_no_link():
+    """Sets differ in no more bits than grams, also where one has more words of bits; those that share a gram by chance are left out."""
+    rnd = np.random.default_rng(4)
+    sets = []
+    for n in (1, 2, 20, 63, 64, 126, 128, 129, 135, 255, 257, 400, 1000, 1030):
+        own = np.unique(rnd.integers(0, 1 << 64, n, np.uint64))
+        sets += [own, np.unique(np.concatenate([own[: n - n // 20], rnd.integers(0, 1 << 64, n // 20, np.uint64)])), np.unique(np.concatenate([own[:1], rnd.integers(0, 1 << 64, n, np.uint64)]))]
+    bits = [S.parity(s).tolist() for s in sets]
+    assert {len(b) for b in bits} == {1, 2, 4, 8, 16}
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a)]
+    words = pa.list_(pa.int64())
+    columns = [pa.array([p[k] for p in pairs]) for k in (0, 1)] + [pa.array([len(sets[p[k]]) for p in pairs]) for k in (0, 1)] + [pa.array([bits[p[k]] for p in pairs], words) for k in (0, 1)]
+    (out,) = S._few_bits_apart(90)(iter([pa.RecordBatch.from_arrays(columns, ["a", "b", "a_size", "b_size", "a_bits", "b_bits"]).slice(3)]))
+    kept = set(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+    linked = {(a, b) for a, b in pairs[3:] if 100 * len(np.intersect1d(sets[a], sets[b])) >= 90 * len(np.union1d(sets[a], sets[b]))}
+    assert linked and linked <= kept
+    assert not any(a // 3 != b // 3 for a, b in kept if min(len(sets[a]), len(sets[b])) > 100)
+    rows = [(0, k, k, True, True, len(sets[k]), bits[k]) for k in range(len(sets))]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), words if k == 6 else None) for k, c in enumerate(zip(*rows, strict=True))], ["unit", "node", "root", "asks", "held", "size", "bits"])
+    (out,) = S._asked_alike(90)(iter([batch]))
+    asked = set(out.column("node").to_pylist())
+    assert {k for p in linked for k in p} <= asked and not any(k % 3 == 2 for k in asked if len(sets[k]) > 100)
+
+
+def test_chance_grams_send_no_texts(spark, monkeypatch):
+    """Texts that share single rare grams in a chain are candidates of each other, more than a unit holds: the bits leave them out, so none is cut, asked or sent again."""
+    monkeypatch.setattr(S, "UNIT_ROWS", 10)
+    rnd = random.Random(8)
+    own = lambda k: [f"q{k}x{j}" for j in range(3)]  # noqa: E731  a gram that texts k and k + 1 share
+    rows = []
+    for k in range(60):
+        rest = [f"z{rnd.randrange(1 << 40)}" for _ in range(150)]
+        rows.append((k, " ".join([*own(k), *rest[:75], *own(k + 1), *rest[75:]])))
+    rows += [(100 + k, rows[k][1] + " more") for k in (3, 5)]
+    sent, write = [], S.written
+    monkeypatch.setattr(S, "written", lambda df, name: sent.append((name, out := write(df, name))) or out)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, S.similar_sets(df).collect()), key=repr)
+    assert got == brute(rows)
+    assert sum(out.count() for name, out in sent if name == "asked") == 4
+
+
+def test_a_list_put_in_order_by_parts_is_open(spark, monkeypatch):
+    """Few rows of its two levels may be in different parts, where none is a neighbour of the other."""
+    monkeypatch.setattr(S, "ORDER_ROWS", 100)
+    n = 200
+    rows = spark.createDataFrame([(1, k, 50 if k < 10 else 1000 + 500 * k, 0, n) for k in range(n)], "key long, node long, size long, place int, n long")
+    found = S.open_rows(rows, spark.createDataFrame([], "node long, root long"), spark.createDataFrame([], "node long"), 90)
+    assert set(range(10)) <= {r["node"] for r in found.collect()}

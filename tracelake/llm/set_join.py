@@ -8,9 +8,10 @@ The lists of the whole corpus are too many for a task, so the division is made t
 that have one in common are candidates. Rare is a level of a sketch of all grams' document counts (a fixed number of counters, summed over tasks), ties in the order of hashes; any order of all grams
 gives right results, and this one keeps lists short. Within a task the candidates' whole sets make an inverted index that is searched with the best L.
 
-Lists of the shuffle may hold very many copies of a text. Each of their rows is a candidate for the next ``REACH`` ones in the order of sizes, by sizes and places alone. What candidates connect is dealt to units, in parts
-where it is large, so a set is sent once, as its compressed text, and each unit is searched as a whole. Sets are made from texts where they are needed; only ids and places are kept. Similar sets are of one level or of two levels that follow each
-other, if a level is a range of sizes as wide as the similarity allows. So all is compared but rows of such two levels of a list where these are more than ``REACH + 1``, or what was cut in parts. Where they are of several
+Lists of the shuffle may hold very many copies of a text. Each of their rows is a candidate for the next ``REACH`` ones in the order of sizes, by sizes and places, and by the bits of both sets: a gram turns one bit over, so sets
+differ in no more bits than grams. This leaves out nearly all that share a gram by chance, which in a large corpus would connect most of it. What candidates connect is dealt to units, in parts
+where it is large, so a set is sent once, as its compressed text, and each unit is searched as a whole. Sets are made from texts where they are needed; only ids, places and bits are kept. Similar sets are of one level or of two levels that follow each
+other, if a level is a range of sizes as wide as the similarity allows. So all is compared but rows of such two levels of a list where these are more than ``REACH + 1``, or of what was cut in parts, which is one more list. Where they are of several
 components, they are dealt anew in a random order, while links are found, ``ROUNDS`` times at most. Then each row outside the largest component is searched for among all rows of the two levels, in blocks.
 So no link between components is missed, links inside a component aren't all made, and only the largest component's rows are sent once a block of queries.
 
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import arrow_map, slices, text_bytes, written
+from tracelake.llm.common import arrow_map, remove, slices, text_bytes, written
 from tracelake.llm.components import _star_of, components
 
 SEED = 42
@@ -100,24 +101,31 @@ def _name(grams: np.ndarray) -> np.ndarray:
     return np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), "<i8")
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Bits that a set's grams turn over, a power of two of them and at least half as many as grams, in words of 64."""
+    words = 1 << max(0, -(-len(grams) // 128) - 1).bit_length()
+    odd = np.bincount((grams & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def _signed(size: int, sketch_bits: int):
-    """Rows (doc_id, name, rest, size) of documents, and (block, counts) of the task's share of the sketch."""
+    """Rows (doc_id, name, rest, size, bits) of documents, and (block, counts) of the task's share of the sketch."""
     block = min(BLOCK_BITS, sketch_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << sketch_bits, np.uint32)
-        names = ["doc_id", "name", "rest", "size", "block", "counts"]
+        names, words = ["doc_id", "name", "rest", "size", "bits", "block", "counts"], pa.list_(pa.int64())
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = gram_sets(part.column("text"), size)
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - sketch_bits)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
                 both = np.array([_name(s) for s in sets])
                 n, none = len(sets), pa.nulls(len(sets), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([len(s) for s in sets], pa.int64()), none, pa.nulls(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], words), none, pa.nulls(n, pa.binary())], names)
         for k, own in enumerate(counts.reshape(-1, 1 << block)):
             if own.any():
                 small = next(t for t in (np.uint8, np.uint16, np.uint32) if own.max() <= np.iinfo(t).max)
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([k], pa.int32()), pa.array([own.astype(small).tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, words), pa.array([k], pa.int32()), pa.array([zlib.compress(own.astype(small).tobytes(), 1)], pa.binary())], names)
 
     return run
 
@@ -130,7 +138,8 @@ def _levels(block_bits: int):
         for batch in batches:
             for k, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 own = held.setdefault(k, np.zeros(1 << block_bits, np.int64))
-                own += np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) >> block_bits])
+                plain = zlib.decompress(raw)
+                own += np.frombuffer(plain, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(plain) >> block_bits])
         for k, own in held.items():
             level = (2 * np.log2(np.maximum(own, 1))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "levels"])
@@ -311,6 +320,39 @@ def _unit_links(size: int, percent: int):
 # Links between tasks
 
 
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Each row's bits as if there were so many words."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def _few_bits_apart(percent: int):
+    """Pairs (a, b) whose sets may be so similar: each gram of one set alone turns one bit over. The longer one's words are folded to as many as the shorter one has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(c).to_numpy() for c in ("a_size", "b_size")]
+            bits = [batch.column(c) for c in ("a_bits", "b_bits")]
+            words = np.stack([pc.list_value_length(x).to_numpy() for x in bits])
+            first = [x.offsets.to_numpy()[:-1] for x in bits]
+            flat = [x.values.to_numpy() for x in bits]
+            apart = np.abs(sizes[0] - sizes[1])
+            for n, m in np.unique(words, axis=1).T.tolist():
+                at = np.flatnonzero((words[0] == n) & (words[1] == m))
+                least = min(n, m)
+                x, y = (_folded(flat[k][first[k][at][:, None] + np.arange(w)], least) for k, w in enumerate((n, m)))
+                apart[at] = np.maximum(apart[at], np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1, dtype=np.int64))  # of signed numbers it would count the absolute value's
+            near = np.flatnonzero((100 + percent) * apart <= (100 - percent) * (sizes[0] + sizes[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(near)), batch.column("b").take(pa.array(near))], ["a", "b"])
+
+    return run
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that the bits of ``nodes`` don't rule out."""
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits"))
+    return arrow_map(pairs.join(of("a"), "a").join(of("b"), "b"), _few_bits_apart(percent), "a bigint, b bigint")
+
+
 def neighbours(rows: DataFrame, possible: Callable[[Column, Column], Column], salt: int) -> DataFrame:
     """Pairs (a, b) of each list's rows (key, node, root, n and what ``possible`` takes) up to ``REACH`` places apart, of other roots, that are ``possible``: by size, later by chance."""
     first = [F.col("size")] if salt == 0 else []
@@ -322,14 +364,20 @@ def neighbours(rows: DataFrame, possible: Callable[[Column, Column], Column], sa
     return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def candidate_units(pairs: DataFrame, rows: DataFrame, salt: int) -> DataFrame:
-    """Units of what the pairs connect: every row asks all rows of its unit. ``parts`` is over 1 where something is too large for a unit and was dealt to several."""
+def candidate_units(pairs: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
+    """Units of what the pairs connect (``near``): every row asks all rows of its unit. ``parts`` is over 1 where something is too large for a unit and was dealt to several."""
     near = components(pairs)
-    sizes = rows.select("node", "size", "root").distinct()
-    work = written(near.withColumnRenamed("root", "near").join(sizes, "node"), "near")
+    work = written(near.withColumnRenamed("root", "near").join(nodes.select("node", "size", "root"), "node"), "near")
     parts = work.groupBy("near").agg(F.greatest(F.ceil(F.count(F.lit(1)) / UNIT_ROWS), F.ceil(F.sum("size") / UNIT_GRAMS)).alias("parts"))
     dealt = work.join(written(parts, "parts"), "near")
-    return dealt.select(F.xxhash64("near", F.pmod(F.xxhash64("node", F.lit(salt)), "parts")).alias("unit"), "node", "root", F.lit(True).alias("asks"), F.lit(True).alias("held"), "parts")
+    return dealt.select(F.xxhash64("near", F.pmod(F.xxhash64("node", F.lit(salt)), "parts")).alias("unit"), "node", "root", F.lit(True).alias("asks"), F.lit(True).alias("held"), "near", "size", "parts")
+
+
+def cut_lists(units: DataFrame) -> DataFrame:
+    """What was dealt to several units, as lists."""
+    large = units.filter("parts > 1")
+    n = large.groupBy("near").agg(F.count(F.lit(1)).alias("n"))
+    return large.join(n, "near").select(F.xxhash64("near").alias("key"), "node", "size", F.lit(0).alias("place"), "n")
 
 
 def open_rows(rows: DataFrame, roots: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
@@ -337,7 +385,7 @@ def open_rows(rows: DataFrame, roots: DataFrame, cut: DataFrame, percent: int) -
 
     ``key`` is that list's now; with the number of its rows and grams, the root that most of them have, and the number of others.
     """
-    # No other list has that many rows of two levels, so the short ones, nearly all, are left out at once.
+    # No other list has that many rows of two levels, so the short ones, nearly all, are left out at once. A list that was put in order by parts is open at any number.
     some, short = rows.filter(F.col("n") > REACH + 1), rows.filter(F.col("n") <= REACH + 1)
     if not cut.isEmpty():
         inside = written(short.join(cut.select("node").distinct(), "node", "left_semi").select("key").distinct(), "inside")
@@ -346,7 +394,8 @@ def open_rows(rows: DataFrame, roots: DataFrame, cut: DataFrame, percent: int) -
     rooted = some.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted.join(cut.select("node").distinct().withColumn("cut", F.lit(1)), "node", "left").withColumn("level", level.cast("long")), "rooted")
     lower = F.explode(F.array(F.col("level") - 1, F.col("level"))).alias("lower")
-    own = rooted.groupBy("key", "level", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"), F.max("cut").alias("cut"))
+    by_parts = F.when(F.max("n") > ORDER_ROWS, 1)
+    own = rooted.groupBy("key", "level", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"), F.coalesce(F.max("cut"), by_parts).alias("cut"))
     own = own.select("key", lower, "root", "n", "grams", "cut").groupBy("key", "lower", "root").agg(F.sum("n").alias("n"), F.sum("grams").alias("grams"), F.max("cut").alias("cut"))
     lists = own.groupBy("key", "lower").agg(F.sum("n").alias("n"), F.sum("grams").alias("grams"), F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.max("cut").alias("cut"))
     several = lists.filter(((F.col("n") > REACH + 1) | F.col("cut").isNotNull()) & (F.col("roots") > 1))
@@ -366,22 +415,73 @@ def whole_units(rows: DataFrame) -> DataFrame:
     return held.unionByName(asks).select(F.xxhash64("key", "i", "j").alias("unit"), "node", "root", "asks", "held")
 
 
-def linked_components(rows: DataFrame, search: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column], percent: int) -> DataFrame:
-    """(node, root) over all links between nodes of the same list; ``rows``: key, node, size, place, n (rows of the key), a table; ``search`` gives the links that units hold."""
-    now, roots, cut = rows.withColumn("root", F.col("node")), None, None
+def _asked_alike(percent: int):
+    """(unit, node, asks) of those rows of units (sorted) whose bits don't rule out a link between a row that asks and one that is held, of different roots."""
+
+    def kept(rows: list[tuple]) -> list[tuple]:
+        out, held = set(), {}
+        for r in rows:
+            if r[4]:
+                held.setdefault(len(r[6]), []).append(r)
+        for words, own in held.items():
+            node, root, size = (np.array([r[k] for r in own]) for k in (1, 2, 5))
+            bits, folded = np.array([r[6] for r in own], np.int64).view(np.uint64), {}
+            for q in rows:
+                if q[3]:
+                    least = min(words, len(q[6]))
+                    if least not in folded:
+                        folded[least] = _folded(bits, least)
+                    apart = np.bitwise_count(folded[least] ^ _folded(np.array([q[6]], np.int64).view(np.uint64), least)).sum(axis=1, dtype=np.int64)
+                    apart = np.maximum(apart, np.abs(size - q[5]))
+                    near = ((100 + percent) * apart <= (100 - percent) * (size + q[5])) & (root != q[2])
+                    if near.any():
+                        out.add((q[0], q[1], True))
+                        out.update((q[0], k, False) for k in node[near].tolist())
+        return sorted(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        schema = pa.schema([("unit", pa.int64()), ("node", pa.int64()), ("asks", pa.bool_())])
+        made = lambda some: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), schema.types)], schema=schema)  # noqa: B905, E731
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("unit", "node", "root", "asks", "held", "size", "bits")), strict=True):
+                if rows and rows[-1][0] != row[0]:
+                    if some := kept(rows):
+                        yield made(some)
+                    rows = []
+                rows.append(row)
+        if rows and (some := kept(rows)):
+            yield made(some)
+
+    return run
+
+
+def asked_alike(units: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``whole_units`` whose texts have to be read: bits, a twentieth of a text, are sent before."""
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = units.join(nodes.select("node", "size", "bits"), "node").repartition(n, "unit").sortWithinPartitions("unit")
+    near = arrow_map(both.select("unit", "node", "root", "asks", "held", "size", "bits"), _asked_alike(percent), "unit bigint, node bigint, asks boolean")
+    return units.join(near, ["unit", "node", "asks"])
+
+
+def linked_components(rows: DataFrame, nodes: DataFrame, search: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column], percent: int) -> DataFrame:
+    """(node, root) over all links between nodes of the same list; ``rows``: key, node, size, place, n (rows of the key), a table; ``nodes``: node, size, bits; ``search`` gives the links that units hold."""
+    now, rooted, roots = rows.withColumn("root", F.col("node")), nodes.withColumn("root", F.col("node")), None
     for k in range(ROUNDS):
-        units = written(candidate_units(neighbours(now, possible, k), now, k), "units")
-        found = search(units.drop("parts"))
-        large = units.filter("parts > 1").select("node")
-        cut = large if cut is None else cut.unionByName(large)
+        units = written(candidate_units(alike(neighbours(now, possible, k), nodes, percent), rooted, k), "units")
+        found = search(units.select("unit", "node", "root", "asks", "held"))
+        if k == 0:  # what is cut later is of lists that stay open
+            lists, cut = rows.filter(F.col("n") > REACH + 1), written(cut_lists(units), "cut")
+            lists = lists.unionByName(cut)
         known = found if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
         roots = components(known)
-        now = open_rows(rows, roots, cut, percent)
+        now = open_rows(lists, roots, cut, percent)
         if now.isEmpty():
             return roots
         if k and found.isEmpty():
             break
-    found = search(written(whole_units(now), "units"))
+        rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = search(written(asked_alike(written(whole_units(now), "whole"), nodes, percent), "units"))
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 
 
@@ -389,8 +489,8 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
     """doc_id, n_shingles (distinct grams) and component_id, the smallest id that a document reaches over links of at least ``percent`` similarity."""
     spark = docs.sparkSession
     read = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
-    both = written(arrow_map(read, _signed(size, sketch_bits), "doc_id bigint, name bigint, rest bigint, size bigint, block int, counts binary"), "signed")
-    signed = both.filter("block IS NULL").select("doc_id", "name", "rest", "size")
+    both = written(arrow_map(read, _signed(size, sketch_bits), "doc_id bigint, name bigint, rest bigint, size bigint, bits array<bigint>, block int, counts binary"), "signed")
+    signed = both.filter("block IS NULL").select("doc_id", "name", "rest", "size", "bits")
     block_bits = min(BLOCK_BITS, sketch_bits)
     blocks = both.filter("block IS NOT NULL").select("block", "counts").repartition(8, "block")  # of 8 blocks each: 4 MB
     levels = np.zeros((1 << (sketch_bits - block_bits), 1 << block_bits), np.uint8)
@@ -398,14 +498,14 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
         levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
     shared_levels = spark.sparkContext.broadcast(levels.tobytes())
 
-    nodes = signed.filter("size > 0").groupBy("name", "rest").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"))
+    nodes = signed.filter("size > 0").groupBy("name", "rest").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bits").alias("bits"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     short = written(arrow_map(read, _short_lists(size, percent, shared_levels, sketch_bits), "gram bigint, name bigint, place int"), "short")
-    several = written(short.groupBy("gram").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo < hi").select("gram"), "several")
-    rows = short.join(several, "gram").distinct().join(nodes.select("name", "node", "size"), "name").select(F.col("gram").alias("key"), "node", "size", "place")
-    rows = written(rows, "lists")
-    lengths = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    rows = written(rows.join(lengths, "key"), "sized")
+    # Sorted by gram once: a set that several tasks have seen counts once, and grams of one set alone are left out.
+    own = short.repartition(F.col("gram")).groupBy("gram", "name").agg(F.first("place").alias("place"))
+    several = own.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("n > 1")
+    rows = written(several.join(nodes.select("name", "node", "size"), "name").select(F.col("gram").alias("key"), "node", "size", "place", "n"), "lists")
+    remove(short)
 
     def possible(x: Column, y: Column) -> Column:
         """By their sizes, and by what can follow a first common gram at these places."""
@@ -422,7 +522,7 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
         dealt = dealt.select("unit", "node", "root", "asks", "held", "text").repartition(n, "unit").sortWithinPartitions("unit", "node", "asks")
         return written(arrow_map(dealt, _unit_links(size, percent), "a bigint, b bigint"), "links")
 
-    roots = linked_components(rows, search, possible, percent)
+    roots = linked_components(rows, nodes, search, possible, percent)
     named = nodes.select("node", "name", "rest", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(named.join(least, "root").select("name", "rest", "component_id"), "named")
